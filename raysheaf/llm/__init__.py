@@ -9,6 +9,7 @@ from importlib import import_module
 NUMBERED = {
     "op1_mixing": "mixing",
     "op2_exact_dedup": "exact_dedup",
+    "op5_simhash_dedup": "simhash",
 }
 
 
