@@ -10,6 +10,7 @@ NUMBERED = {
     "op1_mixing": "mixing",
     "op2_exact_dedup": "exact_dedup",
     "op5_simhash_dedup": "simhash",
+    "op6_bpe": "bpe",
     "op8_media": "media",
     "op10_chat_format": "chat",
 }
