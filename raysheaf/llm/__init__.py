@@ -13,6 +13,7 @@ NUMBERED = {
     "op5_simhash_dedup": "simhash",
     "op6_bpe": "bpe",
     "op8_media": "media",
+    "op9_language_id": "langid",
     "op10_chat_format": "chat",
 }
 
