@@ -9,6 +9,7 @@ from importlib import import_module
 NUMBERED = {
     "op1_mixing": "mixing",
     "op2_exact_dedup": "exact_dedup",
+    "op3_toxicity": "toxicity",
     "op4_warc": "warc",
     "op5_simhash_dedup": "simhash",
     "op6_bpe": "bpe",

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +49,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 def crc32_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
+
+
+def shipped(spark: SparkSession, value) -> Broadcast:
+    """A broadcast of ``value`` with the code of its classes; ``unshipped`` gives the value in a task."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def unshipped(sent: Broadcast):
+    return cloudpickle.loads(sent.value)

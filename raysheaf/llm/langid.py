@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, table
+from .common import crc32_of_id, shipped, table, unshipped
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -300,10 +300,11 @@ def sample_of(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE,
 def label(docs: DataFrame, model: Model | None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, lang_pred, score) per row of ``docs``."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shipped(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(sent.value) if sent.value is not None else None
+        own = unshipped(sent)
+        labeller = Labeller(own) if own is not None else None
         for batch in batches:
             for i, j in _runs(batch.column(1)):
                 part = batch.slice(i, j - i)
