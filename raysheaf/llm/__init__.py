@@ -13,6 +13,7 @@ NUMBERED = {
     "op4_warc": "warc",
     "op5_simhash_dedup": "simhash",
     "op6_bpe": "bpe",
+    "op7_quality": "quality",
     "op8_media": "media",
     "op9_language_id": "langid",
     "op10_chat_format": "chat",

@@ -62,11 +62,14 @@ def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", s
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay. Of rows repeated with their id, all copies of the kept one stay but for equal texts, of which one does."""
-    kept = exact_duplicates(docs, text, key).where("kept").select(F.col(key).alias("__keep_id"), "text_sha256").distinct()
-    rows = docs.withColumn("__digest", F.sha2(normalised(F.col(text)), 256))
-    same = rows[key].eqNullSafe(kept["__keep_id"]) & (rows["__digest"] == kept["text_sha256"])
-    return rows.join(kept, same, "left_semi").drop("__digest")
+    """The rows of ``docs`` that stay: one for each distinct text."""
+    groups = exact_duplicates(docs, text, key).where("kept").select(_row_key(F.col(key), F.col("text_sha256")).alias("__row")).distinct()
+    rows = docs.withColumn("__row", _row_key(F.col(key), F.sha2(normalised(F.col(text)), 256)))
+    return rows.join(groups, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+
+
+def _row_key(key: Column, digest: Column) -> Column:
+    return F.concat(digest, F.lit(" "), F.coalesce(key.cast("string"), F.lit("")))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
