@@ -1 +1,6 @@
-"""Jobs of the library."""
+"""Registered queries, by family."""
+
+from . import dose
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "dose"]
