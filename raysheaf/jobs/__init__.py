@@ -1,6 +1,6 @@
 """Registered queries, by family."""
 
-from . import dose
+from . import dose, geometry, phase_space, planning
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "dose"]
+__all__ = ["QUERIES", "SQL", "dose", "geometry", "phase_space", "planning"]
