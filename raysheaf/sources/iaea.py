@@ -78,7 +78,7 @@ def decode(data: bytes, header: Header, first: int) -> pa.RecordBatch:
     u, v = column("u"), column("v")
     w = np.sqrt(np.maximum(0.0, 1 - u * u - v * v)) * np.where(raw["type"] < 0, -1.0, 1.0)
     weight = column("weight") if header.flags[6] else np.full(n, header.constants.get("weight", 1.0) or 1.0)
-    arrays = [np.arange(first, first + n), np.select([kind == 2, kind == 3], [-1, 2], 1), column("x") * 10, column("y") * 10, column("z") * 10, u, v, w, np.abs(column("energy")), weight]
+    arrays = [np.arange(first, first + n), np.select([kind == 2, kind == 3], [-1, 2], 1).astype(np.int32), column("x") * 10, column("y") * 10, column("z") * 10, u, v, w, np.abs(column("energy")), weight]
     return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["rec", "type", "x", "y", "z", "u", "v", "w", "energy", "weight"])
 
 
