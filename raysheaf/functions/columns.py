@@ -133,3 +133,38 @@ def depth_dose(depth: Column, betas: tuple[float, ...], mu: float, kernels: list
         term = mu * depth * F.exp(-mu * depth) if abs(beta - mu) <= 1e-12 else beta / (beta - mu) * (F.exp(-mu * depth) - F.exp(-beta * depth))
         total = total + term * k
     return F.when((depth <= 0) | (geo < 1), 0.0).otherwise(F.greatest(total * F.pow(sad / geo, 2), F.lit(0.0)))
+
+
+Vector = tuple[Column, Column, Column]
+
+
+def dot(a: Vector, b: Vector) -> Column:
+    """SF-01."""
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def cross(a: Vector, b: Vector) -> Vector:
+    """SF-01."""
+    return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
+
+
+def normalised(a: Vector) -> Vector:
+    """SF-01: of length 1, or zero where the length is below 1e-14."""
+    n = F.sqrt(dot(a, a))
+    short = n < 1e-14
+    by = F.when(short, 1.0).otherwise(n)
+    return tuple(F.when(short, 0.0).otherwise(x / by) for x in a)
+
+
+def times(m: list[list[float]], a: Vector) -> Vector:
+    """SF-02: matrix of numbers by vector of columns."""
+    return tuple(m[i][0] * a[0] + m[i][1] * a[1] + m[i][2] * a[2] for i in range(3))
+
+
+def ramp(t: Column, stops: list[tuple[float, float, float]]) -> dict[str, Column]:
+    """SF-33: colour of t in 0 to 1 between equidistant stops."""
+    n = len(stops) - 1
+    x = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)) * n
+    at = F.least(F.floor(x), F.lit(n - 1)).cast("int")
+    pick = lambda c, d: F.element_at(F.array(*[F.lit(float(s[c])) for s in stops]), at + 1 + d)
+    return {name: linear(pick(c, 0), pick(c, 1), x - at) for c, name in enumerate(("red", "green", "blue"))}

@@ -24,9 +24,9 @@ def _(t):
 
 
 def _metrics_sql(rows: str, prefix: str = "") -> str:
-    spread = lambda c: f"round(sqrt(greatest(avg({c} * {c}) - pow(avg({c}), 2), 0e0)), 6) AS spread_{c}"
-    ends = ", ".join(f"round({n}({c}), 6) AS {n}_{c}" for c in "xyz" for n in ("min", "max"))
-    return f"SELECT {prefix} count(*) AS n, count_if(type = 1)::BIGINT AS photons, count_if(type = -1)::BIGINT AS electrons, count_if(type = 2)::BIGINT AS positrons, round(min(energy), 6) AS min_energy, round(max(energy), 6) AS max_energy, round(avg(energy), 6) AS mean_energy, {spread('u')}, {spread('v')}, {ends} FROM {rows}"
+    spread = lambda c: f"round(coalesce(sqrt(greatest(avg({c} * {c}) - pow(avg({c}), 2), 0e0)), 0e0), 6) AS spread_{c}"
+    ends = ", ".join(f"round(coalesce({n}({c}), 0e0), 6) AS {n}_{c}" for c in "xyz" for n in ("min", "max"))
+    return f"SELECT {prefix} count(*) AS n, coalesce(count_if(type = 1), 0)::BIGINT AS photons, coalesce(count_if(type = -1), 0)::BIGINT AS electrons, coalesce(count_if(type = 2), 0)::BIGINT AS positrons, round(coalesce(min(energy), 0e0), 6) AS min_energy, round(coalesce(max(energy), 0e0), 6) AS max_energy, round(coalesce(avg(energy), 0e0), 6) AS mean_energy, {spread('u')}, {spread('v')}, {ends} FROM {rows}"
 
 
 @query("ag20_particle_metrics", _metrics_sql(PARTICLES))
