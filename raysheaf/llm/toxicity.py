@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are lower-cased words and their beginnings of 4 to 7 letters, and each of these
-again as a term of its own if a text has it 2 or 4 times. The ``TERMS`` terms
-most associated with the label, by the likelihood-ratio statistic over the labelled
+again as a term of its own if a text has it 2 or 4 times. Of those that label 1 makes
+at least ``LEAST_LIFT`` times as frequent, the ``TERMS`` most associated with it, by the likelihood-ratio statistic over the labelled
 examples, are the vocabulary; their document frequencies come from all documents. A text
 is the vector of its terms' TF-IDF weights, of length 1.
 
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import crc32_of_id, shipped, table, unshipped, written
 
-TERMS = 1024
+TERMS = 512
 PER_LABEL = 4000
 NEAREST = 15
 BLOCK = 64
@@ -48,6 +48,8 @@ BEGINNINGS = (4, 5, 6, 7)
 REPEATS = (2, 4)
 LEAST_COUNT = 4
 LEAST_G2 = 10.83
+#: A term is at least so many times as frequent under label 1; one of the vocabulary's size is thus rare in texts at large.
+LEAST_LIFT = 4
 CACHE = 400_000
 WORDS = re.compile(r"[^\W_]+")
 
@@ -58,19 +60,24 @@ def terms_of(word: str) -> list[str]:
 
 
 class Index:
-    """Examples as TF-IDF vectors: (ids, labels, weights of labels, list of {term: weight})."""
+    """Labelled examples as TF-IDF vectors. Examples with one vector are one entry, which holds their number and weight by label."""
 
     def __init__(self, ids: list[int], labels: list[int], stands_for: list[float], vectors: list[dict[int, float]], terms: int, block: int = BLOCK) -> None:
-        # Examples that share their heaviest term stand together, so that blocks differ in their bounds.
-        heavy = [max(v, key=lambda t: (v[t], -t)) if v else terms for v in vectors]
-        order = sorted(range(len(ids)), key=lambda i: (heavy[i], labels[i], ids[i]))
-        self.ids, self.labels = np.array([ids[i] for i in order], np.int64), np.array([labels[i] for i in order], np.int64)
-        self.stands_for = np.array([stands_for[i] for i in order], np.float64)
+        entries: dict[tuple, list[int]] = {}
+        for i, v in enumerate(vectors):
+            if v:
+                entries.setdefault(_key(v), []).append(i)
+        # Entries that share their heaviest term stand together, so that blocks differ in their bounds.
+        order = sorted(entries, key=lambda k: (max(k, key=lambda tw: (tw[1], -tw[0]))[0], min(ids[i] for i in entries[k])))
+        self.place = {k: at for at, k in enumerate(order)}
+        self.examples = [sorted((ids[i], labels[i]) for i in entries[k])[:NEAREST] for k in order]
+        self.number = np.array([len(entries[k]) for k in order], np.int64)
+        self.weight = np.array([[sum(stands_for[i] for i in entries[k] if labels[i] == label) for label in (0, 1)] for k in order]).reshape(-1, 2)
         self.block, self.blocks = block, -(-len(order) // block)
         self.bounds = np.zeros((terms, max(1, self.blocks)))
         posted: dict[int, tuple[list[int], list[float]]] = {}
-        for at, i in enumerate(order):
-            for t, w in vectors[i].items():
+        for at, k in enumerate(order):
+            for t, w in vectors[entries[k][0]].items():
                 places, weights = posted.setdefault(t, ([], []))
                 places.append(at)
                 weights.append(w)
@@ -78,32 +85,49 @@ class Index:
         self.postings = {t: (np.array(p), np.array(w), np.searchsorted(p, np.arange(self.blocks + 1) * block)) for t, (p, w) in posted.items()}
 
     def nearest(self, query: dict[int, float], k: int = NEAREST, without: int | None = None) -> list[tuple[int, float]]:
-        """(place, cosine) of the k nearest with a cosine over 0, by cosine, then id; ``without`` leaves one place out."""
-        found: list[tuple[float, int, int]] = []
+        """(place, cosine) of the nearest entries with a cosine over 0, as many as it takes for k examples, by cosine, then place. ``without`` has one example less."""
         terms = [t for t in query if t in self.postings]
         if not terms:
             return []
         bound = np.array([query[t] for t in terms]) @ self.bounds[terms]
+        found: list[tuple[float, int]] = []
         worst = 0.0
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(found) == k and bound[b] < worst - 1e-12:
+            if bound[b] <= 0 or bound[b] < worst - 1e-12:
                 break
-            low, n = b * self.block, min(self.block, len(self.ids) - b * self.block)
+            low, n = b * self.block, min(self.block, len(self.number) - b * self.block)
             scores = np.zeros(n)
             for t in terms:
                 places, weights, cuts = self.postings[t]
                 i, j = cuts[b], cuts[b + 1]
                 scores[places[i:j] - low] += query[t] * weights[i:j]
-            for at in np.flatnonzero(scores > 0):
-                if low + at != without:
-                    found.append((-round(float(scores[at]), 12), int(self.ids[low + at]), int(low + at)))
-            found = sorted(found)[:k]
-            worst = -found[-1][0] if len(found) == k else 0.0
-        return [(place, -s) for s, _, place in found]
-
-    def vote(self, neighbours: list[tuple[int, float]]) -> float:
-        weights = [s * self.stands_for[p] for p, s in neighbours]
-        return float(sum(w * self.labels[p] for (p, _), w in zip(neighbours, weights, strict=True)) / sum(weights))
+            scores = np.round(scores, 12)
+            found += [(-float(scores[at]), int(low + at)) for at in np.flatnonzero((scores > 0) & (scores >= worst))]
+            found.sort()
+            have = 0
+            for cut, (s, place) in enumerate(found):
+                have += int(self.number[place]) - (place == without)
+                if have >= k:
+                    found, worst = found[: cut + 1], -s
+                    break
+        return [(place, -s) for s, place in found if self.number[place] > (place == without)]
+
+    def vote(self, neighbours: list[tuple[int, float]], without: tuple[int, int, float] | None = None) -> float:
+        """Share of label 1 in similarity times weight; ``without`` (place, label, weight) leaves an example out."""
+        sums = np.zeros(2)
+        for place, s in neighbours:
+            sums += s * self.weight[place]
+            if without and place == without[0]:
+                sums[without[1]] -= s * without[2]
+        sums = np.maximum(sums, 0)
+        return float(sums[1] / sums.sum()) if sums.sum() > 0 else 0.0
+
+    def evidence(self, neighbours: list[tuple[int, float]], k: int = NEAREST) -> list[dict]:
+        return [{"id": i, "label": label, "similarity": s} for place, s in neighbours for i, label in self.examples[place]][:k]
+
+
+def _key(vector: dict[int, float]) -> tuple:
+    return tuple(sorted((t, round(w, 9)) for t, w in vector.items()))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +164,7 @@ class Scorer:
 
 
 def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    weights = {t: (1 + math.log(n)) * idf[t] for t, n in counts.items()}
+    weights = {t: (1 + math.log(n)) * idf[t] for t, n in sorted(counts.items())}
     length = math.sqrt(sum(w * w for w in weights.values()))
     return {t: w / length for t, w in weights.items()}
 
@@ -154,15 +178,13 @@ def fit(examples: list[tuple[int, int, dict[int, int]]], totals: dict[int, int],
         return Scorer(None, prior, np.zeros(0), np.zeros(0), prior)
     vectors = [unit(c, idf) for _, _, c in examples]
     index = Index([e[0] for e in examples], [e[1] for e in examples], stands_for, vectors, len(idf))
-    by_id = {}
-    for place, i in enumerate(index.ids):
-        by_id.setdefault(int(i), []).append(place)
     votes, labels, weights = [], [], []
     bare = [1.0, prior]  # of those without neighbours: one pseudo-example at the prior
-    for (i, label, _), v, w in zip(examples, vectors, stands_for, strict=True):
-        near = index.nearest(v, without=by_id[i][0]) if v else []
+    for (_, label, _), v, w in zip(examples, vectors, stands_for, strict=True):
+        own = index.place[_key(v)] if v else None
+        near = index.nearest(v, without=own) if v else []
         if near:
-            votes.append(index.vote(near))
+            votes.append(index.vote(near, (own, label, w)))
             labels.append(label)
             weights.append(w)
         else:
@@ -210,14 +232,14 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary_of(examples: DataFrame, size: int = TERMS) -> list[str]:
-    """The terms most associated with the label, by the likelihood-ratio statistic."""
+    """The terms that label 1 makes much more frequent, the most associated first, by the likelihood-ratio statistic."""
     n = {r.label: r.n for r in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
         return []
     counted = examples.select("label", "text").mapInArrow(_count_terms, "term string, label int, n long")
     c = counted.groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
-    c = c.where(F.col("a") + F.col("b") >= LEAST_COUNT)
+    c = c.where((F.col("a") + F.col("b") >= LEAST_COUNT) & (F.col("a") * n0 > F.col("b") * n1 * LEAST_LIFT))
 
     def part(seen: Column, of: int, all_seen: Column) -> Column:
         return F.when(seen > 0, seen * F.log(seen * F.lit(float(n0 + n1)) / (all_seen * float(of)))).otherwise(F.lit(0.0))
@@ -272,21 +294,31 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text"
     idf = np.log((seen + 1) / (df + 1)) + 1
     sample = vectors_of(examples, vocabulary, key="id").join(F.broadcast(examples.select("id", "label").distinct()), "id").orderBy("id").collect()
     scorer = fit([(r.id, r.label, dict(zip(r.terms, r.counts, strict=True))) for r in sample], totals, idf)
-    sent = shipped(docs.sparkSession, (scorer, idf))
+    spark = docs.sparkSession
+    sent = shipped(spark, (scorer, idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, idf = unshipped(sent)
+        known: dict[tuple, tuple[float, list]] = {}
         for batch in batches:
             scores, evidence = [], []
             for terms, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                score, near = scorer.score(unit(dict(sorted(zip(terms, counts, strict=True))), idf) if terms else {})
-                scores.append(score)
-                evidence.append([{"id": int(scorer.index.ids[p]), "label": int(scorer.index.labels[p]), "similarity": s} for p, s in near])
+                query = tuple(sorted(zip(terms, counts, strict=True)))
+                found = known.get(query)
+                if found is None:
+                    score, near = scorer.score(unit(dict(query), idf))
+                    found = (score, scorer.index.evidence(near) if near else [])
+                    if len(known) < CACHE // 10:
+                        known[query] = found
+                scores.append(found[0])
+                evidence.append(found[1])
             kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["id", "score", "evidence"])
 
     out = f"id {vectors.schema['id'].dataType.simpleString()}, score double, evidence array<struct<id:long,label:int,similarity:double>>"
-    return vectors.mapInArrow(run, out).withColumnRenamed("id", key)
+    # The vectors are small, so their table has few partitions; scoring is work for all cores.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return vectors.repartition(tasks, "id").mapInArrow(run, out).withColumnRenamed("id", key)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
