@@ -31,9 +31,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.token_digests(docs)
+    return bpe.token_digests(docs, cache=TOKEN_CACHE)
 
 
+#: Half the usual: the executors' heaps have grown in the stages before.
+TOKEN_CACHE = 200_000
+
 STAGES = [
     ("quality", quality_stage),
     ("exact_dedup", exact_dedup_stage),
