@@ -1,15 +1,16 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact cosine of weighted TF-IDF vectors over an inverted index.
 
 Terms are lower-cased words and their beginnings of 4 to 7 letters, and each of these
-again as a term of its own if a text has it 2 or 4 times. Of those that label 1 makes
-at least ``LEAST_LIFT`` times as frequent, the ``TERMS`` most associated with it, by the likelihood-ratio statistic over the labelled
-examples, are the vocabulary; their document frequencies come from all documents. A text
-is the vector of its terms' TF-IDF weights, of length 1.
+again as a term of its own if a text has it 2 or 4 times. All terms of the labelled
+examples count, whichever label they lean to and however rare they are; their document
+frequencies come from all documents. A text is the vector of its terms' TF-IDF weights,
+each times the root of 1 plus the term's likelihood-ratio statistic over the examples, of
+length 1: a term weighs more the more it tells of the label, and none is left out. Terms
+that no example has would shorten all similarities of a text by one factor, so they
+change neither its neighbours nor their vote.
 
-The examples are cut into blocks, and the index holds each term's largest weight in each
-block besides its postings. A query's bound for a block is the sum over its terms of
-weight times largest weight. Blocks are scored from the highest bound down, until no bound
-reaches the k-th similarity found: the nearest examples are exact.
+A text is compared with every example: terms that more than ``COMMON`` of the examples have
+by a matrix product, the others by their postings. The nearest examples are exact.
 
 Neighbours vote by similarity and by how many labelled rows an example stands for; votes
 become probabilities by isotonic regression over the examples themselves, each without
@@ -19,7 +20,7 @@ Learning takes a bounded sample, at most ``PER_LABEL`` examples of each label, t
 in order of a hash of the id. Index and vocabulary are thereby bounded, and nothing else is
 broadcast or collected. All texts are read whole.
 
-Edge cases: texts that are null, empty or hold no term of the vocabulary have no
+Edge cases: texts that are null, empty or share no term with any example have no
 neighbours and share the calibrated score of such examples; without examples of a label
 all scores are the share of label 1 among examples, or 0 without any; a doc_id labelled
 twice is toxic if one label says so, null labels count as none; rows with equal texts get
@@ -28,7 +29,6 @@ equal scores; ties go to the smaller id.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -40,16 +40,13 @@ from pyspark.sql import functions as F
 
 from .common import crc32_of_id, shipped, table, unshipped, written
 
-TERMS = 512
 PER_LABEL = 4000
 NEAREST = 15
 BLOCK = 64
 BEGINNINGS = (4, 5, 6, 7)
 REPEATS = (2, 4)
-LEAST_COUNT = 4
-LEAST_G2 = 10.83
-#: A term is at least so many times as frequent under label 1; one of the vocabulary's size is thus rare in texts at large.
-LEAST_LIFT = 4
+#: Terms of a larger share of the examples are multiplied as a matrix; this is a matter of speed only.
+COMMON = 0.1
 CACHE = 400_000
 WORDS = re.compile(r"[^\W_]+")
 
@@ -62,55 +59,85 @@ def terms_of(word: str) -> list[str]:
 class Index:
     """Labelled examples as TF-IDF vectors. Examples with one vector are one entry, which holds their number and weight by label."""
 
-    def __init__(self, ids: list[int], labels: list[int], stands_for: list[float], vectors: list[dict[int, float]], terms: int, block: int = BLOCK) -> None:
-        entries: dict[tuple, list[int]] = {}
-        for i, v in enumerate(vectors):
-            if v:
-                entries.setdefault(_key(v), []).append(i)
-        # Entries that share their heaviest term stand together, so that blocks differ in their bounds.
-        order = sorted(entries, key=lambda k: (max(k, key=lambda tw: (tw[1], -tw[0]))[0], min(ids[i] for i in entries[k])))
-        self.place = {k: at for at, k in enumerate(order)}
+    def __init__(self, ids: list[int], labels: list[int], stands_for: list[float], vectors: list, terms: int, block: int = BLOCK) -> None:
+        pairs = [_arrays(v) for v in vectors]
+        keys = [_key(v) if len(v[0]) else None for v in pairs]
+        entries: dict[bytes, list[int]] = {}
+        for i, k in enumerate(keys):
+            if k is not None:
+                entries.setdefault(k, []).append(i)
+        order = sorted(entries, key=lambda k: (min(ids[i] for i in entries[k]), k))
+        place = {k: at for at, k in enumerate(order)}
+        self.places = [place.get(k) for k in keys]  # of the examples
         self.examples = [sorted((ids[i], labels[i]) for i in entries[k])[:NEAREST] for k in order]
         self.number = np.array([len(entries[k]) for k in order], np.int64)
         self.weight = np.array([[sum(stands_for[i] for i in entries[k] if labels[i] == label) for label in (0, 1)] for k in order]).reshape(-1, 2)
-        self.block, self.blocks = block, -(-len(order) // block)
-        self.bounds = np.zeros((terms, max(1, self.blocks)))
-        posted: dict[int, tuple[list[int], list[float]]] = {}
-        for at, k in enumerate(order):
-            for t, w in vectors[entries[k][0]].items():
-                places, weights = posted.setdefault(t, ([], []))
-                places.append(at)
-                weights.append(w)
-                self.bounds[t, at // block] = max(self.bounds[t, at // block], w)
-        self.postings = {t: (np.array(p), np.array(w), np.searchsorted(p, np.arange(self.blocks + 1) * block)) for t, (p, w) in posted.items()}
+        self.terms, self.block = terms, block
+        own = [pairs[entries[k][0]] for k in order]
+        flat = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in own)])
+        by_term = np.argsort(flat, kind="stable")
+        self.starts = np.searchsorted(flat[by_term], np.arange(terms + 1))
+        self.posted = np.repeat(np.arange(len(own), dtype=np.int32), [len(t) for t, _ in own])[by_term]
+        self.weights = np.concatenate([np.zeros(0), *(w for _, w in own)])[by_term]
+        self._dense()
+
+    def _dense(self) -> None:
+        common = np.flatnonzero(np.diff(self.starts) > COMMON * len(self.number))
+        self.column = np.full(self.terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(self.number)))
+        for c, t in enumerate(common):
+            i, j = self.starts[t], self.starts[t + 1]
+            self.dense[c, self.posted[i:j]] = self.weights[i:j]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("dense", "column", "places")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self._dense()
+
+    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """(queries, entries): the cosine of each query, (terms, weights), with every entry."""
+        common = np.zeros((len(queries), len(self.dense)))
+        for i, (terms, weights) in enumerate(queries):
+            at = self.column[terms]
+            common[i, at[at >= 0]] = weights[at >= 0]
+        found = common @ self.dense
+        for i, (terms, weights) in enumerate(queries):
+            rare = self.column[terms] < 0
+            first, n = self.starts[terms[rare]], self.starts[terms[rare] + 1] - self.starts[terms[rare]]
+            ends = np.cumsum(n)
+            if len(n) and ends[-1]:
+                at = np.repeat(first - ends + n, n) + np.arange(ends[-1])
+                found[i] += np.bincount(self.posted[at], np.repeat(weights[rare], n) * self.weights[at], len(self.number))
+        return found
+
+    def _first(self, cosines: np.ndarray, k: int, without: int | None) -> list[tuple[int, float]]:
+        n = min(k + 1, len(cosines))
+        worst = np.partition(cosines, len(cosines) - n)[len(cosines) - n] if n else 0.0
+        at = np.flatnonzero(cosines >= worst - 1e-11)
+        scores = np.round(cosines[at], 12)
+        found, have = [], 0
+        for j in np.lexsort((at, -scores)):
+            place, own = int(at[j]), int(self.number[at[j]]) - (at[j] == without)
+            if scores[j] <= 0 or have >= k:
+                break
+            have += own
+            if own:
+                found.append((place, float(scores[j])))
+        return found
+
+    def nearest_of_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST, without: list[int | None] | None = None) -> list[list[tuple[int, float]]]:
+        """Per query (place, cosine) of the nearest entries with a cosine over 0, as many as it takes for k examples, by cosine, then place. An entry in ``without`` has one example less."""
+        out = []
+        for low in range(0, len(queries), self.block):
+            for i, row in enumerate(self.cosines(queries[low : low + self.block])):
+                out.append(self._first(row, k, without[low + i] if without else None))
+        return out
 
     def nearest(self, query: dict[int, float], k: int = NEAREST, without: int | None = None) -> list[tuple[int, float]]:
-        """(place, cosine) of the nearest entries with a cosine over 0, as many as it takes for k examples, by cosine, then place. ``without`` has one example less."""
-        terms = [t for t in query if t in self.postings]
-        if not terms:
-            return []
-        bound = np.array([query[t] for t in terms]) @ self.bounds[terms]
-        found: list[tuple[float, int]] = []
-        worst = 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < worst - 1e-12:
-                break
-            low, n = b * self.block, min(self.block, len(self.number) - b * self.block)
-            scores = np.zeros(n)
-            for t in terms:
-                places, weights, cuts = self.postings[t]
-                i, j = cuts[b], cuts[b + 1]
-                scores[places[i:j] - low] += query[t] * weights[i:j]
-            scores = np.round(scores, 12)
-            found += [(-float(scores[at]), int(low + at)) for at in np.flatnonzero((scores > 0) & (scores >= worst))]
-            found.sort()
-            have = 0
-            for cut, (s, place) in enumerate(found):
-                have += int(self.number[place]) - (place == without)
-                if have >= k:
-                    found, worst = found[: cut + 1], -s
-                    break
-        return [(place, -s) for s, place in found if self.number[place] > (place == without)]
+        return self.nearest_of_all([_arrays(query)], k, [without])[0]
 
     def vote(self, neighbours: list[tuple[int, float]], without: tuple[int, int, float] | None = None) -> float:
         """Share of label 1 in similarity times weight; ``without`` (place, label, weight) leaves an example out."""
@@ -120,14 +147,21 @@ class Index:
             if without and place == without[0]:
                 sums[without[1]] -= s * without[2]
         sums = np.maximum(sums, 0)
-        return float(sums[1] / sums.sum()) if sums.sum() > 0 else 0.0
+        return round(float(sums[1] / sums.sum()), 9) if sums.sum() > 0 else 0.0
 
     def evidence(self, neighbours: list[tuple[int, float]], k: int = NEAREST) -> list[dict]:
         return [{"id": i, "label": label, "similarity": s} for place, s in neighbours for i, label in self.examples[place]][:k]
 
 
-def _key(vector: dict[int, float]) -> tuple:
-    return tuple(sorted((t, round(w, 9)) for t, w in vector.items()))
+def _arrays(vector) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, weights) by term, of a dict or of such a pair."""
+    if isinstance(vector, dict):
+        vector = (np.array(sorted(vector), np.int32), np.array([vector[t] for t in sorted(vector)], float))
+    return vector
+
+
+def _key(vector: tuple[np.ndarray, np.ndarray]) -> bytes:
+    return vector[0].tobytes() + np.round(vector[1], 9).tobytes()
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,35 +188,36 @@ class Scorer:
     def __init__(self, index: Index | None, prior: float, edges: np.ndarray, means: np.ndarray, none: float) -> None:
         self.index, self.prior, self.edges, self.means, self.none = index, prior, edges, means, none
 
-    def score(self, query: dict[int, float]) -> tuple[float, list[tuple[int, float]]]:
+    def scores(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """(score, nearest entries) per query."""
         if self.index is None:
-            return self.prior, []
-        near = self.index.nearest(query)
-        if not near:
-            return self.none, []
-        return float(self.means[min(int(np.searchsorted(self.edges, self.index.vote(near))), len(self.means) - 1)]), near
+            return [(self.prior, [])] * len(queries)
+        means = [(float(self.means[min(int(np.searchsorted(self.edges, self.index.vote(near))), len(self.means) - 1)]), near) if near else (self.none, []) for near in self.index.nearest_of_all(queries)]
+        return means
 
 
 def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    weights = {t: (1 + math.log(n)) * idf[t] for t, n in sorted(counts.items())}
-    length = math.sqrt(sum(w * w for w in weights.values()))
-    return {t: w / length for t, w in weights.items()}
+    terms = np.array(sorted(counts), np.int32)
+    return dict(zip(terms.tolist(), unit_arrays(terms, np.array([counts[t] for t in terms.tolist()]), idf)[1].tolist(), strict=True))
+
+
+def unit_arrays(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    weights = (1 + np.log(counts)) * weight[terms]
+    return terms, weights / np.sqrt((weights * weights).sum()) if len(terms) else weights
 
 
-def fit(examples: list[tuple[int, int, dict[int, int]]], totals: dict[int, int], idf: np.ndarray) -> Scorer:
-    """From (id, label, term counts) and the number of labelled rows of each label."""
-    sampled = Counter(label for _, label, _ in examples)
-    stands_for = [totals[label] / sampled[label] for _, label, _ in examples]
+def fit(examples: list[tuple[int, int, np.ndarray, np.ndarray]], totals: dict[int, int], weight: np.ndarray) -> Scorer:
+    """From (id, label, terms, counts), the number of labelled rows of each label and the terms' weights."""
+    sampled = Counter(e[1] for e in examples)
+    stands_for = [totals[e[1]] / sampled[e[1]] for e in examples]
     prior = totals.get(1, 0) / max(1, sum(totals.values()))
     if len(sampled) < 2:
         return Scorer(None, prior, np.zeros(0), np.zeros(0), prior)
-    vectors = [unit(c, idf) for _, _, c in examples]
-    index = Index([e[0] for e in examples], [e[1] for e in examples], stands_for, vectors, len(idf))
+    vectors = [unit_arrays(t, n, weight) for _, _, t, n in examples]
+    index = Index([e[0] for e in examples], [e[1] for e in examples], stands_for, vectors, len(weight))
     votes, labels, weights = [], [], []
     bare = [1.0, prior]  # of those without neighbours: one pseudo-example at the prior
-    for (_, label, _), v, w in zip(examples, vectors, stands_for, strict=True):
-        own = index.place[_key(v)] if v else None
-        near = index.nearest(v, without=own) if v else []
+    for (_, label, _, _), own, w, near in zip(examples, index.places, stands_for, index.nearest_of_all(vectors, without=index.places), strict=True):
         if near:
             votes.append(index.vote(near, (own, label, w)))
             labels.append(label)
@@ -231,15 +266,14 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def vocabulary_of(examples: DataFrame, size: int = TERMS) -> list[str]:
-    """The terms that label 1 makes much more frequent, the most associated first, by the likelihood-ratio statistic."""
+def vocabulary_of(examples: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All terms of the examples in order, and how strongly each is associated with the label: the likelihood-ratio statistic."""
     n = {r.label: r.n for r in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
-        return []
+        return [], np.zeros(0)
     counted = examples.select("label", "text").mapInArrow(_count_terms, "term string, label int, n long")
     c = counted.groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
-    c = c.where((F.col("a") + F.col("b") >= LEAST_COUNT) & (F.col("a") * n0 > F.col("b") * n1 * LEAST_LIFT))
 
     def part(seen: Column, of: int, all_seen: Column) -> Column:
         return F.when(seen > 0, seen * F.log(seen * F.lit(float(n0 + n1)) / (all_seen * float(of)))).otherwise(F.lit(0.0))
@@ -247,37 +281,72 @@ def vocabulary_of(examples: DataFrame, size: int = TERMS) -> list[str]:
     a, b, both = F.col("a"), F.col("b"), F.col("a") + F.col("b")
     absent = F.lit(float(n0 + n1)) - both
     g2 = 2 * (part(a, n1, both) + part(b, n0, both) + part(F.lit(n1) - a, n1, absent) + part(F.lit(n0) - b, n0, absent))
-    best = c.select("term", F.round(g2, 6).alias("g2")).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(size)
-    return [r.term for r in best.collect()]
+    found = c.select("term", F.greatest(F.round(g2, 6), F.lit(0.0)).alias("g2")).toArrow().sort_by("term")
+    return found.column("term").to_pylist(), found.column("g2").to_numpy()
+
+
+class Reader:
+    """Counts the vocabulary's terms in whole texts."""
+
+    def __init__(self, vocabulary: list[str]) -> None:
+        self.place = {t: i for i, t in enumerate(vocabulary)}
+        #: For each least number of times, the term's number for that many, or -1.
+        self.repeats = [np.array([self.place.get(f"{t}#{least}", -1) for t in vocabulary], np.int32) for least in REPEATS]
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, counts) in order of the terms."""
+        words = Counter(WORDS.findall((text or "").lower()))
+        found: dict[int, int] = {}
+        for w, n in words.items():
+            own = self.known.get(w)
+            if own is None:
+                if len(self.known) >= CACHE:
+                    self.known.clear()
+                own = self.known[w] = tuple(self.place[t] for t in terms_of(w) if t in self.place)
+            for t in own:
+                found[t] = found.get(t, 0) + n
+        terms, counts = np.fromiter(found, np.int32, len(found)), np.fromiter(found.values(), np.int32, len(found))
+        every = [(terms, counts)]
+        for least, of in zip(REPEATS, self.repeats, strict=True):
+            at = of[terms[counts >= least]] if len(terms) else terms
+            every.append((at[at >= 0], counts[counts >= least][at >= 0]))
+        terms, counts = np.concatenate([t for t, _ in every]), np.concatenate([n for _, n in every])
+        order = np.argsort(terms)
+        return terms[order], counts[order]
+
+
+def _document_frequencies(docs: DataFrame, sent, terms: int) -> tuple[int, np.ndarray]:
+    """The number of rows of ``docs`` (doc_id, text), and of those that have each term of the vocabulary."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, df, seen = Reader(unshipped(sent)), np.zeros(terms, np.int64), 0
+        for batch in batches:
+            seen += batch.num_rows
+            for value in batch.column(0):
+                df[reader.read(value.as_py())[0]] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[seen, df[at]])], ["t", "n"])
+
+    found = docs.select("text").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    t, n = found.column("t").to_numpy(), found.column("n").to_numpy()
+    df = np.zeros(terms)
+    df[t[t >= 0]] = n[t >= 0]
+    return int(n[t < 0].sum()), df
 
-def vectors_of(docs: DataFrame, vocabulary: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, terms, counts) per row of ``docs``: the vocabulary's terms in the whole text."""
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    at = {t: i for i, t in enumerate(vocabulary)}
-    bases = sorted({t.partition("#")[0] for t in vocabulary})
-    place = {t: i for i, t in enumerate(bases)}
-    levels = [[(n, at[v]) for n, v in ((1, t), *((n, f"{t}#{n}") for n in REPEATS)) if v in at] for t in bases]
+
+def _read_examples(examples: DataFrame, sent) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(id, label, terms, counts) of the sample, by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
+        reader = Reader(unshipped(sent))
         for batch in batches:
-            terms, counts = [], []
-            for value in batch.column(1):
-                words = WORDS.findall((value.as_py() or "").lower())
-                fresh = {w for w in words if w not in known}
-                if len(known) + len(fresh) > CACHE:
-                    known.clear()
-                    fresh = set(words)
-                for w in fresh:
-                    known[w] = tuple(place[t] for t in terms_of(w) if t in place)
-                found = Counter(i for own in map(known.__getitem__, words) if own for i in own)
-                own = {v: n for i, n in found.items() for least, v in levels[i] if n >= least}
-                terms.append(list(own))
-                counts.append(list(own.values()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["id", "terms", "counts"])
-
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, terms array<int>, counts array<int>")
+            own = [reader.read(value.as_py()) for value in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in own], pa.list_(pa.int32())), pa.array([n for _, n in own], pa.list_(pa.int32()))], ["id", "label", "terms", "counts"])
+
+    found = examples.mapInArrow(run, f"id {examples.schema['id'].dataType.simpleString()}, label int, terms array<int>, counts array<int>").toArrow()
+    rows = [(i.as_py(), label.as_py(), t.values.to_numpy(), n.values.to_numpy()) for i, label, t, n in zip(*found.columns, strict=True)]
+    return sorted(rows, key=lambda r: (r[0], r[2].tobytes(), r[3].tobytes()))
 
 
 def scored(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -285,40 +354,28 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text"
     named = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     examples, totals = examples_of(named, labels, learn)
     examples = written(examples, "examples")
-    vocabulary = vocabulary_of(examples)
-    vectors = written(vectors_of(named, vocabulary), "vectors")
-    seen = vectors.groupBy().agg(F.count(F.lit(1)).alias("n")).first().n
-    df = np.zeros(len(vocabulary))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per term of the vocabulary
-        df[r.t] = r.n
-    idf = np.log((seen + 1) / (df + 1)) + 1
-    sample = vectors_of(examples, vocabulary, key="id").join(F.broadcast(examples.select("id", "label").distinct()), "id").orderBy("id").collect()
-    scorer = fit([(r.id, r.label, dict(zip(r.terms, r.counts, strict=True))) for r in sample], totals, idf)
+    vocabulary, g2 = vocabulary_of(examples)
     spark = docs.sparkSession
-    sent = shipped(spark, (scorer, idf))
+    sent_terms = shipped(spark, vocabulary)
+    seen, df = _document_frequencies(named, sent_terms, len(vocabulary))
+    weight = (np.log((seen + 1) / (df + 1)) + 1) * np.sqrt(1 + g2)
+    scorer = fit(_read_examples(examples, sent_terms), totals, weight)
+    sent = shipped(spark, (scorer, weight))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, idf = unshipped(sent)
-        known: dict[tuple, tuple[float, list]] = {}
+        reader, (scorer, weight) = Reader(unshipped(sent_terms)), unshipped(sent)
         for batch in batches:
             scores, evidence = [], []
-            for terms, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                query = tuple(sorted(zip(terms, counts, strict=True)))
-                found = known.get(query)
-                if found is None:
-                    score, near = scorer.score(unit(dict(query), idf))
-                    found = (score, scorer.index.evidence(near) if near else [])
-                    if len(known) < CACHE // 10:
-                        known[query] = found
-                scores.append(found[0])
-                evidence.append(found[1])
+            for low in range(0, batch.num_rows, BLOCK):
+                queries = [unit_arrays(*reader.read(value.as_py()), weight) for value in batch.column(1).slice(low, BLOCK)]
+                for score, near in scorer.scores(queries):
+                    scores.append(score)
+                    evidence.append(scorer.index.evidence(near) if near else [])
             kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["id", "score", "evidence"])
 
-    out = f"id {vectors.schema['id'].dataType.simpleString()}, score double, evidence array<struct<id:long,label:int,similarity:double>>"
-    # The vectors are small, so their table has few partitions; scoring is work for all cores.
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
-    return vectors.repartition(tasks, "id").mapInArrow(run, out).withColumnRenamed("id", key)
+    out = f"id {named.schema['doc_id'].dataType.simpleString()}, score double, evidence array<struct<id:long,label:int,similarity:double>>"
+    return named.mapInArrow(run, out).withColumnRenamed("id", key)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

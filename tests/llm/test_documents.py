@@ -328,6 +328,20 @@ def test_index_is_exact():
         assert got[:5] == pytest.approx([s for s in sims if s > 0][:5]) and len(got) >= min(5, sum(s > 0 for s in sims))
 
 
+def test_toxicity_compares_all_terms_of_the_examples(spark):
+    rng = np.random.default_rng(18)
+    calm = [f"calm{i}" for i in range(60)]
+    data = [(i, " ".join([*rng.choice(calm, 12), *(["vilest"] if i % 4 == 0 else [])])) for i in range(200)]
+    data += [(200, " ".join([*calm[:30], "vilest"])), (201, " ".join(calm[:12])), (202, "vilest"), (203, "quixotry"), (204, "quixotry")]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(203, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.scored(d, labels, labels["doc_id"] >= 0).collect()}
+    # A long text with one toxic word is not the same as that word alone, a clean text has neighbours, and so has a word of a single example.
+    assert max(e.similarity for e in got[200].evidence) < 0.999
+    assert len(got[201].evidence) >= 15 and {e.label for e in got[201].evidence} == {0}
+    assert [e.id for e in got[204].evidence] == [203] and got[204].evidence[0].similarity == pytest.approx(1)
+
+
 def test_toxic_words_are_found(spark, docs, none):
     rng = np.random.default_rng(8)
     calm = [f"calm{i}" for i in range(60)]
