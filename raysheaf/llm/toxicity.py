@@ -29,6 +29,7 @@ equal scores; ties go to the smaller id.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -75,9 +76,10 @@ class Index:
         self.terms, self.block = terms, block
         own = [pairs[entries[k][0]] for k in order]
         flat = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in own)])
-        by_term = np.argsort(flat, kind="stable")
+        by_term = np.argsort(flat, kind="stable").astype(np.int32 if len(flat) < 1 << 31 else np.int64)
         self.starts = np.searchsorted(flat[by_term], np.arange(terms + 1))
-        self.posted = np.repeat(np.arange(len(own), dtype=np.int32), [len(t) for t, _ in own])[by_term]
+        del flat
+        self.posted = np.repeat(np.arange(len(own), dtype=np.uint16 if len(own) < 1 << 16 else np.int32), [len(t) for t, _ in own])[by_term]
         self.weights = np.concatenate([np.zeros(0), *(w for _, w in own)])[by_term]
         self._dense()
 
@@ -161,7 +163,7 @@ def _arrays(vector) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _key(vector: tuple[np.ndarray, np.ndarray]) -> bytes:
-    return vector[0].tobytes() + np.round(vector[1], 9).tobytes()
+    return hashlib.sha256(vector[0].tobytes() + np.round(vector[1], 9).tobytes()).digest()
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -288,12 +290,25 @@ def vocabulary_of(examples: DataFrame) -> tuple[list[str], np.ndarray]:
 class Reader:
     """Counts the vocabulary's terms in whole texts."""
 
-    def __init__(self, vocabulary: list[str]) -> None:
-        self.place = {t: i for i, t in enumerate(vocabulary)}
-        #: For each least number of times, the term's number for that many, or -1.
-        self.repeats = [np.array([self.place.get(f"{t}#{least}", -1) for t in vocabulary], np.int32) for least in REPEATS]
+    def __init__(self, terms: pa.Array, numbers: np.ndarray, repeats: list[np.ndarray]) -> None:
+        self.place = dict(zip(terms.to_pylist(), numbers.tolist(), strict=True))
+        self.repeats = repeats
         self.known: dict[str, tuple[int, ...]] = {}
 
+    @staticmethod
+    def parts(vocabulary: list[str]) -> tuple[pa.Array, np.ndarray, list[np.ndarray]]:
+        """The terms without number of times, their places in the vocabulary, and for each least number of times every term's place for that many, or -1."""
+        place = {t: i for i, t in enumerate(vocabulary)}
+        bases = [t for t in vocabulary if "#" not in t]
+        repeats = []
+        for least in REPEATS:
+            end, at = f"#{least}", np.full(len(vocabulary), -1, np.int32)
+            for t in vocabulary:
+                if t.endswith(end):
+                    at[place[t[: -len(end)]]] = place[t]
+            repeats.append(at)
+        return pa.array(bases, pa.string()), np.array([place[t] for t in bases], np.int32), repeats
+
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(terms, counts) in order of the terms."""
         words = Counter(WORDS.findall((text or "").lower()))
@@ -320,7 +335,7 @@ def _document_frequencies(docs: DataFrame, sent, terms: int) -> tuple[int, np.nd
     """The number of rows of ``docs`` (doc_id, text), and of those that have each term of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, df, seen = Reader(unshipped(sent)), np.zeros(terms, np.int64), 0
+        reader, df, seen = Reader(*unshipped(sent)), np.zeros(terms, np.int64), 0
         for batch in batches:
             seen += batch.num_rows
             for value in batch.column(0):
@@ -339,7 +354,7 @@ def _read_examples(examples: DataFrame, sent) -> list[tuple[int, int, np.ndarray
     """(id, label, terms, counts) of the sample, by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(unshipped(sent))
+        reader = Reader(*unshipped(sent))
         for batch in batches:
             own = [reader.read(value.as_py()) for value in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in own], pa.list_(pa.int32())), pa.array([n for _, n in own], pa.list_(pa.int32()))], ["id", "label", "terms", "counts"])
@@ -356,14 +371,15 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text"
     examples = written(examples, "examples")
     vocabulary, g2 = vocabulary_of(examples)
     spark = docs.sparkSession
-    sent_terms = shipped(spark, vocabulary)
-    seen, df = _document_frequencies(named, sent_terms, len(vocabulary))
+    sent_terms = shipped(spark, Reader.parts(vocabulary))
+    del vocabulary
+    seen, df = _document_frequencies(named, sent_terms, len(g2))
     weight = (np.log((seen + 1) / (df + 1)) + 1) * np.sqrt(1 + g2)
     scorer = fit(_read_examples(examples, sent_terms), totals, weight)
     sent = shipped(spark, (scorer, weight))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, (scorer, weight) = Reader(unshipped(sent_terms)), unshipped(sent)
+        reader, (scorer, weight) = Reader(*unshipped(sent_terms)), unshipped(sent)
         for batch in batches:
             scores, evidence = [], []
             for low in range(0, batch.num_rows, BLOCK):
