@@ -1,7 +1,7 @@
 """SimHash fingerprints and their links by pigeonring filtering.
 
 ``near_duplicates`` links all fingerprints within a few bits, exactly. ``similar`` links
-texts by the similarity of their shingles and uses fingerprints to prune.
+texts by the similarity of their shingles; no fingerprint has a say there.
 
 A fingerprint's 64 bits are cut into ``m`` segments that stand in a ring. If two
 fingerprints differ in at most ``d`` bits, then from some segment on, every run of ``l``
@@ -28,7 +28,8 @@ texts meet if ``MINIMA`` neighbouring minima agree in one of ``BANDS`` places, w
 of similarity 0.8 miss about once in ten million times. Within a place and value all are
 compared with the least and the greatest member only, so work is linear however large the
 group; two texts that are similar to each other but to neither of these, in no place, stay
-apart. Then the ring condition and the full distance prune, and the shingles decide.
+apart. Of every pair that meets, the distinct shingles decide: fingerprints count repeated
+shingles, and texts that differ in a repeated line may be far apart in them.
 
 Edge cases: a null or wordless text has fingerprint zero and links like any other; a text
 shorter than a shingle is one shingle; repeated rows and equal texts share a component;
@@ -161,8 +162,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
 
 BANDS = 24
 MINIMA = 3
-#: For ``similar``: more bits than texts of the least similarity differ in, and the ring's segments.
-SIMILAR_SHINGLE, SIMILARITY, SIMILAR_DISTANCE, SIMILAR_SEGMENTS = 5, 0.8, 20, 8
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
@@ -173,24 +173,16 @@ def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarr
     return np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), seed) for i in range(n)), dtype="<u8", count=n)
 
 
-def _fingerprint_of(hashes: np.ndarray) -> int:
-    counts = np.zeros(BITS, dtype=np.int64)
-    for i in range(0, len(hashes), 4096):
-        counts += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view("<i8")[0]) if len(hashes) else 0
-
-
 def _sketches(batches: Iterator[pa.RecordBatch], shingle: int, bands: int) -> Iterator[pa.RecordBatch]:
-    """(node, fp, minima): a minimum per band of the shingles' hashes under as many mixings; none for wordless texts."""
+    """(node, minima): a minimum per band of the shingles' hashes under as many mixings; none for wordless texts."""
     odd = np.random.default_rng(SEED).integers(0, 1 << 63, bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     for batch in batches:
-        fps, minima = [], []
+        minima = []
         for text in batch.column(1):
             hashes = shingle_hashes(text.as_py(), shingle)
-            fps.append(_fingerprint_of(hashes))
             mixed = hashes ^ (hashes >> np.uint64(29))
             minima.append([int(((mixed * o) ^ ((mixed * o) >> np.uint64(32))).min()) & ((1 << 63) - 1) for o in odd] if len(hashes) else [0] * bands)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(minima, pa.list_(pa.int64()))], ["node", "fp", "minima"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(minima, pa.list_(pa.int64()))], ["node", "minima"])
 
 
 def _overlap(shingle: int, similarity: float):
@@ -214,24 +206,15 @@ def _node(key: Column, text: Column) -> Column:
     return F.xxhash64(key, text)
 
 
-def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, distance: int = SIMILAR_DISTANCE, segments: int = SIMILAR_SEGMENTS, bands: int = BANDS) -> DataFrame:
+def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
     """(node, id, component_id): rows of ``docs``, each a node, with the smallest id that links of the given similarity reach."""
     rows = docs.select(_node(F.col(key), F.col(text)).alias("node"), F.col(text).alias("text"))
-    found = written(rows.mapInArrow(partial(_sketches, shingle=shingle, bands=bands), "node long, fp long, minima array<long>"), "sketches")
+    found = written(rows.mapInArrow(partial(_sketches, shingle=shingle, bands=bands), "node long, minima array<long>"), "sketches")
     places = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(*[F.element_at("minima", F.pmod(i + j, F.lit(bands)) + 1) for j in range(MINIMA)]).alias("k")))
-    members = found.select("node", "fp", F.explode(places).alias("p")).select("node", "fp", "p.band", "p.k")
-    ends = members.groupBy("band", "k").agg(F.min("node").alias("b0"), F.min_by("fp", "node").alias("f0"), F.max("node").alias("b1"), F.max_by("fp", "node").alias("f1")).where("b0 < b1")
-    ends = ends.select("band", "k", F.explode(F.array(F.struct(F.col("b0").alias("b"), F.col("f0").alias("fp_b")), F.struct(F.col("b1").alias("b"), F.col("f1").alias("fp_b")))).alias("e")).select("band", "k", "e.*")
-    masks, most = _masks(segments), budgets(segments, distance)
-    differ = F.col("fp").bitwiseXOR(F.col("fp_b"))
-    in_ring = F.lit(False)
-    for start in range(segments):
-        chain = F.lit(True)
-        for length in range(1, segments):
-            chain = chain & (F.bit_count(differ.bitwiseAND(F.lit(_signed(_chain(masks, start, length))))) <= most[length - 1])
-        in_ring = in_ring | chain
-    near = (F.col("node") != F.col("b")) & (F.bit_count(differ) <= distance) & in_ring
-    pairs = members.join(ends, ["band", "k"]).where(near).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+    members = found.select("node", F.explode(places).alias("p")).select("node", "p.band", "p.k")
+    ends = members.groupBy("band", "k").agg(F.min("node").alias("b0"), F.max("node").alias("b1")).where("b0 < b1")
+    ends = ends.select("band", "k", F.explode(F.array("b0", "b1")).alias("b"))
+    pairs = members.join(ends, ["band", "k"]).where("node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
     pairs = written(pairs, "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = written(rows.join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")

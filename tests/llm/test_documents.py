@@ -154,6 +154,15 @@ def test_near_duplicate_edges(docs, none):
     assert simhash.near_duplicates(docs).count() == docs.count() and simhash.near_duplicates(none).count() == 0
 
 
+def test_similar_texts_may_repeat_lines(spark):
+    rows = []
+    for g in range(20):
+        body, line = " ".join(f"w{g}x{i}" for i in range(300)), " ".join(f"v{g}x{i}" for i in range(14))
+        rows += [(2 * g, f"{body} {line} {line}"), (2 * g + 1, f"{body} " + " ".join([line] * 40))]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 40, 2))
+
+
 def test_similar_texts(spark, docs, none):
     words = [f"w{i}" for i in range(200)]
     texts = [" ".join(words), " ".join([*words[:100], "new", *words[101:]]), " ".join(words[:100] + [f"v{i}" for i in range(100)]), "something else entirely is here"]
