@@ -44,12 +44,13 @@ STEPS = 40
 BLOCK = 64
 SEED = 9
 CACHE = 400_000
-WORDS = regex.compile(r"\p{L}+")
+#: Longer runs of letters are consecutive words of 40.
+WORDS = regex.compile(r"\p{L}{1,40}")
 
 
 def word_features(word: str, lexicon: dict[str, str]) -> list[int]:
-    """Bucket numbers of a lower-cased word. Words longer than 40 letters give the n-grams of both ends."""
-    padded = f"^{word if len(word) <= 40 else word[:20] + word[-20:]}$"
+    """Bucket numbers of a lower-cased word."""
+    padded = f"^{word}$"
     found = [f"w{word}"]
     for n in (1, 2, 3, 4):
         found += [f"p{padded[: n + 1]}", f"s{padded[-n - 1 :]}"]

@@ -308,6 +308,15 @@ def test_marginals_by_enumeration():
             at += n
 
 
+def test_long_runs_of_letters_are_read_whole():
+    ends = "a" * 40
+    run = ends + "bcd" * 20 + ends
+    words = langid.WORDS.findall(run)
+    assert "".join(words) == run and max(map(len, words)) <= 40
+    read = {f for w in words for f in langid.word_features(w, {})}
+    assert langid.zlib.crc32(b"bcd") % langid.BUCKETS in read
+
+
 def test_labels_words_and_texts(spark, docs, none):
     en, fr = "the house and the river with other things in this place".split(), "la maison et le fleuve avec une autre chose dans cette ville".split()
     rng = np.random.default_rng(4)
