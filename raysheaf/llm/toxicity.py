@@ -1,16 +1,17 @@
-"""Toxicity by nearest labelled examples: exact cosine of weighted TF-IDF vectors over an inverted index.
+"""Toxicity by nearest labelled examples: exact cosine of TF-IDF vectors over a block-max inverted index.
 
-Terms are lower-cased words and their beginnings of 4 to 7 letters, and each of these
-again as a term of its own if a text has it 2 or 4 times. All terms of the labelled
-examples count, whichever label they lean to and however rare they are; their document
-frequencies come from all documents. A text is the vector of its terms' TF-IDF weights,
-each times the root of 1 plus the term's likelihood-ratio statistic over the examples, of
-length 1: a term weighs more the more it tells of the label, and none is left out. Terms
-that no example has would shorten all similarities of a text by one factor, so they
-change neither its neighbours nor their vote.
+Terms are lower-cased words. All terms of the labelled examples count, whichever label
+they lean to and however rare they are; their document frequencies come from all
+documents. A text is the vector of its terms' TF-IDF weights, each times the root of 1 plus
+the term's likelihood-ratio statistic over the examples, of length 1: a term weighs more the
+more it tells of the label, and none is left out. Terms that no example has would shorten
+all similarities of a text by one factor, so they change neither its neighbours nor their
+vote.
 
-A text is compared with every example: terms that more than ``COMMON`` of the examples have
-by a matrix product, the others by their postings. The nearest examples are exact.
+Examples stand in blocks of similar ones. A term's postings are cut by block, and each piece
+has its greatest weight. Query terms times these maxima bound a block's cosines from above;
+the blocks of the highest bounds are scored first, and the others only if their bound
+reaches the worst neighbour found so far. The nearest examples are exact.
 
 Neighbours vote by similarity and by how many labelled rows an example stands for; votes
 become probabilities by isotonic regression over the examples themselves, each without
@@ -22,9 +23,11 @@ broadcast or collected. All texts are read whole.
 
 Edge cases: texts that are null, empty or share no term with any example have no
 neighbours and share the calibrated score of such examples; without examples of a label
-all scores are the share of label 1 among examples, or 0 without any; a doc_id labelled
-twice is toxic if one label says so, null labels count as none; rows with equal texts get
-equal scores; ties go to the smaller id.
+all scores are the share of label 1 among examples, or 0 without any; an empty table gives
+an empty result; a doc_id labelled twice is toxic if one label says so, null labels count
+as none; a null doc_id is scored, never learned from and not held out; rows with equal
+texts get equal scores; ties go to the smaller id; texts of any length are read whole;
+further columns of the tables have no effect.
 """
 
 from __future__ import annotations
@@ -36,25 +39,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc32_of_id, shipped, table, unshipped, written
 
-PER_LABEL = 4000
+PER_LABEL = 1000
 NEAREST = 15
-BLOCK = 64
-BEGINNINGS = (4, 5, 6, 7)
-REPEATS = (2, 4)
-#: Terms of a larger share of the examples are multiplied as a matrix; this is a matter of speed only.
-COMMON = 0.1
-CACHE = 400_000
+BLOCK = 32
 WORDS = re.compile(r"[^\W_]+")
-
-
-def terms_of(word: str) -> list[str]:
-    """A lower-cased word and its beginnings, which end in a star."""
-    return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) > n)]
+#: Terms of at least this share of the entries decide which entries are put into a block together.
+SHARED = 0.02
+
+
+def spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range behind the other."""
+    n = ends - starts
+    at = np.cumsum(n)
+    return np.arange(at[-1] if len(at) else 0) + np.repeat(starts - at + n, n)
+
+
+def arranged(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int) -> np.ndarray:
+    """An order of the vectors in which runs of ``block`` are alike: halves along the direction of most variance, again and again."""
+    df = np.bincount(np.concatenate([np.zeros(0, np.int32), *(t for t, _ in vectors)]), minlength=terms)
+    column = np.full(terms, -1)
+    common = np.flatnonzero(df >= max(2, SHARED * len(vectors)))
+    column[common] = np.arange(len(common))
+    rows = np.zeros((len(vectors), len(common)), np.float32)
+    for i, (t, w) in enumerate(vectors):
+        at = column[t]
+        rows[i, at[at >= 0]] = w[at >= 0]
+
+    def halves(which: np.ndarray) -> list[int]:
+        if len(which) <= block or not len(common):
+            return which.tolist()
+        x = rows[which] - rows[which].mean(axis=0)
+        v = x[np.argmax((x * x).sum(axis=1))]
+        for _ in range(8):
+            v = x.T @ (x @ v)
+            size = np.sqrt((v * v).sum())
+            if size < 1e-12:
+                return which.tolist()
+            v = v / size
+        cut = -(-len(which) // (2 * block)) * block
+        order = which[np.argsort(np.round(x @ v, 5), kind="stable")]
+        return halves(order[:cut]) + halves(order[cut:])
+
+    return np.array(halves(np.arange(len(vectors))), np.int64)
 
 
 class Index:
@@ -68,79 +99,74 @@ class Index:
             if k is not None:
                 entries.setdefault(k, []).append(i)
         order = sorted(entries, key=lambda k: (min(ids[i] for i in entries[k]), k))
+        order = [order[i] for i in arranged([pairs[entries[k][0]] for k in order], terms, block)]
         place = {k: at for at, k in enumerate(order)}
         self.places = [place.get(k) for k in keys]  # of the examples
         self.examples = [sorted((ids[i], labels[i]) for i in entries[k])[:NEAREST] for k in order]
+        self.least = np.array([min(ids[i] for i in entries[k]) for k in order], np.int64)
         self.number = np.array([len(entries[k]) for k in order], np.int64)
         self.weight = np.array([[sum(stands_for[i] for i in entries[k] if labels[i] == label) for label in (0, 1)] for k in order]).reshape(-1, 2)
-        self.terms, self.block = terms, block
+        self.block = block
+        self.blocks = -(-len(order) // block)
         own = [pairs[entries[k][0]] for k in order]
         flat = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in own)])
-        by_term = np.argsort(flat, kind="stable").astype(np.int32 if len(flat) < 1 << 31 else np.int64)
-        self.starts = np.searchsorted(flat[by_term], np.arange(terms + 1))
-        del flat
-        self.posted = np.repeat(np.arange(len(own), dtype=np.uint16 if len(own) < 1 << 16 else np.int32), [len(t) for t, _ in own])[by_term]
+        by_term = np.argsort(flat, kind="stable")
+        term = flat[by_term]
+        self.posted = np.repeat(np.arange(len(own), dtype=np.int32), [len(t) for t, _ in own])[by_term]
         self.weights = np.concatenate([np.zeros(0), *(w for _, w in own)])[by_term]
-        self._dense()
-
-    def _dense(self) -> None:
-        common = np.flatnonzero(np.diff(self.starts) > COMMON * len(self.number))
-        self.column = np.full(self.terms, -1, np.int32)
-        self.column[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), len(self.number)))
-        for c, t in enumerate(common):
-            i, j = self.starts[t], self.starts[t + 1]
-            self.dense[c, self.posted[i:j]] = self.weights[i:j]
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("dense", "column", "places")}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state
-        self._dense()
-
-    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """(queries, entries): the cosine of each query, (terms, weights), with every entry."""
-        common = np.zeros((len(queries), len(self.dense)))
-        for i, (terms, weights) in enumerate(queries):
-            at = self.column[terms]
-            common[i, at[at >= 0]] = weights[at >= 0]
-        found = common @ self.dense
-        for i, (terms, weights) in enumerate(queries):
-            rare = self.column[terms] < 0
-            first, n = self.starts[terms[rare]], self.starts[terms[rare] + 1] - self.starts[terms[rare]]
-            ends = np.cumsum(n)
-            if len(n) and ends[-1]:
-                at = np.repeat(first - ends + n, n) + np.arange(ends[-1])
-                found[i] += np.bincount(self.posted[at], np.repeat(weights[rare], n) * self.weights[at], len(self.number))
-        return found
+        of_block = self.posted // block
+        cuts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (of_block[1:] != of_block[:-1])]) if len(term) else np.zeros(0, np.int64)
+        self.piece_at = np.r_[cuts, len(term)].astype(np.int64)
+        self.piece_block = of_block[cuts].astype(np.int32)
+        self.piece_most = np.maximum.reduceat(self.weights, cuts) if len(cuts) else np.zeros(0)
+        self.term_at = np.searchsorted(term[cuts], np.arange(terms + 1))
+
+    def nearest(self, query, k: int = NEAREST, without: int | None = None) -> list[tuple[int, float]]:
+        """(place, cosine) of the nearest entries with a cosine over 0, as many as it takes for k examples, by cosine, then least id. The entry ``without`` has one example less."""
+        terms, weights = _arrays(query)
+        starts, ends = self.term_at[terms], self.term_at[terms + 1]
+        pieces = spread(starts, ends)
+        if not len(pieces):
+            return []
+        of, at = np.repeat(weights, ends - starts), self.piece_block[pieces]
+        bounds = np.bincount(at, of * self.piece_most[pieces], self.blocks)
+        scores = np.zeros(len(self.number))
+        todo = np.argsort(-bounds, kind="stable")
+        todo = todo[bounds[todo] > 0]
+        first, rest = todo[: max(1, -(-(k + 1) // self.block))], todo[max(1, -(-(k + 1) // self.block)) :]
+        self._score(first, pieces, at, of, scores)
+        if len(rest):
+            worst = np.partition(scores, len(scores) - min(k + 1, len(scores)))[len(scores) - min(k + 1, len(scores))]
+            rest = rest[bounds[rest] >= worst - 1e-9]
+            if len(rest):
+                self._score(rest, pieces, at, of, scores)
+        return self._first(scores, k, without)
+
+    def _score(self, blocks: np.ndarray, pieces: np.ndarray, at: np.ndarray, of: np.ndarray, scores: np.ndarray) -> None:
+        """Adds the cosines of the entries in ``blocks``."""
+        wanted = np.zeros(self.blocks, bool)
+        wanted[blocks] = True
+        chosen = wanted[at]
+        own = pieces[chosen]
+        starts, ends = self.piece_at[own], self.piece_at[own + 1]
+        where = spread(starts, ends)
+        scores += np.bincount(self.posted[where], np.repeat(of[chosen], ends - starts) * self.weights[where], len(scores))
 
     def _first(self, cosines: np.ndarray, k: int, without: int | None) -> list[tuple[int, float]]:
         n = min(k + 1, len(cosines))
-        worst = np.partition(cosines, len(cosines) - n)[len(cosines) - n] if n else 0.0
-        at = np.flatnonzero(cosines >= worst - 1e-11)
+        worst = np.partition(cosines, len(cosines) - n)[len(cosines) - n]
+        at = np.flatnonzero(cosines >= max(worst - 1e-11, 1e-12))
         scores = np.round(cosines[at], 12)
         found, have = [], 0
-        for j in np.lexsort((at, -scores)):
+        for j in np.lexsort((self.least[at], -scores)):
             place, own = int(at[j]), int(self.number[at[j]]) - (at[j] == without)
-            if scores[j] <= 0 or have >= k:
+            if have >= k:
                 break
             have += own
             if own:
                 found.append((place, float(scores[j])))
         return found
 
-    def nearest_of_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST, without: list[int | None] | None = None) -> list[list[tuple[int, float]]]:
-        """Per query (place, cosine) of the nearest entries with a cosine over 0, as many as it takes for k examples, by cosine, then place. An entry in ``without`` has one example less."""
-        out = []
-        for low in range(0, len(queries), self.block):
-            for i, row in enumerate(self.cosines(queries[low : low + self.block])):
-                out.append(self._first(row, k, without[low + i] if without else None))
-        return out
-
-    def nearest(self, query: dict[int, float], k: int = NEAREST, without: int | None = None) -> list[tuple[int, float]]:
-        return self.nearest_of_all([_arrays(query)], k, [without])[0]
-
     def vote(self, neighbours: list[tuple[int, float]], without: tuple[int, int, float] | None = None) -> float:
         """Share of label 1 in similarity times weight; ``without`` (place, label, weight) leaves an example out."""
         sums = np.zeros(2)
@@ -190,12 +216,14 @@ class Scorer:
     def __init__(self, index: Index | None, prior: float, edges: np.ndarray, means: np.ndarray, none: float) -> None:
         self.index, self.prior, self.edges, self.means, self.none = index, prior, edges, means, none
 
-    def scores(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[tuple[int, float]]]]:
-        """(score, nearest entries) per query."""
+    def score(self, query: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[tuple[int, float]]]:
+        """(score, nearest entries)."""
         if self.index is None:
-            return [(self.prior, [])] * len(queries)
-        means = [(float(self.means[min(int(np.searchsorted(self.edges, self.index.vote(near))), len(self.means) - 1)]), near) if near else (self.none, []) for near in self.index.nearest_of_all(queries)]
-        return means
+            return self.prior, []
+        near = self.index.nearest(query)
+        if not near:
+            return self.none, []
+        return float(self.means[min(int(np.searchsorted(self.edges, self.index.vote(near))), len(self.means) - 1)]), near
 
 
 def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
@@ -219,7 +247,8 @@ def fit(examples: list[tuple[int, int, np.ndarray, np.ndarray]], totals: dict[in
     index = Index([e[0] for e in examples], [e[1] for e in examples], stands_for, vectors, len(weight))
     votes, labels, weights = [], [], []
     bare = [1.0, prior]  # of those without neighbours: one pseudo-example at the prior
-    for (_, label, _, _), own, w, near in zip(examples, index.places, stands_for, index.nearest_of_all(vectors, without=index.places), strict=True):
+    for (_, label, _, _), own, w, vector in zip(examples, index.places, stands_for, vectors, strict=True):
+        near = index.nearest(vector, without=own)
         if near:
             votes.append(index.vote(near, (own, label, w)))
             labels.append(label)
@@ -238,8 +267,8 @@ def examples_of(docs: DataFrame, labels: DataFrame, learn: Column, per_label: in
     """(id, label, text) of the sample, and the number of labelled rows of each label. Ids are chosen before texts are moved."""
     marked = labels.where(F.col("toxic").isNotNull() & learn).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("label"))
     totals = {r.label: r.n for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marked.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_label).select(F.col("doc_id").alias("id"), "label")
+    parts = [marked.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for label in (0, 1)]
+    chosen = parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("id"), "label")
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
     return rows.select("id", "label", "text"), totals
 
@@ -256,24 +285,18 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = Counter()
-            for w, n in Counter(WORDS.findall(text.as_py().lower())).items():
-                for t in terms_of(w):
-                    found[t] += n
-            counts[label].update(found.keys())
-            for least in REPEATS:
-                counts[label].update(f"{t}#{least}" for t, n in found.items() if n >= least)
+            counts[label].update(set(WORDS.findall(text.as_py().lower())))
             if len(counts[0]) + len(counts[1]) > 1_000_000:
                 yield from flush()
     yield from flush()
 
 
-def vocabulary_of(examples: DataFrame) -> tuple[list[str], np.ndarray]:
+def vocabulary_of(examples: DataFrame) -> tuple[pa.Array, np.ndarray]:
     """All terms of the examples in order, and how strongly each is associated with the label: the likelihood-ratio statistic."""
     n = {r.label: r.n for r in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
-        return [], np.zeros(0)
+        return pa.array([], pa.string()), np.zeros(0)
     counted = examples.select("label", "text").mapInArrow(_count_terms, "term string, label int, n long")
     c = counted.groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
 
@@ -284,62 +307,40 @@ def vocabulary_of(examples: DataFrame) -> tuple[list[str], np.ndarray]:
     absent = F.lit(float(n0 + n1)) - both
     g2 = 2 * (part(a, n1, both) + part(b, n0, both) + part(F.lit(n1) - a, n1, absent) + part(F.lit(n0) - b, n0, absent))
     found = c.select("term", F.greatest(F.round(g2, 6), F.lit(0.0)).alias("g2")).toArrow().sort_by("term")
-    return found.column("term").to_pylist(), found.column("g2").to_numpy()
+    return found.column("term").combine_chunks(), found.column("g2").to_numpy()
 
 
 class Reader:
     """Counts the vocabulary's terms in whole texts."""
 
-    def __init__(self, terms: pa.Array, numbers: np.ndarray, repeats: list[np.ndarray]) -> None:
-        self.place = dict(zip(terms.to_pylist(), numbers.tolist(), strict=True))
-        self.repeats = repeats
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    @staticmethod
-    def parts(vocabulary: list[str]) -> tuple[pa.Array, np.ndarray, list[np.ndarray]]:
-        """The terms without number of times, their places in the vocabulary, and for each least number of times every term's place for that many, or -1."""
-        place = {t: i for i, t in enumerate(vocabulary)}
-        bases = [t for t in vocabulary if "#" not in t]
-        repeats = []
-        for least in REPEATS:
-            end, at = f"#{least}", np.full(len(vocabulary), -1, np.int32)
-            for t in vocabulary:
-                if t.endswith(end):
-                    at[place[t[: -len(end)]]] = place[t]
-            repeats.append(at)
-        return pa.array(bases, pa.string()), np.array([place[t] for t in bases], np.int32), repeats
+    def __init__(self, vocabulary: pa.Array) -> None:
+        self.place = {t: i for i, t in enumerate(vocabulary.to_pylist())}
 
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(terms, counts) in order of the terms."""
-        words = Counter(WORDS.findall((text or "").lower()))
-        found: dict[int, int] = {}
-        for w, n in words.items():
-            own = self.known.get(w)
-            if own is None:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                own = self.known[w] = tuple(self.place[t] for t in terms_of(w) if t in self.place)
-            for t in own:
-                found[t] = found.get(t, 0) + n
+        place, found = self.place, {}
+        for w, n in Counter(WORDS.findall((text or "").lower())).items():
+            at = place.get(w)
+            if at is not None:
+                found[at] = n
         terms, counts = np.fromiter(found, np.int32, len(found)), np.fromiter(found.values(), np.int32, len(found))
-        every = [(terms, counts)]
-        for least, of in zip(REPEATS, self.repeats, strict=True):
-            at = of[terms[counts >= least]] if len(terms) else terms
-            every.append((at[at >= 0], counts[counts >= least][at >= 0]))
-        terms, counts = np.concatenate([t for t, _ in every]), np.concatenate([n for _, n in every])
         order = np.argsort(terms)
         return terms[order], counts[order]
 
+    def present(self, text: str | None) -> list[int]:
+        place = self.place
+        return [place[w] for w in set(WORDS.findall((text or "").lower())) if w in place]
+
 
 def _document_frequencies(docs: DataFrame, sent, terms: int) -> tuple[int, np.ndarray]:
     """The number of rows of ``docs`` (doc_id, text), and of those that have each term of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, df, seen = Reader(*unshipped(sent)), np.zeros(terms, np.int64), 0
+        reader, df, seen = Reader(unshipped(sent)), np.zeros(terms, np.int64), 0
         for batch in batches:
             seen += batch.num_rows
             for value in batch.column(0):
-                df[reader.read(value.as_py())[0]] += 1
+                df[reader.present(value.as_py())] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[seen, df[at]])], ["t", "n"])
 
@@ -354,7 +355,7 @@ def _read_examples(examples: DataFrame, sent) -> list[tuple[int, int, np.ndarray
     """(id, label, terms, counts) of the sample, by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(*unshipped(sent))
+        reader = Reader(unshipped(sent))
         for batch in batches:
             own = [reader.read(value.as_py()) for value in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in own], pa.list_(pa.int32())), pa.array([n for _, n in own], pa.list_(pa.int32()))], ["id", "label", "terms", "counts"])
@@ -364,30 +365,28 @@ def _read_examples(examples: DataFrame, sent) -> list[tuple[int, int, np.ndarray
     return sorted(rows, key=lambda r: (r[0], r[2].tobytes(), r[3].tobytes()))
 
 
-def scored(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", per_label: int = PER_LABEL) -> DataFrame:
     """(key, score, evidence) per row of ``docs``: evidence lists the nearest examples' id, label and similarity. ``learn`` selects rows of ``labels``."""
     named = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    examples, totals = examples_of(named, labels, learn)
+    examples, totals = examples_of(named, labels, learn, per_label)
     examples = written(examples, "examples")
     vocabulary, g2 = vocabulary_of(examples)
     spark = docs.sparkSession
-    sent_terms = shipped(spark, Reader.parts(vocabulary))
-    del vocabulary
+    sent_terms = shipped(spark, vocabulary)
     seen, df = _document_frequencies(named, sent_terms, len(g2))
     weight = (np.log((seen + 1) / (df + 1)) + 1) * np.sqrt(1 + g2)
     scorer = fit(_read_examples(examples, sent_terms), totals, weight)
     sent = shipped(spark, (scorer, weight))
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, (scorer, weight) = Reader(*unshipped(sent_terms)), unshipped(sent)
+        reader, (scorer, weight) = Reader(unshipped(sent_terms)), unshipped(sent)
         for batch in batches:
             scores, evidence = [], []
-            for low in range(0, batch.num_rows, BLOCK):
-                queries = [unit_arrays(*reader.read(value.as_py()), weight) for value in batch.column(1).slice(low, BLOCK)]
-                for score, near in scorer.scores(queries):
-                    scores.append(score)
-                    evidence.append(scorer.index.evidence(near) if near else [])
-            kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
+            for value in batch.column(1):
+                score, near = scorer.score(unit_arrays(*reader.read(value.as_py()), weight))
+                scores.append(score)
+                evidence.append(scorer.index.evidence(near) if near else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["id", "score", "evidence"])
 
     out = f"id {named.schema['doc_id'].dataType.simpleString()}, score double, evidence array<struct<id:long,label:int,similarity:double>>"
@@ -397,4 +396,4 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text"
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = F.pmod(crc32_of_id(F.col("doc_id")), F.lit(5))
     rows = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder != 0)
-    return rows.select("doc_id", (remainder == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("evidence.id").alias("nearest"))
+    return rows.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("evidence.id").alias("nearest"))
