@@ -1,7 +1,7 @@
 """SimHash fingerprints and their links by pigeonring filtering.
 
 ``near_duplicates`` links all fingerprints within a few bits, exactly. ``similar`` links
-texts by the similarity of their shingles; no fingerprint has a say there.
+texts by the similarity of their shingles.
 
 A fingerprint's 64 bits are cut into ``m`` segments that stand in a ring. If two
 fingerprints differ in at most ``d`` bits, then from some segment on, every run of ``l``
@@ -22,19 +22,15 @@ have a variant in common, and members that have one in common are within two bit
 each is linked to the least of them.
 
 At the distance that texts with four fifths of their shingles in common may have, about a
-quarter of the bits, no run of segments need be equal, and no index on segments is
-selective. ``similar`` therefore seeks candidates by minima of the shingles' hashes: two
-texts meet if ``MINIMA`` neighbouring minima agree in one of ``BANDS`` places, which texts
-of similarity 0.8 miss about once in 6,200 times and of 0.85 once in 71,000: the places
-overlap in a ring and are not independent. Within a place and value all are
-compared with the least and the greatest member only, so work is linear however large the
-group; two texts that are similar to each other but to neither of these, in no place, stay
-apart. Of every pair that meets, the distinct shingles decide: fingerprints count repeated
-shingles, and texts that differ in a repeated line may be far apart in them.
+quarter of the bits, no run of segments need be equal, and no index on segments of a
+fingerprint is selective. ``similar`` therefore takes its segments from the shingle set
+itself (see ``ringsets``), with the same chains and budgets, and is exact.
 
 Edge cases: a null or wordless text has fingerprint zero and links like any other; a text
 shorter than a shingle is one shingle; repeated rows and equal texts share a component;
-a null doc_id gets its component, and is no component's id unless all are null.
+a null doc_id gets its component, and is no component's id unless all are null; texts of any
+length are read whole; an empty table gives an empty result; ties of ids share a component's
+id; further columns have no effect, and may have any name but one beginning with ``__ring_``.
 """
 
 from __future__ import annotations
@@ -48,6 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ringsets
 from .common import table, written
 from .components import stars
 
@@ -161,76 +158,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     return rows.select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-BANDS = 24
-MINIMA = 3
-SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
-
-
-def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    n = max(1, len(words) - shingle + 1)
-    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), seed) for i in range(n)), dtype="<u8", count=n)
-
-
-def _sketches(batches: Iterator[pa.RecordBatch], shingle: int, bands: int) -> Iterator[pa.RecordBatch]:
-    """(node, minima): a minimum per band of the shingles' hashes under as many mixings; none for wordless texts."""
-    odd = np.random.default_rng(SEED).integers(0, 1 << 63, bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    for batch in batches:
-        minima = []
-        for text in batch.column(1):
-            hashes = shingle_hashes(text.as_py(), shingle)
-            mixed = hashes ^ (hashes >> np.uint64(29))
-            minima.append([int(((mixed * o) ^ ((mixed * o) >> np.uint64(32))).min()) & ((1 << 63) - 1) for o in odd] if len(hashes) else [0] * bands)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(minima, pa.list_(pa.int64()))], ["node", "minima"])
-
-
-def _overlap(shingle: int, similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
-        for batch in batches:
-            linked = []
-            for b, left, right in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                if b != last:
-                    last, own = b, np.unique(shingle_hashes(right.as_py(), shingle))
-                other = np.unique(shingle_hashes(left.as_py(), shingle))
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                every = len(own) + len(other) - both
-                linked.append(both >= similarity * every)
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    return run
-
-
-def _node(key: Column, text: Column) -> Column:
-    return F.xxhash64(key, text)
-
-
-def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
-    """(node, id, component_id): rows of ``docs``, each a node, with the smallest id that links of the given similarity reach."""
-    rows = docs.select(_node(F.col(key), F.col(text)).alias("node"), F.col(text).alias("text"))
-    found = written(rows.mapInArrow(partial(_sketches, shingle=shingle, bands=bands), "node long, minima array<long>"), "sketches")
-    places = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(*[F.element_at("minima", F.pmod(i + j, F.lit(bands)) + 1) for j in range(MINIMA)]).alias("k")))
-    members = found.select("node", F.explode(places).alias("p")).select("node", "p.band", "p.k")
-    ends = members.groupBy("band", "k").agg(F.min("node").alias("b0"), F.max("node").alias("b1")).where("b0 < b1")
-    ends = ends.select("band", "k", F.explode(F.array("b0", "b1")).alias("b"))
-    pairs = members.join(ends, ["band", "k"]).where("node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-    pairs = written(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = written(rows.join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
-    linked = both.select("a", "b", "left", "right").mapInArrow(_overlap(shingle, similarity), "a long, b long")
-    roots = stars(linked)
-    nodes = docs.select(_node(F.col(key), F.col(text)).alias("node"), F.col(key).alias("id"))
+def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = ringsets.SHINGLE, similarity: float = ringsets.SIMILARITY) -> DataFrame:
+    """(node, id, component_id): rows of ``docs`` with the smallest id that links of the given similarity reach, exactly; equal texts are one node."""
+    roots = ringsets.classes(docs, text, shingle, similarity)
+    nodes = docs.select(ringsets.node_of(F.col(text)).alias("node"), F.col(key).alias("id"))
     rooted = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     return rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "id", "component_id")
 
 
+def _row(key: Column, node: Column) -> Column:
+    return F.struct(F.xxhash64(key, node).alias("both"), node.alias("node"))
+
+
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of similar texts, the one with the smallest id."""
-    stay = similar(docs, text, key, **how).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("node").alias("__node")).distinct()
-    return docs.withColumn("__node", _node(F.col(key), F.col(text))).join(stay, "__node", "left_semi").drop("__node")
+    """The rows of ``docs`` that stay: of each group of similar texts, the one with the smallest id. Rows that repeat id and text stay or go together."""
+    stay = similar(docs, text, key, **how).where(F.col("id").eqNullSafe(F.col("component_id"))).select(_row(F.col("id"), F.col("node")).alias("__ring_row")).distinct()
+    return docs.withColumn("__ring_row", _row(F.col(key), ringsets.node_of(F.col(text)))).join(stay, "__ring_row", "left_semi").drop("__ring_row")
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

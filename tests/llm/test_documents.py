@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from raysheaf.llm import bpe, exact_dedup, langid, media, mixing, quality, simhash, toxicity
+from raysheaf.llm import bpe, exact_dedup, langid, media, mixing, quality, ringsets, simhash, toxicity
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, size long, target double, digest string, fp long, id long"
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
@@ -172,6 +172,68 @@ def test_similar_texts(spark, docs, none):
     assert simhash.one_of_each(docs).columns == docs.columns
 
 
+def jaccard_classes(texts):
+    """Component ids over all pairs, by the definition."""
+    sets = [set(zip(*[w[i:] for i in range(5)], strict=False)) or {tuple(w)} if (w := (t or "").lower().split()) else set() for t in texts]
+    least = list(range(len(texts)))
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in pairs:
+            m = min(least[i], least[j])
+            changed |= least[i] != m or least[j] != m
+            least[i] = least[j] = m
+    return least
+
+
+def test_chains_miss_no_similar_sets():
+    rng, scheme, found = np.random.default_rng(3), ringsets.Scheme(0.8), 0
+    for _ in range(600):
+        a = np.unique(rng.integers(1, 1 << 62, int(rng.integers(1, 300))).astype(np.uint64))
+        kept = a[: len(a) - int(rng.integers(0, len(a) // 5 + 1))]
+        b = np.unique(np.r_[kept, rng.integers(1, 1 << 62, int(rng.integers(0, len(a) // 5 + 1))).astype(np.uint64)])
+        both = len(np.intersect1d(a, b))
+        if len(b) and both >= 0.8 * (len(a) + len(b) - both):
+            found += 1
+            left, right = ({int(k): int(w) for keys, words in ringsets.rows_of(x, scheme) for k, w in zip(keys, words, strict=True)} for x in (a, b))
+            assert any(ringsets.within(np.array([left[k]]), np.array([right[k]]))[0] and min(left[k], right[k]) < 1 << ringsets.UPPER for k in left.keys() & right.keys())
+    assert found > 200
+
+
+def test_similar_by_brute_force_in_groups_at_the_threshold(spark):
+    """Groups of edited copies around four fifths, where many a copy is similar to some of its group only; families that share a passage; short and equal texts."""
+    rng, texts = np.random.default_rng(12), ["", " ", None, "one", "One", "a b c d", "a b c d e", "a b c d e f"]
+    for g, (size, edits, copies) in enumerate([(200, 3, 120), (200, 2, 40), (60, 1, 30), (12, 1, 20), (900, 14, 25)]):
+        base = [f"g{g}x{i}" for i in range(size)]
+        for c in range(copies):
+            own = list(base)
+            for at in rng.choice(size, edits, replace=False):
+                own[at] = f"e{g}y{c}z{at}"
+            texts.append(" ".join(own[: size - int(rng.integers(0, size // 20 + 1))]))
+    passage = [f"p{i}" for i in range(60)]
+    texts += [" ".join([*passage, *(f"q{c}r{i}" for i in range(15 if c % 2 else 40))]) for c in range(60)]
+    texts += [texts[20], texts[20], texts[150]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.id: r.component_id for r in simhash.similar(d).collect()}
+    want = jaccard_classes(texts)
+    assert got == dict(enumerate(want)) and 20 < len(set(want)) < len(texts) - 100
+    assert sorted(r.doc_id for r in simhash.one_of_each(d).collect()) == sorted(set(want))
+
+
+def test_buckets_are_streamed(spark):
+    """A bucket that goes over many batches gives the same rows as one that does not."""
+    import pyarrow as pa
+
+    keys, nodes = [1, 1, 1, 1, 2, 3, 3, 3, 4, 4], [5, 6, 6, 7, 8, 9, 9, 9, 1, 2]
+    words = [0] * 8 + [1 << ringsets.UPPER] * 2
+    whole = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, nodes, words)], ["key", "node", "word"])
+    want = [(1, 5, 5, False), (1, 6, 5, True), (1, 7, 5, True)]
+    for size in (1, 2, 3, 10):
+        got = [r for b in ringsets._runs(whole.slice(i, size) for i in range(0, 10, size)) for r in b.to_pylist()]
+        assert [(r["key"], r["node"], r["pivot"], r["fits"]) for r in got] == want
+
+
 # BPE
 
 
