@@ -168,3 +168,43 @@ def ramp(t: Column, stops: list[tuple[float, float, float]]) -> dict[str, Column
     at = F.least(F.floor(x), F.lit(n - 1)).cast("int")
     pick = lambda c, d: F.element_at(F.array(*[F.lit(float(s[c])) for s in stops]), at + 1 + d)
     return {name: linear(pick(c, 0), pick(c, 1), x - at) for c, name in enumerate(("red", "green", "blue"))}
+
+
+def in_polygon(x: Column, y: Column, points: Column) -> Column:
+    """SF-30: even-odd rule over an array of (x, y); an edge holds its lower end and not its upper."""
+    n = F.size(points)
+    following = lambda i: F.element_at(points, (i + 1) % n + 1)
+    crossed = F.filter(points, lambda p, i: ((p["y"] > y) != (following(i)["y"] > y)) & (x < (following(i)["x"] - p["x"]) * (y - p["y"]) / F.nullif(following(i)["y"] - p["y"], F.lit(0.0)) + p["x"]))
+    return F.size(crossed) % 2 == 1
+
+
+def numbers_in(text: Column, negative: bool = False) -> Column:
+    """SF-39: array of the numbers in a list with commas or blanks; other words are left out. Unless ``negative``, the list ends at a word that begins with a minus sign."""
+    held = text if negative else F.regexp_replace(text, r"(^|[,\s]+)-[\s\S]*$", "")
+    return F.filter(F.transform(F.split(held, r"[,\s]+"), lambda w: w.try_cast("double")), lambda v: v.isNotNull())
+
+
+def inverse(m: list[list[float]]) -> list[list[float]]:
+    """SF-02: inverse of a 3 by 3 matrix of numbers, the identity where it has none."""
+    c = lambda i, j: m[(i + 1) % 3][(j + 1) % 3] * m[(i + 2) % 3][(j + 2) % 3] - m[(i + 1) % 3][(j + 2) % 3] * m[(i + 2) % 3][(j + 1) % 3]
+    det = sum(m[0][j] * c(0, j) for j in range(3))
+    if abs(det) < 1e-14:
+        return [[float(i == j) for j in range(3)] for i in range(3)]
+    return [[c(j, i) / det for j in range(3)] for i in range(3)]
+
+
+def by_type(kind: Column, colours: dict[int, tuple[float, float, float]], default: tuple[float, float, float]) -> dict[str, Column]:
+    """SF-33: colour of a particle's type."""
+    found = {}
+    for c, name in enumerate(("red", "green", "blue")):
+        pick = F.lit(float(default[c]))
+        for k, colour in colours.items():
+            pick = F.when(kind == k, float(colour[c])).otherwise(pick)
+        found[name] = pick
+    return found
+
+
+def ramp_between(x: Column, low: Column, high: Column, stops: list[tuple[float, float, float]]) -> dict[str, Column]:
+    """SF-33: colour of a value in a range; grey where the range is empty."""
+    t = (x - low) / F.nullif(high - low, F.lit(0.0))
+    return {n: F.when(high > low, c).otherwise(0.5) for n, c in ramp(F.coalesce(t, F.lit(0.0)), stops).items()}

@@ -1,6 +1,6 @@
 """Registered queries, by family."""
 
-from . import catalog, dose, geometry, phase_space, planning
+from . import catalog, dose, geometry, phase_space, plan, planning
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "catalog", "dose", "geometry", "phase_space", "planning"]
+__all__ = ["QUERIES", "SQL", "catalog", "dose", "geometry", "phase_space", "plan", "planning"]

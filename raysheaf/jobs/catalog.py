@@ -30,7 +30,8 @@ def _(t):
     return ca.named(t.read("part").select(p.alias("item"), (p % 55).alias("roi")), names)
 
 
-_PICK = [f"coalesce({x}, {[p[c] for p in ca.PALETTE]}[(p_partkey % {len(ca.PALETTE)} + 1)::INT])::INT" for c, x in enumerate(("CASE WHEN p_size > 25 THEN p_size END", "CASE WHEN p_size > 25 THEN p_size + 1 END", "CASE WHEN p_size > 25 THEN p_size + 2 END"))]
+_RED, _GREEN, _BLUE = "[255, 0, 0, 255, 255, 0, 255, 128, 255, 0]", "[0, 255, 0, 255, 0, 255, 128, 0, 192, 128]", "[0, 0, 255, 0, 255, 255, 0, 255, 203, 0]"
+_PICK = [f"coalesce(CASE WHEN p_size > 25 THEN p_size + {c} END, {x}[(p_partkey % 10 + 1)::INT])::INT" for c, x in enumerate((_RED, _GREEN, _BLUE))]
 
 
 @query("io13_colours", f"SELECT p_partkey AS ordinal, {_PICK[0]} AS red, {_PICK[1]} AS green, {_PICK[2]} AS blue FROM part")
@@ -66,11 +67,10 @@ def _(t):
     return ge._fluence(t).groupBy("beam").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"), F.max("fluence").alias("top"))
 
 
-@query("ag27_sequence_totals", f"SELECT round(sum(weight / 1e1), 6) AS mu, count(*) AS segments FROM {ge.RUNS}")
+@query("ag27_sequence_totals", f"WITH f AS ({ge.FIDELITY}) SELECT round(sum(weight / 1e1), 6) AS mu, count(*) AS segments, (SELECT round(avg(fidelity), 5) FROM f WHERE beam IN (SELECT beam FROM {ge.RUNS})) AS fidelity FROM {ge.RUNS}")
 def _(t):
     runs = sq.shape_runs(ge._quantised(t)).withColumn("mu", F.col("weight") / 10.0)
-    per = runs.select("beam").distinct().withColumn("fidelity", F.lit(1.0))
-    return sq.totals(runs, per).select("mu", "segments")
+    return sq.totals(runs, ge._fidelity(t).select("beam", "fidelity")).select("mu", "segments", F.round("fidelity", 5).alias("fidelity"))
 
 
 @query("jn18_beam_angles", f"SELECT beam::INT AS beam, gantry, couch FROM {ge.PLAN}")

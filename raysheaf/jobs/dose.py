@@ -24,12 +24,12 @@ def by_brand(t: Tables) -> DataFrame:
 
 
 def _stats_sql(rows: str) -> str:
-    dx = ", ".join(f"round(quantile_cont(dose, {1 - p / 100:.10g}), 6) AS d{p}" for p in (2, 5, 50, 95, 98))
-    vx = ", ".join(f"round(100e0 * avg(CASE WHEN dose >= {x} THEN 1e0 ELSE 0e0 END), 6) AS v{x}" for x in (20, 40))
-    return f"SELECT structure, count(*) AS n, round(min(dose), 6) AS min_dose, round(max(dose), 6) AS max_dose, round(avg(dose), 6) AS mean_dose, round(stddev_pop(dose), 6) AS std_dose, {dx}, {vx} FROM {rows} GROUP BY structure"
+    dx = ", ".join(f"round(quantile_cont(dose, {1 - p / 100:.10g}), 9) AS d{p}" for p in (2, 5, 50, 95, 98))
+    vx = ", ".join(f"round(100e0 * avg(CASE WHEN dose >= {x} THEN 1e0 ELSE 0e0 END), 9) AS v{x}" for x in (20, 40))
+    return f"SELECT structure, count(*) AS n, round(min(dose), 9) AS min_dose, round(max(dose), 9) AS max_dose, round(avg(dose), 9) AS mean_dose, round(stddev_pop(dose), 9) AS std_dose, {dx}, {vx} FROM {rows} GROUP BY structure"
 
 
-query("flagship_structure_dose", _stats_sql(f"(SELECT p_brand AS structure, dose FROM {FORWARD} f JOIN part ON p_partkey = f.voxel)"))(by_brand)
+query("flagship_structure_dose", _stats_sql(f"(SELECT p_brand AS structure, dose FROM {FORWARD} f JOIN part ON p_partkey = f.voxel)"), digits=9)(by_brand)
 
 
 @query("ag01_dij_finalize", f"SELECT voxel, bixel, round(value, 6) AS value FROM {DIJ}")
@@ -124,14 +124,14 @@ def _(t):
     return an.grid_summary(t.doses())
 
 
-@query("ag05_structure_stats", _stats_sql(DOSES))
+@query("ag05_structure_stats", _stats_sql(DOSES), digits=9)
 def _(t):
     return an.summary(t.doses())
 
 
 @query("ag06_dx", f"SELECT structure, round(quantile_cont(dose, 5e-1), 6) AS d50, round(quantile_cont(dose, 1e-1), 6) AS d90, round(quantile_cont(dose, 99e-2), 6) AS d1 FROM {DOSES} GROUP BY structure")
 def _(t):
-    return t.doses().groupBy("structure").agg(*[an.dose_at_volume(p).alias(f"d{p}") for p in (50, 90, 1)])
+    return an.doses_at_volumes(t.doses(), (50, 90, 1))
 
 
 @query("ag07_vx", f"SELECT structure, {', '.join(f'round(100e0 * avg(CASE WHEN dose >= {x} THEN 1e0 ELSE 0e0 END), 6) AS v{x}' for x in (20, 40, 50, 60))} FROM {DOSES} GROUP BY structure")
@@ -206,17 +206,16 @@ def _(t):
 
 
 RANKED = f"(SELECT structure, dose, row_number() OVER (PARTITION BY structure ORDER BY dose, o1, o2, o3, o4) - 1 AS rank, count(*) OVER (PARTITION BY structure) AS total FROM {DOSES})"
-ORDER = ("o1", "o2", "o3", "o4")
 
 
 @query("ag14_dvh_min", f"SELECT structure, round(3e0 * sum(CASE WHEN rank >= floor(5e-2 * total) THEN pow(greatest(60 - dose, 0e0), 2) ELSE 0e0 END), 4) AS value FROM {RANKED} GROUP BY structure", digits=4)
 def _(t):
-    return an.dvh_objective(t.doses(), "min", 60.0, 0.95, 3.0, ORDER)
+    return an.dvh_objective(t.doses(), "min", 60.0, 0.95, 3.0)
 
 
 @query("ag14_dvh_max", f"SELECT structure, round(3e0 * sum(CASE WHEN rank < total - ceil(3e-1 * total) THEN pow(greatest(dose - 20, 0e0), 2) ELSE 0e0 END), 4) AS value FROM {RANKED} GROUP BY structure", digits=4)
 def _(t):
-    return an.dvh_objective(t.doses(), "max", 20.0, 0.3, 3.0, ORDER)
+    return an.dvh_objective(t.doses(), "max", 20.0, 0.3, 3.0)
 
 
 _E, _N = f"greatest(dose - {RX * LEVEL}::DOUBLE, 0e0)", f"(greatest(dose - {RX * LEVEL}::DOUBLE, 0e0) / {RX}::DOUBLE)"

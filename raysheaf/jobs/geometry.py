@@ -109,9 +109,31 @@ def _plan(t: Tables) -> DataFrame:
 
 
 PLAN = "(SELECT row_number() OVER (ORDER BY couch, gantry) - 1 AS beam, gantry, couch FROM (SELECT (r_regionkey * 72)::DOUBLE AS gantry FROM region) CROSS JOIN (SELECT (n_nationkey * 15)::DOUBLE AS couch FROM nation WHERE n_nationkey < 2))"
-BEV = f"""(SELECT beam, cc * cg * x + sg * y - sc * cg * z AS bx, -cc * sg * x + cg * y + sc * sg * z AS b_y, sc * x + cc * z AS bz
-  FROM {POINTS}, (SELECT *, cos(radians(gantry)) AS cg, sin(radians(gantry)) AS sg, cos(radians(couch)) AS cc, sin(radians(couch)) AS sc FROM {PLAN}))"""
-RAYS = f"(SELECT DISTINCT beam, round(round(bx * 1e3 / (1e3 + b_y) / 7, 9))::BIGINT AS ix, round(round(bz * 1e3 / (1e3 + b_y) / 7, 9))::BIGINT AS iz FROM {BEV})"
+
+
+def angles_sql(plan: str) -> str:
+    return f"(SELECT *, cos(radians(gantry)) AS cg, sin(radians(gantry)) AS sg, cos(radians(couch)) AS cc, sin(radians(couch)) AS sc FROM {plan})"
+
+
+def bev_sql(plan: str, points: str = POINTS) -> str:
+    """(id, beam, x, y, z, bx, b_y, bz) of points in each beam's eye view."""
+    return f"(SELECT id, beam, x, y, z, cc * cg * x + sg * y - sc * cg * z AS bx, -cc * sg * x + cg * y + sc * sg * z AS b_y, sc * x + cc * z AS bz FROM {points}, {angles_sql(plan)})"
+
+
+def rays_sql(bev: str) -> str:
+    return f"(SELECT DISTINCT beam, round(round(bx * 1e3 / (1e3 + b_y) / 7, 9))::BIGINT AS ix, round(round(bz * 1e3 / (1e3 + b_y) / 7, 9))::BIGINT AS iz FROM {bev})"
+
+
+def numbered_sql(rays: str) -> str:
+    return f"(SELECT beam, ix, iz, row_number() OVER (PARTITION BY beam ORDER BY ix, iz) - 1 AS ray FROM {rays})"
+
+
+def bixels_sql(numbered: str) -> str:
+    return f"(SELECT beam, ray, ix, iz, (first + ray)::BIGINT AS bixel FROM {numbered} JOIN (SELECT beam, sum(count(*)) OVER (ORDER BY beam) - count(*) AS first FROM {numbered} GROUP BY beam) USING (beam))"
+
+
+BEV = bev_sql(PLAN)
+RAYS = rays_sql(BEV)
 
 
 def _rays(t: Tables, pad: int = 0) -> DataFrame:
@@ -128,7 +150,7 @@ def _(t):
     return _rays(t, 1)
 
 
-NUMBERED = f"(SELECT beam, ix, iz, row_number() OVER (PARTITION BY beam ORDER BY ix, iz) - 1 AS ray FROM {RAYS})"
+NUMBERED = numbered_sql(RAYS)
 
 
 @query("sl01_ray_order", NUMBERED[1:-1])
@@ -159,18 +181,23 @@ def _(t):
 
 BOX = rt.Box((10, 10, 10), (10.0, 10.0, 10.0), (-45.0, -45.0, -45.0))
 RHO = "(SELECT p_partkey % 10 AS i, (p_partkey // 10) % 10 AS j, (p_partkey // 100) % 10 AS k, CASE WHEN min(p_partkey) % 10 < 2 THEN 0e0 ELSE max(p_size) / 25e0 END AS rho FROM part GROUP BY ALL)"
-_AXIS = "SELECT id, (-50 + 10 * p.i - {s}) / nullif({a} - {s}, 0) AS alpha FROM r, range(11) p(i)"
-SEGMENTS = f"""
-WITH r AS (SELECT id, -200e0 AS sx, 3e0 AS sy, -4e0 AS sz, 150e0 AS tx, y AS ty, z AS tz FROM {POINTS}),
-planes AS (SELECT id, (-50 + 10 * p.i - sx) / (tx - sx) AS alpha FROM r, range(11) p(i) UNION ALL SELECT id, (-50 + 10 * p.i - sy) / (ty - sy) FROM r, range(11) p(i) UNION ALL SELECT id, (-50 + 10 * p.i - sz) / (tz - sz) FROM r, range(11) p(i)),
-ends AS (SELECT id, greatest(0, least((-50 - sx) / (tx - sx), (50 - sx) / (tx - sx)), least((-50 - sy) / (ty - sy), (50 - sy) / (ty - sy)), least((-50 - sz) / (tz - sz), (50 - sz) / (tz - sz))) AS lo,
-  least(1, greatest((-50 - sx) / (tx - sx), (50 - sx) / (tx - sx)), greatest((-50 - sy) / (ty - sy), (50 - sy) / (ty - sy)), greatest((-50 - sz) / (tz - sz), (50 - sz) / (tz - sz))) AS hi FROM r),
-cuts AS (SELECT id, alpha FROM planes JOIN ends USING (id) WHERE lo < hi AND alpha > lo AND alpha < hi UNION ALL SELECT id, lo FROM ends WHERE lo < hi UNION ALL SELECT id, hi FROM ends WHERE lo < hi),
-pieces AS (SELECT id, alpha AS a, lead(alpha) OVER (PARTITION BY id ORDER BY alpha) AS b FROM cuts),
-seg AS (SELECT p.id, a, b, sqrt(pow(tx - sx, 2) + pow(ty - sy, 2) + pow(tz - sz, 2)) AS len, round((sx + (a + b) / 2 * (tx - sx) + 45) / 10)::BIGINT AS i, round((sy + (a + b) / 2 * (ty - sy) + 45) / 10)::BIGINT AS j, round((sz + (a + b) / 2 * (tz - sz) + 45) / 10)::BIGINT AS k
-  FROM pieces p JOIN r USING (id) WHERE b IS NOT NULL),
-traced AS (SELECT id AS ray, i, j, k, a * len AS start, (b - a) * len AS length FROM seg WHERE (b - a) * len > 1e-9 AND i BETWEEN 0 AND 9 AND j BETWEEN 0 AND 9 AND k BETWEEN 0 AND 9),
-dense AS (SELECT t.*, coalesce(d.rho, 1e0) AS rho FROM traced t LEFT JOIN {RHO} d USING (i, j, k))"""
+def traced_sql(rays: str, p: str = "") -> str:
+    """Common table expressions up to ``{p}dense`` (ray, i, j, k, start, length, rho): segments in BOX of the relation (id, sx, sy, sz, tx, ty, tz)."""
+    planes = " UNION ALL ".join(f"SELECT id, (-50 + 10 * p.i - s{a}) / (t{a} - s{a}) AS alpha FROM {p}r, range(11) p(i)" for a in "xyz")
+    ends = lambda f: ", ".join(f"{f}((-50 - s{a}) / (t{a} - s{a}), (50 - s{a}) / (t{a} - s{a}))" for a in "xyz")
+    at = ", ".join(f"round((s{a} + (a + b) / 2 * (t{a} - s{a}) + 45) / 10)::BIGINT AS {n}" for a, n in zip("xyz", "ijk", strict=True))
+    return f"""
+{p}r AS ({rays}),
+{p}planes AS ({planes}),
+{p}ends AS (SELECT id, greatest(0, {ends("least")}) AS lo, least(1, {ends("greatest")}) AS hi FROM {p}r),
+{p}cuts AS (SELECT id, alpha FROM {p}planes JOIN {p}ends USING (id) WHERE lo < hi AND alpha > lo AND alpha < hi UNION ALL SELECT id, lo FROM {p}ends WHERE lo < hi UNION ALL SELECT id, hi FROM {p}ends WHERE lo < hi),
+{p}pieces AS (SELECT id, alpha AS a, lead(alpha) OVER (PARTITION BY id ORDER BY alpha) AS b FROM {p}cuts),
+{p}seg AS (SELECT p.id, a, b, sqrt(pow(tx - sx, 2) + pow(ty - sy, 2) + pow(tz - sz, 2)) AS len, {at} FROM {p}pieces p JOIN {p}r USING (id) WHERE b IS NOT NULL),
+{p}traced AS (SELECT id AS ray, i, j, k, a * len AS start, (b - a) * len AS length FROM {p}seg WHERE (b - a) * len > 1e-9 AND i BETWEEN 0 AND 9 AND j BETWEEN 0 AND 9 AND k BETWEEN 0 AND 9),
+{p}dense AS (SELECT t.*, coalesce(d.rho, 1e0) AS rho FROM {p}traced t LEFT JOIN {RHO} d USING (i, j, k))"""
+
+
+SEGMENTS = "WITH " + traced_sql(f"SELECT id, -200e0 AS sx, 3e0 AS sy, -4e0 AS sz, 150e0 AS tx, y AS ty, z AS tz FROM {POINTS}")
 
 
 def _traced(t: Tables) -> DataFrame:
@@ -178,10 +205,13 @@ def _traced(t: Tables) -> DataFrame:
     return rt.segments(rays, BOX)
 
 
-def _dense(t: Tables) -> DataFrame:
+def _density(t: Tables) -> DataFrame:
     p = F.col("p_partkey")
-    rho = t.read("part").groupBy((p % 10).alias("i"), (F.floor(p / 10) % 10).alias("j"), (F.floor(p / 100) % 10).alias("k")).agg(F.when(F.first(p % 10) < 2, 0.0).otherwise(F.max("p_size") / 25.0).alias("rho"))
-    return rt.with_density(_traced(t), rho)
+    return t.read("part").groupBy((p % 10).alias("i"), (F.floor(p / 10) % 10).alias("j"), (F.floor(p / 100) % 10).alias("k")).agg(F.when(F.first(p % 10) < 2, 0.0).otherwise(F.max("p_size") / 25.0).alias("rho"))
+
+
+def _dense(t: Tables) -> DataFrame:
+    return rt.with_density(_traced(t), _density(t))
 
 
 @query("ak01_ray_segments", f"{SEGMENTS} SELECT ray, i, j, k, round(length, 5) AS length FROM traced", digits=5)
@@ -308,7 +338,13 @@ def _(t):
     return sq.shape_runs(_quantised(t))
 
 
-@query("ak32_merged_segments")
+@query("ak32_merged_segments", f"""
+WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY beam ORDER BY first_level) AS n FROM {RUNS}),
+g AS (SELECT beam, n, first_level AS start, weight AS held, 0 AS part FROM r WHERE n = 1
+  UNION ALL SELECT r.beam, r.n, CASE WHEN held / 1e1 >= 15e-2 THEN r.first_level ELSE start END, CASE WHEN held / 1e1 >= 15e-2 THEN r.weight ELSE held + r.weight END, CASE WHEN held / 1e1 >= 15e-2 THEN part + 1 ELSE part END FROM g JOIN r ON r.beam = g.beam AND r.n = g.n + 1),
+w AS (SELECT beam, part, min(start) AS start, max(held) AS held, max(part) OVER (PARTITION BY beam) AS last FROM g GROUP BY beam, part),
+m AS (SELECT beam, CASE WHEN part = last AND held / 1e1 < 15e-2 AND last > 0 THEN part - 1 ELSE part END AS part, start, held FROM w)
+SELECT beam, min(start)::INT AS first_level, sum(held)::INT AS weight, round(sum(held) / 1e1, 6) AS mu FROM m GROUP BY beam, part""")
 def _(t):
     return sq.merged_runs(sq.shape_runs(_quantised(t)), LEVELS, 1.0, 0.15)
 
@@ -318,23 +354,30 @@ def _(t):
     return sq.banks(sq.openings(_quantised(t)), BW, 0.5)
 
 
-@query("ag26_fidelity", f"""
+FIDELITY = f"""
 WITH p AS (SELECT f.beam, f.fluence AS a, coalesce(q.q, 0) / 1e1 AS b FROM (SELECT beam, row, col, fluence, coalesce(lp, -1) AS lp FROM {FLUENCE} LEFT JOIN {LEAVES} ON z >= low AND z < high) f LEFT JOIN {QUANT} q USING (beam, lp, col))
-SELECT beam, round(CASE WHEN var_pop(a) < 1e-24 AND var_pop(b) < 1e-24 THEN 1e0 WHEN var_pop(a) < 1e-24 OR var_pop(b) < 1e-24 THEN 0e0 ELSE covar_pop(a, b) / sqrt(var_pop(a) * var_pop(b)) END, 6) AS fidelity, count(*) AS n FROM p GROUP BY beam""")
-def _(t):
+SELECT beam, round(CASE WHEN var_pop(a) < 1e-24 AND var_pop(b) < 1e-24 THEN 1e0 WHEN var_pop(a) < 1e-24 OR var_pop(b) < 1e-24 THEN 0e0 ELSE covar_pop(a, b) / sqrt(var_pop(a) * var_pop(b)) END, 6) AS fidelity, count(*) AS n FROM p GROUP BY beam"""
+
+
+def _fidelity(t: Tables) -> DataFrame:
     f = sq.rows_to_pairs(_fluence(t), _leaves(t))
     both = f.join(_quantised(t), ["beam", "lp", "col"], "left").select("beam", F.col("fluence").alias("a"), sq.deliverable(F.coalesce("q", F.lit(0)), LEVELS, F.lit(1.0)).alias("b"))
     return sq.fidelity(both)
 
 
+query("ag26_fidelity", FIDELITY)(_fidelity)
+
+
 # Masks
 
-CELLS = "(SELECT DISTINCT (event_id // 4000)::BIGINT AS k, (user_id % 12)::INT AS i, (event_id % 12)::INT AS j FROM events WHERE event_id % 40 = 0 OR user_id % 12 = event_id % 12)"
+CELLS = "(SELECT (event_id // 4000)::BIGINT AS k, (user_id % 12)::INT AS i, (event_id % 12)::INT AS j FROM events GROUP BY ALL HAVING avg(value) > 70)"
 
 
 def _cells(t: Tables) -> DataFrame:
+    """Cells of a slice whose mean value is over a threshold, of all rows; slices grow with the table."""
     e, u = F.col("event_id"), F.col("user_id")
-    return t.read("events").where((e % 40 == 0) | (u % 12 == e % 12)).select(F.floor(e / 4000).alias("k"), (u % 12).cast("int").alias("i"), (e % 12).cast("int").alias("j")).distinct()
+    cells = t.read("events").groupBy(F.floor(e / 4000).alias("k"), (u % 12).cast("int").alias("i"), (e % 12).cast("int").alias("j"))
+    return cells.agg(F.avg("value").alias("mean")).where("mean > 70").select("k", "i", "j")
 
 
 @query("wn11_row_edges", f'SELECT k, i, min(j) AS "left", max(j) AS "right" FROM {CELLS} GROUP BY k, i')
@@ -350,7 +393,15 @@ def _(t):
     return mo.component_labels(_cells(t), 12, 12)
 
 
-@query("ak17_filled_body")
+@query("ak17_filled_body", f"""
+WITH RECURSIVE c AS (SELECT * FROM {CELLS}), grid AS (SELECT k, a.i::INT AS i, b.i::INT AS j FROM (SELECT DISTINCT k FROM c), range(12) a(i), range(12) b(i)),
+free AS (SELECT * FROM grid EXCEPT SELECT k, i, j FROM c),
+outer_ AS (SELECT * FROM free WHERE i IN (0, 11) OR j IN (0, 11) UNION SELECT f.k, f.i, f.j FROM outer_ o JOIN free f ON f.k = o.k AND abs(f.i - o.i) + abs(f.j - o.j) = 1),
+body AS (SELECT k, i, j, (j * 12 + i)::BIGINT AS id FROM (SELECT * FROM grid EXCEPT SELECT * FROM outer_)),
+reach AS (SELECT k, i, j, id FROM body UNION SELECT b.k, b.i, b.j, r.id FROM reach r JOIN body b ON b.k = r.k AND abs(b.i - r.i) + abs(b.j - r.j) = 1),
+label AS (SELECT k, i, j, min(id) AS id FROM reach GROUP BY k, i, j),
+top AS (SELECT k, id FROM label GROUP BY k, id QUALIFY row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, id) = 1)
+SELECT k, i, j FROM label JOIN top USING (k, id)""")
 def _(t):
     return mo.filled_body(_cells(t), 12, 12)
 
@@ -388,11 +439,13 @@ def _(t):
 
 
 @query("ak37_blur", f"""
-WITH v AS (SELECT i, j, k, dose AS v FROM {FIELD})
-SELECT a.i, a.j, a.k, round(sum(b.v / (1 + abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k))) / sum(1e0 / (1 + abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k))), 6) AS v
+WITH v AS (SELECT p_partkey % 10 AS i, (p_partkey // 10) % 10 AS j, (p_partkey // 100) % 4 AS k, avg(p_retailprice) / 100 AS v FROM part GROUP BY ALL)
+SELECT a.i, a.j, a.k, round(CASE WHEN a.i BETWEEN 1 AND 8 AND a.j BETWEEN 1 AND 8 AND a.k BETWEEN 1 AND 2 THEN sum(b.v / (1 + abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k))) / (1 + 6 / 2e0 + 12 / 3e0 + 8 / 4e0) ELSE 0e0 END, 6) AS v
 FROM v a JOIN v b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND abs(a.k - b.k) <= 1 GROUP BY a.i, a.j, a.k""")
 def _(t):
-    return mo.blurred(_field(t).withColumnRenamed("dose", "v"))
+    p = F.col("p_partkey")
+    volume = t.read("part").groupBy((p % 10).alias("i"), (F.floor(p / 10) % 10).alias("j"), (F.floor(p / 100) % 4).alias("k")).agg((F.avg("p_retailprice") / 100).alias("v"))
+    return mo.blurred(volume, (10, 10, 4))
 
 
 @query("st01_union_voxels", f"SELECT i, j, k FROM {VOXELS} UNION SELECT p_partkey % 60, p_size % 50, p_partkey % 40 FROM part")

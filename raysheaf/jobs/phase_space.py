@@ -50,9 +50,9 @@ def _(t):
     return ps.energy_histogram(t.particles())
 
 
-@query("io25_strided_scan", f"SELECT rec, round(energy, 6) AS energy FROM {PARTICLES} WHERE rec % 7 = 0 AND rec < 7 * 1000")
+@query("io25_strided_scan", f"WITH s AS (SELECT greatest(1, (SELECT count(*) FROM events) // 1000) AS stride) SELECT rec, round(energy, 6) AS energy FROM {PARTICLES}, s WHERE rec % stride = 0 AND rec < stride * 1000")
 def _(t):
-    return ps.strided(t.particles(), 1000, 7500).select("rec", "energy")
+    return ps.strided(t.particles(), 1000).select("rec", "energy")
 
 
 @query("io26_capped_files", f"SELECT file, rec FROM (SELECT file, rec, row_number() OVER (ORDER BY file, rec) AS rn FROM {PARTICLES}) WHERE rn <= 600")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import kernels as ke
 from ..operators import optimize as op
 from ..operators import sparse as sp
+from .plan import SPOT, _built
 from .registry import query
 
 
@@ -23,12 +24,10 @@ def _(t):
 
 @query("ak24_optimized_weights", digits=3)
 def _(t):
-    """AK-24, AK-29: weights of 25 groups of bixels that bring every voxel near its goal, within bounds."""
-    dij = t.entries().select("voxel", (F.col("bixel") % 25).alias("bixel"), "value")
-    dij = sp.combined(dij)
-    goals = t.read("part").select(F.col("p_partkey").alias("voxel"), (F.col("p_size") / 5.0).alias("goal"))
-    n = goals.count()
-    evaluate, release = op.fluence_objective(dij, lambda dose: (F.pow(dose - F.col("goal"), 2) / n, 2 * (dose - F.col("goal")) / n), list(range(25)), goals, l2=1e-3)
-    found = op.minimise(evaluate, 25, 0.0, 10.0, iterations=15, tolerance=1e-4)
-    release()
-    return t.spark.createDataFrame([(i, float(w)) for i, w in enumerate(found.weights)], "bixel long, weight double")
+    """AK-24, AK-29: one weight per bixel of the table that brings every structure near its goals, within bounds."""
+    objectives, goals = _built(t)
+    dij = sp.combined(t.entries())
+    bixels = [r[0] for r in t.read("supplier").select("s_suppkey").orderBy("s_suppkey").collect()]  # a plan's bixels
+    voxels = t.read("part").select(F.col("p_partkey").alias("voxel"))
+    found = op.optimised(dij, bixels, voxels, objectives, goals, SPOT, 60.0, iterations=8, tolerance=1e-3, l2=1e-3)
+    return t.spark.createDataFrame([(int(b), float(w)) for b, w in zip(bixels, found.weights, strict=True)], "bixel long, weight double")

@@ -57,6 +57,23 @@ def mapped(voxels: DataFrame, source: Grid, target: Grid) -> DataFrame:
     return voxels.select(*[x.alias(n) for x, n in zip(at, "ijk", strict=True)]).where(inside).distinct()
 
 
+def overlaid(pixels: DataFrame, source: Grid, target: Grid, values: DataFrame, value: str = "dose") -> DataFrame:
+    """JN-22: (i, j, k, value) of the pixels (i, j, k) of one grid with that of the nearest voxel of another; pixels outside it are left out."""
+    at = [F.round(target.index(a, source.position(a, F.col(n)))).cast("long").alias(f"t{n}") for a, n in enumerate("ijk")]
+    held = values.select(*[F.col(n).alias(f"t{n}") for n in "ijk"], value)
+    return pixels.select("i", "j", "k", *at).join(held, ["ti", "tj", "tk"]).select("i", "j", "k", value)
+
+
+def sampled(voxels: DataFrame, source: Grid, target: Grid, dose: DataFrame) -> DataFrame:
+    """AK-35, JN-06, PF-08: (structure, dose) of the voxels (structure, i, j, k) of one grid, interpolated in another; those more than half a voxel outside are left out, and structures without any left have no row."""
+    at = {n: target.index(a, source.position(a, F.col(n))) for a, n in enumerate("ijk")}
+    inside = F.lit(True)
+    for a, n in enumerate("ijk"):
+        inside = inside & at[n].between(-0.5, target.dims[a] - 0.5)
+    rows = voxels.where(inside).select(F.struct("structure", "i", "j", "k").alias("id"), *[x.alias(f"f{n}") for n, x in at.items()])
+    return trilinear(rows, dose, target.dims).select("id.structure", "dose")
+
+
 def resampled_mask(mask: DataFrame, source: Grid, target: Grid) -> DataFrame:
     """JN-05: target voxels whose nearest source voxel is in the mask.
 

@@ -37,18 +37,3 @@ def penumbra(fwhm: float, half: int, step: float) -> np.ndarray:
     x = np.arange(-half, half) * step
     g = np.exp(-(x[:, None] ** 2 + x[None, :] ** 2) / (2 * sigma**2))
     return g / g.sum()
-
-
-def radial(values: np.ndarray, value_step: float, half: int, step: float) -> np.ndarray:
-    """SF-12 on a grid: a radial profile, linear between its values and 0 beyond the last."""
-    x = np.arange(-half, half) * step
-    r = np.hypot(x[:, None], x[None, :]) / value_step
-    return np.interp(r, np.arange(len(values)), values, right=0.0)
-
-
-def beam_kernel(width: float, fwhm: float, profile: np.ndarray, profile_step: float, half: int, step: float) -> np.ndarray:
-    """AK-06: a bixel's square field, blurred by the penumbra and spread by a radial kernel, cropped to the grid. Once per machine, bixel width and kernel."""
-    x = np.arange(-half, half) * step
-    field = ((np.abs(x)[:, None] <= width / 2) & (np.abs(x)[None, :] <= width / 2)).astype(float)
-    out = convolve(convolve(field, penumbra(fwhm, half, step))[half : 3 * half, half : 3 * half], radial(profile, profile_step, half, step))
-    return out[half : 3 * half, half : 3 * half]

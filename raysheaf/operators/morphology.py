@@ -54,6 +54,11 @@ def dilated(target: DataFrame, allowed: DataFrame, dims: tuple[int, int, int], s
     return grown
 
 
+def with_margin(target: DataFrame, allowed: DataFrame, dims: tuple[int, int, int], spacing: tuple[float, float, float], width: float) -> DataFrame:
+    """AK-12: target voxels (i, j, k) grown within ``allowed`` by a bixel or a voxel, whichever is wider, per axis."""
+    return dilated(target, allowed, dims, spacing, tuple(max(s, width) for s in spacing))
+
+
 def exterior(mask: np.ndarray) -> np.ndarray:
     """AK-18: cells outside the mask that are 4-connected with the border."""
     free = ~np.pad(mask, 1)
@@ -127,10 +132,13 @@ def outline(edges: DataFrame, spacing: float = 1.0) -> DataFrame:
     return points.withColumn("pos", place).withColumn("size", size).where(F.col("pos") % step == 0).select("k", "pos", (F.col("j") * spacing).alias("x"), (F.col("i") * spacing).alias("y"))
 
 
-def blurred(volume: DataFrame) -> DataFrame:
-    """AK-37: weighted 3 by 3 by 3 mean with weights 1 / (1 + |di| + |dj| + |dk|), over the neighbours that exist."""
-    moves = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
-    near = F.explode(F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.lit(c).alias("k"), F.lit(1.0 / (1 + abs(a) + abs(b) + abs(c))).alias("w")) for a, b, c in moves]))
-    spread = volume.select("i", "j", "k", "v", near.alias("m")).select(*[(F.col(n) + F.col(f"m.{n}")).alias(n) for n in "ijk"], "v", F.col("m.w").alias("w"))
-    sums = spread.groupBy("i", "j", "k").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("b"))
-    return volume.join(sums, ["i", "j", "k"]).select("i", "j", "k", F.col("b").alias("v"))
+def blurred(volume: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
+    """AK-37: weighted 3 by 3 by 3 mean with weights 1 / (1 + |di| + |dj| + |dk|) of the inner voxels; those at the border become 0. Absent voxels count as 0."""
+    moves = [(a, b, c, 1.0 / (1 + abs(a) + abs(b) + abs(c))) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
+    near = F.explode(F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.lit(c).alias("k"), F.lit(w).alias("w")) for a, b, c, w in moves]))
+    inner = F.lit(True)
+    for n, d in zip("ijk", dims, strict=True):
+        inner = inner & F.col(n).between(1, d - 2)
+    spread = volume.select("i", "j", "k", "v", near.alias("m")).select(*[(F.col(n) + F.col(f"m.{n}")).alias(n) for n in "ijk"], (F.col("v") * F.col("m.w")).alias("wv"))
+    sums = spread.where(inner).groupBy("i", "j", "k").agg((F.sum("wv") / sum(w for *_, w in moves)).alias("b"))
+    return volume.join(sums, ["i", "j", "k"], "left").select("i", "j", "k", F.coalesce("b", F.lit(0.0)).alias("v"))

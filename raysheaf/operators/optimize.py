@@ -12,9 +12,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .objectives import Hotspot, evaluated
+
 Evaluate = Callable[[np.ndarray], tuple[float, np.ndarray]]
 
 
@@ -97,27 +99,70 @@ def _search(evaluate: Evaluate, x, f, g, d, low, high, evaluations, step, c1=1e-
     return best
 
 
-def fluence_objective(dij: DataFrame, voxel_terms: Callable[[Column], tuple[Column, Column]], bixels: list[int], goals: DataFrame, l2: float = 0.0) -> tuple[Evaluate, Callable[[], None]]:
+def fluence_objective(
+    dij: DataFrame,
+    bixels: list[int],
+    voxels: DataFrame,
+    terms: Callable[[DataFrame], DataFrame],
+    l2: float = 0.0,
+    l1: float = 0.0,
+    smoothing: float = 0.0,
+    edges: list[tuple[int, int]] = (),
+    partitions: int | None = None,
+) -> tuple[Evaluate, Callable[[], None]]:
     """AG-17 as a function of the weights: value and gradient; and what releases the kept matrix.
 
-    ``goals`` has a row per voxel with what ``voxel_terms(dose)`` needs: value and derivative
-    per voxel. Weights travel to the executors as one small table.
+    ``terms`` makes (voxel, f, g) of (voxel, dose), where voxels of ``voxels`` without entries have
+    dose 0. The matrix is partitioned by voxel once and kept so: the forward product and the
+    join with the gradient move nothing, and only partial sums by bixel do. Weights travel as one
+    small table; the penalties on weights are sums over bixels on the driver.
     """
     spark = dij.sparkSession
-    kept = dij.persist(StorageLevel.MEMORY_AND_DISK)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = dij.repartition(n, "voxel").persist(StorageLevel.MEMORY_AND_DISK)
+    held = voxels.select("voxel").repartition(n, "voxel").persist(StorageLevel.MEMORY_AND_DISK)
     place = {b: i for i, b in enumerate(bixels)}
+    ends = np.array([(place[a], place[b]) for a, b in edges if a in place and b in place], np.int64).reshape(-1, 2)
 
     def evaluate(w: np.ndarray) -> tuple[float, np.ndarray]:
-        table = spark.createDataFrame([(int(b), float(x)) for b, x in zip(bixels, w, strict=True)], "bixel long, weight double")
+        table = spark.createDataFrame([(int(b), float(x)) for b, x in zip(bixels, w, strict=True) if x], "bixel long, weight double")
         dose = kept.join(F.broadcast(table), "bixel").groupBy("voxel").agg(F.sum(F.col("value") * F.col("weight")).alias("dose"))
-        value, slope = voxel_terms(F.coalesce("dose", F.lit(0.0)))
-        at = goals.join(dose, "voxel", "left").select("voxel", value.alias("f"), slope.alias("g")).persist()
+        dose = held.join(dose, "voxel", "left").select("voxel", F.coalesce("dose", F.lit(0.0)).alias("dose"))
+        at = terms(dose.persist()).persist()
         f = at.agg(F.coalesce(F.sum("f"), F.lit(0.0))).first()[0]
         grad = np.zeros(len(bixels))
         for r in kept.join(at.where("g <> 0"), "voxel").groupBy("bixel").agg(F.sum(F.col("value") * F.col("g")).alias("g")).collect():  # one row per bixel
             if r.bixel in place:
                 grad[place[r.bixel]] = r.g
         at.unpersist()
-        return float(f + l2 * (w @ w)), grad + 2 * l2 * w
-
-    return evaluate, kept.unpersist
+        dose.unpersist()
+        step = w[ends[:, 0]] - w[ends[:, 1]]  # each pair of neighbours stands in both directions
+        grad += 2 * smoothing * np.bincount(ends[:, 0], step, len(w)) + 2 * l2 * w + l1 * (w > 0)
+        return float(f + smoothing / 2 * (step @ step) + l2 * (w @ w) + l1 * w.sum()), grad
+
+    def release() -> None:
+        kept.unpersist()
+        held.unpersist()
+
+    return evaluate, release
+
+
+def most_fluence(dij: DataFrame, prescription: float) -> float:
+    """SF-24: upper bound of the weights."""
+    top = dij.agg(F.max("value")).first()[0] or 0.0
+    return 2 * prescription / top if top > 0 else 1000.0
+
+
+def optimised(dij: DataFrame, bixels: list[int], voxels: DataFrame, objectives: DataFrame, goals: DataFrame, spot: Hotspot | None = None, prescription: float = 66.0, iterations: int = 400, tolerance: float = 1e-5, **penalties) -> Result | None:
+    """AK-29: weights of a plan, None without objectives. The hot-spot penalty is part of it only if ``spot`` is given."""
+    if not objectives.limit(1).count():
+        return None
+    few = objectives.persist()
+    kept = goals.repartition("voxel").persist(StorageLevel.MEMORY_AND_DISK)
+    evaluate, release = fluence_objective(dij, bixels, voxels, lambda dose: evaluated(dose, few, kept, spot), **penalties)
+    try:
+        return minimise(evaluate, len(bixels), 0.0, most_fluence(dij, prescription), iterations=iterations, tolerance=tolerance)
+    finally:
+        release()
+        kept.unpersist()
+        few.unpersist()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import rotation, w_component
+from .steering import patient_point
 
 PHOTON, ELECTRON, POSITRON = 1, -1, 2
 
@@ -64,10 +65,11 @@ def energy_histogram(particles: DataFrame, bins: int = 50) -> DataFrame:
     return grid.join(counted, "bin", "left").select("bin", (F.col("low") + (F.col("bin") + 0.5) * F.col("width")).alias("center"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def strided(particles: DataFrame, n: int, total: int) -> DataFrame:
-    """IO-25: every stride-th record from the first on, n at most. ``rec`` counts from 0 in its file."""
-    stride = max(1, total // n)
-    return particles.where((F.col("rec") % stride == 0) & (F.col("rec") < stride * n))
+def strided(particles: DataFrame, n: int) -> DataFrame:
+    """IO-25: every stride-th record from the first on, n at most, the stride being the records' number over n. ``rec`` counts from 0 in its file."""
+    stride = particles.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / n)).alias("__stride"))
+    rows = particles.crossJoin(F.broadcast(stride))  # one row
+    return rows.where((F.col("rec") % F.col("__stride") == 0) & (F.col("rec") < F.col("__stride") * n)).drop("__stride")
 
 
 def capped(particles: DataFrame, most: int) -> DataFrame:
@@ -107,3 +109,18 @@ def to_patient(particles: DataFrame, gantry: float, couch: float, collimator: fl
     r = rotation(gantry, couch)
     x, y, z = F.col("x") * c - F.col("y") * s, F.col("z") - sad, F.col("x") * s + F.col("y") * c
     return particles.select("rec", *[(r[i][0] * x + r[i][1] * y + r[i][2] * z + iso[i]).alias(f"p{n}") for i, n in enumerate("xyz")])
+
+
+def in_all_beams(particles: DataFrame, plan: DataFrame, sad: float, iso: tuple[float, float, float]) -> DataFrame:
+    """AK-22, SF-29: the particles in patient axes of every beam (beam, gantry, couch, collimator): read once, turned per beam. A plan's beams are broadcast."""
+    rows = particles.crossJoin(F.broadcast(plan.select("beam", "gantry", "couch", "collimator")))
+    turned = F.abs("collimator") > 0.01
+    c, s = F.when(turned, F.cos(F.radians("collimator"))).otherwise(1.0), F.when(turned, F.sin(F.radians("collimator"))).otherwise(0.0)
+    point = (F.col("x") * c - F.col("y") * s, F.col("z") - sad, F.col("x") * s + F.col("y") * c)
+    placed = patient_point(F.col("gantry"), F.col("couch"), point, iso)
+    return rows.select("beam", *particles.columns, *[p.alias(f"p{n}") for n, p in zip("xyz", placed, strict=True)])
+
+
+def metrics_by_beam(particles: DataFrame) -> DataFrame:
+    """AG-20 per beam, for what AG-22 merges."""
+    return particles.groupBy("beam").agg(F.count(F.lit(1)).alias("n"), F.avg("energy").alias("mean_energy"), *[f(f"p{c}").alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))])

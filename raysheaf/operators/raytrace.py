@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 
 @dataclass(frozen=True)
 class Box:
@@ -21,16 +23,21 @@ AXES = "xyz"
 TOUCHING = 1e-12
 
 
+def _alphas(planes: Column, first: float, step: float, start: Column, by: Column) -> Column:
+    return F.transform(planes, lambda p: (first + p * step - start) / by)
+
+
 def segments(rays: DataFrame, box: Box) -> DataFrame:
     """AK-01: (ray, seg, i, j, k, start, length) of each ray from (sx, sy, sz) to (tx, ty, tz).
 
-    A ray's plane crossings are computed, sorted and cut into segments within its own row,
-    as arrays: nothing is shuffled, and only segments inside the box become rows. Indices
+    A ray's crossings of the planes between its entry and its exit are computed, sorted and cut
+    into segments within its own row, as arrays: nothing is shuffled, and only segments inside
+    the box become rows. Indices
     i, j, k are along x, y, z. A ray that misses, or has no length, has no segments.
     """
     d = {a: F.col(f"t{a}") - F.col(f"s{a}") for a in AXES}
     length = F.sqrt(sum((d[a] * d[a] for a in AXES), F.lit(0.0)))
-    low, high, crossings = [F.lit(0.0)], [F.lit(1.0)], []
+    low, high = [F.lit(0.0)], [F.lit(1.0)]
     for n, a in enumerate(AXES):
         first = box.origin[n] - box.spacing[n] / 2
         last = first + box.dims[n] * box.spacing[n]
@@ -40,10 +47,17 @@ def segments(rays: DataFrame, box: Box) -> DataFrame:
         inside = F.col(f"s{a}").between(first, last)
         low.append(F.when(moving, F.least(enter, leave)).when(inside, 0.0).otherwise(2.0))
         high.append(F.when(moving, F.greatest(enter, leave)).when(inside, 1.0).otherwise(-1.0))
-        planes = F.array(*[(first + p * box.spacing[n] - F.col(f"s{a}")) / by for p in range(box.dims[n] + 1)])
-        crossings.append(F.when(moving, planes).otherwise(F.array().cast("array<double>")))
-    rows = rays.select("ray", *[f"s{a}" for a in AXES], *[d[a].alias(f"d{a}") for a in AXES], length.alias("len"), F.greatest(*low).alias("lo"), F.least(*high).alias("hi"), F.concat(*crossings).alias("all"))
+    rows = rays.select("ray", *[f"s{a}" for a in AXES], *[d[a].alias(f"d{a}") for a in AXES], length.alias("len"), F.greatest(*low).alias("lo"), F.least(*high).alias("hi"))
     rows = rows.where((F.col("lo") < F.col("hi")) & (F.col("len") > TOUCHING))
+    crossings = []
+    for n, a in enumerate(AXES):
+        first, step = box.origin[n] - box.spacing[n] / 2, box.spacing[n]
+        moving = F.abs(F.col(f"d{a}")) > TOUCHING
+        by = F.when(moving, F.col(f"d{a}")).otherwise(1.0)
+        ends = [(F.col(f"s{a}") + F.col(x) * F.col(f"d{a}") - first) / step for x in ("lo", "hi")]
+        p0, p1 = F.greatest(F.floor(F.least(*ends)), F.lit(0)).cast("int"), F.least(F.ceil(F.greatest(*ends)), F.lit(box.dims[n])).cast("int")
+        crossings.append(F.when(moving, _alphas(F.sequence(p0, F.greatest(p0, p1)), first, step, F.col(f"s{a}"), by)).otherwise(F.array().cast("array<double>")))
+    rows = rows.withColumn("all", F.concat(*crossings))
     within = F.filter("all", lambda x: (x > F.col("lo")) & (x < F.col("hi")))
     rows = rows.withColumn("cuts", F.array_sort(F.concat(F.array("lo", "hi"), within)))
     n = F.size("cuts")
@@ -103,22 +117,49 @@ def nearest_point(missing: DataFrame, valid: DataFrame, cell: float, across: tup
     Points meet in cells: a point is compared with those in its own and the 26 cells around
     it, and the nearest found there is exact if it lies within one cell's width. The others
     go on with cells of twice the width. Work follows the number of neighbours, and the
-    number of rounds the logarithm of the largest distance.
+    number of rounds the logarithm of the largest distance: a cell as wide as all points
+    together settles what is left. Each round is cut from its lineage.
+
+    Points with a null or NaN coordinate, and those whose group of ``across`` has no valid
+    point, have null as their nearest.
     """
-    left, done = missing, None
-    if valid.isEmpty():
-        return missing.select(*across, "id", F.lit(None).cast("long").alias("nearest"), F.lit(None).cast("double").alias("distance")).limit(0)
-    while True:
+    placed = lambda df: df.where(sum((F.when(F.isnan(F.col(a).cast("double")) | F.col(a).isNull(), 1).otherwise(0) for a in AXES), F.lit(0)) == 0)
+    on = lambda a, b: sum((F.when(F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")), 0).otherwise(1) for c in across), F.lit(0)) == 0
+    found, able = None, cut(placed(valid).select(*across, "id", *AXES))
+    if across:
+        left = placed(missing).alias("m").join(able.select(*across).distinct().alias("a"), on("m", "a"), "left_semi")
+    else:
+        left = placed(missing) if able.limit(1).count() else placed(missing).limit(0)
+    left = cut(left.select(*across, "id", *AXES))
+    ends = left.select(*AXES).unionByName(able.select(*AXES)).agg(*[(F.max(a) - F.min(a)).alias(a) for a in AXES]).first()
+    extent = max((ends[a] or 0.0) for a in AXES)
+    while left.limit(1).count():
         at = [F.floor(F.col(a) / cell).alias(f"c{a}") for a in AXES]
         around = F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(c).alias("z")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
         probes = left.select(*across, "id", *AXES, *at, around.alias("o")).select(*across, "id", *AXES, *[(F.col(f"c{a}") + F.col(f"o.{a}")).alias(f"c{a}") for a in AXES])
-        own = valid.select(*across, F.col("id").alias("v"), *[F.col(a).alias(f"v{a}") for a in AXES], *at)
+        own = able.select(*across, F.col("id").alias("v"), *[F.col(a).alias(f"v{a}") for a in AXES], *at)
         distance = F.sqrt(sum(((F.col(a) - F.col(f"v{a}")) * (F.col(a) - F.col(f"v{a}")) for a in AXES), F.lit(0.0)))
-        best = probes.join(own, [*across, "cx", "cy", "cz"]).groupBy(*across, "id").agg(F.min(F.struct(distance.alias("d"), F.col("v"))).alias("b"))
-        found = best.select(*across, "id", F.col("b.v").alias("nearest"), F.col("b.d").alias("distance"))
-        sure = found.where(F.col("distance") <= cell)
-        done = sure if done is None else done.unionByName(sure)
-        left = left.join(sure.select(*across, "id"), [*across, "id"], "left_anti")
-        if left.isEmpty():
-            return done
+        best = probes.join(own, [*across, "cx", "cy", "cz"]).groupBy(*across, "id").agg(F.min(F.struct(distance.alias("d"), F.col("v"))).alias("__best"))
+        near = best.select(*across, "id", F.col("__best.v").alias("nearest"), F.col("__best.d").alias("distance"))
+        sure = cut(near if cell >= extent else near.where(F.col("distance") <= cell))
+        found = sure if found is None else found.unionByName(sure)
+        if cell >= extent:
+            break
+        left = cut(left.join(sure.select(*across, "id"), [*across, "id"], "left_anti"))
         cell *= 2
+    asked = missing.select(*across, "id")
+    if found is None:
+        return asked.select(*across, "id", F.lit(None).cast("long").alias("nearest"), F.lit(None).cast("double").alias("distance"))
+    return asked.join(found, [*across, "id"], "left")
+
+
+def with_nearest(ssd: DataFrame, targets: DataFrame, default: float = 1000.0, cell: float = 20.0) -> DataFrame:
+    """AK-03 with JN-10: (beam, ray, ssd), rays without a surface taking that of the ray with the nearest target; ``default`` where a beam has none.
+
+    ``ssd`` has (beam, ray, ssd) and ``targets`` (beam, ray, x, y, z), one row per ray.
+    """
+    rows = targets.join(ssd, ["beam", "ray"], "left").select("beam", F.col("ray").alias("id"), *AXES, "ssd")
+    missing, valid = rows.where(F.coalesce(F.col("ssd") <= 0, F.lit(True))), rows.where("ssd > 0")
+    near = nearest_point(missing, valid, cell, ("beam",))
+    taken = near.join(valid.select("beam", F.col("id").alias("nearest"), F.col("ssd").alias("of")), ["beam", "nearest"], "left")
+    return valid.select("beam", F.col("id").alias("ray"), "ssd").unionByName(taken.select("beam", F.col("id").alias("ray"), F.coalesce("of", F.lit(default)).alias("ssd")))

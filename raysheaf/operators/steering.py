@@ -41,6 +41,12 @@ def to_bev(angle: Column, couch: Column, p: tuple[Column, Column, Column], iso:
     return [r[0][i] * d[0] + r[1][i] * d[1] + r[2][i] * d[2] for i in range(3)]
 
 
+def patient_point(angle: Column, couch: Column, p: tuple[Column, Column, Column], iso: tuple[float, float, float]) -> list[Column]:
+    """SF-17: beam's eye view to patient."""
+    r = rotated(angle, couch)
+    return [r[i][0] * p[0] + r[i][1] * p[1] + r[i][2] * p[2] + iso[i] for i in range(3)]
+
+
 def target_rays(points: DataFrame, plan: DataFrame, sad: float, width: float, iso: tuple[float, float, float] = (0.0, 0.0, 0.0), pad: int = 0) -> DataFrame:
     """AK-13: distinct bixel places (beam, ix, iz) that cover the target in each beam.
 
@@ -57,6 +63,29 @@ def target_rays(points: DataFrame, plan: DataFrame, sad: float, width: float, is
     return places.select("beam", "ix", "iz", around.alias("d")).select("beam", (F.col("ix") + F.col("d.a")).alias("ix"), (F.col("iz") + F.col("d.b")).alias("iz")).distinct()
 
 
+def padding(width: float, spacing: tuple[float, float, float]) -> int:
+    """AK-13: bixels of padding where the image is coarser than a bixel."""
+    return int(max(spacing) // width) if width < max(spacing) else 0
+
+
+def field_rays(plan: DataFrame, width: float, field: tuple[float, float]) -> DataFrame:
+    """AK-14: (beam, pos, ix, iz) of a regular field: from edge to edge in steps of a bixel, snapped to the bixel grid, halves away from zero. Places that snap together stay separate rays."""
+    steps = lambda size: F.sequence(F.lit(0), F.lit(int((size + 1e-10) // width)))
+    at = lambda n, size: F.round(F.round((F.lit(-size / 2) + F.col(n) * width) / width, 9)).cast("long")
+    rows = plan.select("beam", F.explode(steps(field[1])).alias("row")).select("beam", "row", F.explode(steps(field[0])).alias("col"))
+    pos = F.col("row") * int((field[0] + 1e-10) // width + 1) + F.col("col")
+    return rows.select("beam", pos.cast("long").alias("pos"), at("col", field[0]).alias("ix"), at("row", field[1]).alias("iz"))
+
+
+def ray_set(targets: DataFrame, plan: DataFrame, sad: float, width: float, spacing: tuple[float, float, float], field: tuple[float, float] = (100.0, 100.0), iso: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """AK-15: (beam, ray, ix, iz, bixel): rays that cover the target (x, y, z), or a regular field if there is none; photon rays have one bixel each."""
+    if targets.limit(1).count():
+        rays = numbered(target_rays(targets, plan, sad, width, iso, padding(width, spacing)))
+    else:
+        rays = field_rays(plan, width, field).withColumnRenamed("pos", "ray")
+    return rays.join(F.broadcast(bixel_offsets(rays).select("beam", "first")), "beam").select("beam", "ray", "ix", "iz", (F.col("first") + F.col("ray")).alias("bixel"))
+
+
 def numbered(rays: DataFrame) -> DataFrame:
     """SL-01: ray index within the beam, in order of (ix, iz)."""
     return rays.withColumn("ray", F.row_number().over(Window.partitionBy("beam").orderBy("ix", "iz")) - 1)

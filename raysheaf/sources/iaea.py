@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -10,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: The optional floats of a record, in the order of the header's flags.
-FIELDS = ("x", "y", "z", "u", "v", "w", "weight")
+#: The optional floats of a record, in the order of the header's flags: with the energy's own flag first and the sign of w on the energy, or as the format's publication has it, energy always stored and the sign of w on the type.
+LAYOUTS = {"energy_first": ("energy", "x", "y", "z", "u", "v", "weight"), "standard": ("x", "y", "z", "u", "v", "w", "weight")}
+KINDS = ("PHOTONS", "ELECTRONS", "POSITRONS")
 
 
 @dataclass
@@ -25,10 +27,18 @@ class Header:
     extra_longs: int = 0
     particles: int = 0
     constants: dict[str, float] = field(default_factory=dict)
+    layout: str = "energy_first"
+    counts: dict[str, int] = field(default_factory=dict)
+    histories: int = 0
+    mean_energy: dict[str, float] = field(default_factory=dict)
+    ranges: list[tuple[float, float]] = field(default_factory=list)
+    nominal_ssd: float = 0.0
+    description: str = ""
 
     def floats(self) -> list[str]:
-        """Energy, then each stored field; w follows from u and v."""
-        return ["energy", *(f for f, flag in zip(FIELDS, self.flags, strict=True) if flag and f != "w")]
+        """The stored fields in order; w follows from u and v."""
+        stored = [f for f, flag in zip(LAYOUTS[self.layout], self.flags, strict=True) if flag and f != "w"]
+        return ["energy", *stored] if self.layout == "standard" else stored
 
     def record_length(self) -> int:
         """IO-21."""
@@ -40,8 +50,8 @@ class Header:
         return np.dtype([("type", "i1"), *((n, f) for n in self.floats()), *((f"xf{k}", f) for k in range(self.extra_floats)), *((f"xl{k}", i) for k in range(self.extra_longs))])
 
 
-def parse_header(text: str) -> Header:
-    """IO-20, SF-26: sections begin with a ``$KEY:`` line; ``//`` starts a comment; an empty number is 0."""
+def parse_header(text: str, layout: str = "energy_first") -> Header:
+    """IO-20, SF-26: sections begin with a ``$KEY:`` line; ``//`` starts a comment; an empty number is 0. A record length unlike that of the contents is warned of."""
     sections: dict[str, list[str]] = {}
     key = None
     for line in text.splitlines():
@@ -54,31 +64,48 @@ def parse_header(text: str) -> Header:
             sections[key].append(body)
 
     def numbers(name: str) -> list[float]:
-        return [float(x) for row in sections.get(name, []) for x in row.replace(",", " ").split() if re.fullmatch(r"[-+.\deE]+", x)]
+        return [float(x) for row in sections.get(name, []) for x in row.replace(",", " ").replace("cm", " ").split() if re.fullmatch(r"[-+.\deE]*\d[-+.\deE]*", x)]
 
     def first(name: str, default: float = 0.0) -> float:
         return (numbers(name) or [default])[0]
 
     contents = [int(x) for x in numbers("RECORD_CONTENTS")]
-    header = Header(length=int(first("RECORD_LENGTH")), big_endian=int(first("BYTE_ORDER", 1234)) != 1234, particles=int(first("PARTICLES")))
+    header = Header(length=int(first("RECORD_LENGTH")), big_endian=int(first("BYTE_ORDER", 1234)) != 1234, particles=int(first("PARTICLES")), layout=layout, histories=int(first("ORIG_HISTORIES")), nominal_ssd=first("NOMINAL_SSD"))
     if contents:
         header.flags = tuple((contents + [1] * 7)[:7])
         header.extra_floats, header.extra_longs = (contents[7:9] + [0, 0])[:2] if len(contents) > 7 else (0, 0)
-    constants = iter(numbers("RECORD_CONSTANT"))
-    header.constants = {f: next(constants, 0.0) for f, flag in zip(FIELDS, header.flags, strict=True) if not flag}
+    if layout == "standard":
+        constants = iter(numbers("RECORD_CONSTANT"))
+        header.constants = {f: next(constants, 0.0) for f, flag in zip(LAYOUTS[layout], header.flags, strict=True) if not flag}
+    else:
+        header.constants = {"weight": first("RECORD_CONSTANT", 1.0)}
+    header.counts = {k: int(first(k)) for k in KINDS if k in sections}
+    for row in sections.get("STATISTICAL_INFORMATION_PARTICLES", []):
+        words = row.split()
+        if len(words) >= 7 and words[6] in KINDS:
+            header.mean_energy[words[6]] = float(words[3])
+    header.ranges = [tuple(float(x) for x in row.split()[:2]) for row in sections.get("STATISTICAL_INFORMATION_GEOMETRY", [])[:3]]
+    header.description = "\n".join(sections.get("COORDINATE_SYSTEM_DESCRIPTION", []))
+    if header.length and header.length != header.record_length():
+        warnings.warn(f"records of {header.length} bytes are declared, the contents make {header.record_length()}", stacklevel=2)
     return header
 
 
 def decode(data: bytes, header: Header, first: int) -> pa.RecordBatch:
-    """IO-23: centimetres to millimetres; the sign of the type byte is that of w, the sign of the energy is dropped; unknown types are photons."""
+    """IO-23: centimetres to millimetres; w has the sign of the energy (or of the type, by layout), which is then dropped; unknown types are photons; an energy that is not stored is the type's mean."""
     raw = np.frombuffer(data, header.dtype())
     n = len(raw)
     column = lambda f: raw[f].astype(float) if f in raw.dtype.names else np.full(n, header.constants.get(f, 0.0))
     kind = np.abs(raw["type"].astype(int))
+    energy = column("energy")
+    if "energy" not in raw.dtype.names:
+        photons, electrons, positrons = (header.mean_energy.get(k, 0.0) for k in KINDS)
+        energy = np.select([kind == 2, kind == 3], [electrons, positrons], photons)
+    down = energy < 0 if header.layout == "energy_first" else raw["type"] < 0
     u, v = column("u"), column("v")
-    w = np.sqrt(np.maximum(0.0, 1 - u * u - v * v)) * np.where(raw["type"] < 0, -1.0, 1.0)
+    w = np.sqrt(np.maximum(0.0, 1 - u * u - v * v)) * np.where(down, -1.0, 1.0)
     weight = column("weight") if header.flags[6] else np.full(n, header.constants.get("weight", 1.0) or 1.0)
-    arrays = [np.arange(first, first + n), np.select([kind == 2, kind == 3], [-1, 2], 1).astype(np.int32), column("x") * 10, column("y") * 10, column("z") * 10, u, v, w, np.abs(column("energy")), weight]
+    arrays = [np.arange(first, first + n), np.select([kind == 2, kind == 3], [-1, 2], 1).astype(np.int32), column("x") * 10, column("y") * 10, column("z") * 10, u, v, w, np.abs(energy), weight]
     return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["rec", "type", "x", "y", "z", "u", "v", "w", "energy", "weight"])
 
 
@@ -94,7 +121,7 @@ class _Reader(DataSourceReader):
         self.system, path = fs.FileSystem.from_uri(options["path"]) if "://" in options["path"] else (fs.LocalFileSystem(), options["path"])
         self.path, self.rows = path, int(options.get("rows_per_partition", 1_000_000))
         with self.system.open_input_stream(str(path) + ".IAEAheader") as f:
-            self.header = parse_header(f.read().decode("latin-1"))
+            self.header = parse_header(f.read().decode("latin-1"), options.get("layout", "energy_first"))
         self.total = self.system.get_file_info(str(path) + ".IAEAphsp").size // self.header.record_length()
 
     def partitions(self) -> list[InputPartition]:
@@ -111,7 +138,7 @@ class _Reader(DataSourceReader):
 
 
 class PhaseSpaceSource(DataSource):
-    """``spark.dataSource.register(PhaseSpaceSource)``, then ``spark.read.format("phase_space").load(base)``: a base path without extension that all executors reach."""
+    """``spark.dataSource.register(PhaseSpaceSource)``, then ``spark.read.format("phase_space").load(base)``: a base path without extension that all executors reach. Options: layout, rows_per_partition."""
 
     @classmethod
     def name(cls) -> str:

@@ -73,12 +73,41 @@ def test_curve_counts_from_above(spark):
 
 def test_dvh_objectives(spark):
     d = spark.createDataFrame([("a", float(x), x) for x in range(10)], "structure string, dose double, o long")
-    low = an.dvh_objective(d, "min", 5.0, 0.75, 1.0, ("o",)).first().value
+    low = an.dvh_objective(d, "min", 5.0, 0.75, 1.0).first().value
     assert low == sum((5 - x) ** 2 for x in range(2, 5))
-    high = an.dvh_objective(d, "max", 5.0, 0.25, 1.0, ("o",)).first().value
+    high = an.dvh_objective(d, "max", 5.0, 0.25, 1.0).first().value
     assert high == sum((x - 5) ** 2 for x in range(6, 7))
 
 
+def test_quantiles_of_piled_up_doses(spark):
+    """99 % of a structure at one dose: quantiles and cuts as of the sorted values."""
+    rng = np.random.default_rng(7)
+    values = {"piled": np.r_[np.zeros(990), rng.uniform(0, 70, 10)], "spread": rng.normal(50, 5, 501), "one": np.array([3.0]), "ends": np.array([0.0, 1e9, 1e-9])}
+    d = spark.createDataFrame([(s, float(x)) for s, v in values.items() for x in v], "structure string, dose double").repartition(3)
+    shares = {"a": 0.02, "b": 0.5, "c": 0.995, "d": 0.0, "e": 1.0}
+    got = {r.structure: r for r in an.quantiles(d, shares).collect()}
+    for s, v in values.items():
+        assert [got[s][n] for n in shares] == pytest.approx([float(np.quantile(v, q)) for q in shares.values()], abs=1e-9)
+    assert an.quantiles(d.limit(0), shares).count() == 0
+
+
+@pytest.mark.parametrize(("kind", "fraction"), [("min", 0.95), ("max", 0.3), ("min", 0.0), ("max", 0.0), ("min", 1.0), ("max", 1.0)])
+def test_dvh_gradient_by_sorting(spark, kind, fraction):
+    rng = np.random.default_rng(5)
+    data = [(s, float(x), i) for s, v in (("a", np.r_[np.full(60, 2.0), rng.uniform(0, 9, 41).round(1)]), ("b", rng.uniform(0, 9, 20))) for i, x in enumerate(v)]
+    d = spark.createDataFrame(data, "structure string, dose double, voxel long")
+    got = {(r.structure, r.voxel): r.g for r in an.dvh_gradient(d, kind, 5.0, fraction, 3.0, "voxel").collect()}
+    value = {r.structure: r.value for r in an.dvh_objective(d, kind, 5.0, fraction, 3.0).collect()}
+    for s in "ab":
+        rows = sorted((x, i) for t, x, i in data if t == s)
+        n = len(rows)
+        free = math.floor((1.0 - fraction) * n) if kind == "min" else math.ceil(fraction * n)
+        counted = rows[free:] if kind == "min" else rows[: n - free]
+        e = {i: max(5.0 - x, 0.0) if kind == "min" else max(x - 5.0, 0.0) for x, i in counted}
+        assert value[s] == pytest.approx(3 * sum(x * x for x in e.values()))
+        assert {i: g for (t, i), g in got.items() if t == s} == pytest.approx({i: (-6 if kind == "min" else 6) * e.get(i, 0.0) for _, i in rows})
+
+
 def test_exact_hotspot_gradient(spark):
     def at(x, exact=True):
         return an.hotspots(spark.createDataFrame([("a", x)], "structure string, dose double"), 60.0, exact=exact).first()
@@ -129,6 +158,38 @@ def test_nearest_point(spark):
     assert got == {i: 20 + int(np.argmin(((p[20:] - p[i]) ** 2).sum(axis=1))) for i in range(20)}
 
 
+def test_nearest_point_ends(spark):
+    nan, kind = float("nan"), "b string, id long, x double, y double, z double"
+    missing = spark.createDataFrame([("a", 1, 0.0, 0.0, 0.0), ("a", 2, None, 0.0, 0.0), ("a", 3, nan, 0.0, 0.0), ("b", 4, 0.0, 0.0, 0.0)], kind)
+    valid = spark.createDataFrame([("a", 9, 5000.0, 0.0, 0.0), ("a", 8, 5000.0, 0.0, 0.0), ("a", 7, None, 0.0, 0.0)], kind)
+    got = {r.id: (r.nearest, r.distance) for r in rt.nearest_point(missing, valid, 1.0, ("b",)).collect()}
+    assert got == {1: (8, 5000.0), 2: (None, None), 3: (None, None), 4: (None, None)}
+    assert [r.nearest for r in rt.nearest_point(missing.drop("b"), valid.drop("b").limit(0), 1.0).collect()] == [None] * 4
+    ssd = spark.createDataFrame([("a", 1, 900.0), ("a", 2, -1.0), ("b", 1, -1.0)], "beam string, ray long, ssd double")
+    targets = spark.createDataFrame([("a", 1, 0.0, 0.0, 0.0), ("a", 2, 9.0, 0.0, 0.0), ("b", 1, 0.0, 0.0, 0.0), ("b", 2, 1.0, 0.0, 0.0)], "beam string, ray long, x double, y double, z double")
+    assert rows(rt.with_nearest(ssd, targets), "beam", "ray", "ssd") == [("a", 1, 900.0), ("a", 2, 900.0), ("b", 1, 1000.0), ("b", 2, 1000.0)]
+
+
+def test_trace_through_a_large_box(spark):
+    box = rt.Box((512, 512, 512), (1.0, 1.0, 1.0), (-255.5, -255.5, -255.5))
+    rng = np.random.default_rng(2)
+    ends = rng.uniform(-200, 200, (40, 3))
+    rays = spark.createDataFrame([(i, -1000.0, 3.3, -4.4, *map(float, e)) for i, e in enumerate(ends)], "ray long, sx double, sy double, sz double, tx double, ty double, tz double")
+    got = {r.ray: r for r in rt.segments(rays, box).groupBy("ray").agg(F.sum("length").alias("length"), F.count(F.lit(1)).alias("n")).collect()}
+    for i, e in enumerate(ends):
+        d = e - np.array([-1000.0, 3.3, -4.4])
+        entry = (-256 + 1000.0) / d[0]
+        at = np.array([-1000.0, 3.3, -4.4]) + (entry + 1e-9) * d
+        assert got[i].length == pytest.approx((1 - entry) * np.linalg.norm(d), rel=1e-6)
+        assert got[i].n == 1 + sum(int(np.floor(max(a, b) - 0.0)) - int(np.floor(min(a, b) - 0.0)) for a, b in zip(at, e, strict=True))
+
+
+def test_blur_leaves_the_border(spark):
+    d = spark.createDataFrame([(i, j, k, 1.0) for i in range(4) for j in range(3) for k in range(3)], "i long, j long, k long, v double")
+    got = {(r.i, r.j, r.k): r.v for r in mo.blurred(d, (4, 3, 3)).collect()}
+    assert len(got) == 36 and {p for p, v in got.items() if v} == {(1, 1, 1), (2, 1, 1)} and got[1, 1, 1] == pytest.approx(1.0)
+
+
 @pytest.mark.parametrize(("margin", "n"), [(0, 1), (1, 27), (2, 125)])
 def test_dilation(spark, margin, n):
     allowed = spark.range(10).select(F.col("id").alias("i")).crossJoin(spark.range(10).select(F.col("id").alias("j"))).crossJoin(spark.range(10).select(F.col("id").alias("k")))
