@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint in the session's spark.checkpoint.dir, which must be set."""
+    """df from a reliable checkpoint in the session's spark.checkpoint.dir. Where that is unset a session on one machine takes a temporary folder, and any other is an error."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-        if not folder:
+        if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
