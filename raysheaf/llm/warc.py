@@ -9,16 +9,19 @@ Reading: the end of an archive leads to the central directory (by the ZIP64 loca
 there is one), the directory to the index members, these to the records. Each of the three
 steps and each record is a read of one byte range; nothing is unpacked to disk and no
 archive is read whole. Locating is one row per archive, reading one row per record, spread
-by blocks of archives over all executors.
+by blocks of archives over all executors, in as many tasks as the archives have blocks. What a
+revisit leaves out, its length, stands in the HTTP header that it has kept.
 
 Archives lie in the shared folder, which executors reach through ``pyarrow.fs`` by the
 scheme of its address. A task writes under a name of its own and renames at the end, so a
 task that is run again leaves one whole archive.
 
 Edge cases: a null html is an empty payload; equal empty payloads are revisits too at a
-bound of 0; a null url leaves its header out; pages without an id each are responses of
-their own; a repeated row of the response is a response as well; an empty table gives
-no archive and no rows; a cut-off or foreign archive raises ``ValueError``.
+bound of 0; a null url leaves its header out; a page without an id revisits the response of
+its payload, and is a response itself where no page of that payload has an id; a repeated row
+of the response is a response as well, and so are ties; payloads of any length are one
+record; an empty table gives no archive and no rows; further columns are not read, whatever
+their names; a cut-off or foreign archive raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ from .common import scratch, table, written
 ROLL = 1 << 30
 MEMBER = 32 << 20
 BLOCK = 8 << 20
+#: Reading tasks per core of the cluster at most; blocks are larger then.
+PER_CORE = 32
 MIN_REVISIT = 0
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
@@ -78,17 +83,22 @@ def record(kind: str, record_id: str, payload: bytes, digest: str, url: str | No
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + http + body + b"\r\n\r\n"
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields (names in lower case) and the payload behind the HTTP header."""
+def fields_of(lines: list[str]) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+
+
+def parse_record(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
+    """Fields of the record and of the HTTP header (names in lower case), and the payload behind both."""
     head, gap, rest = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8").split("\r\n")
     if not gap or not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    fields = fields_of(lines[1:])
     n = int(fields["content-length"])
     if len(rest) < n + 4 or rest[n : n + 4] != b"\r\n\r\n":
         raise ValueError("the record ends early")
-    return fields, rest[:n].partition(b"\r\n\r\n")[2]
+    http, _, payload = rest[:n].partition(b"\r\n\r\n")
+    return fields, fields_of(http.decode("latin-1").split("\r\n")[1:]), payload
 
 
 # Archives
@@ -274,39 +284,41 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     source, opened = None, None
+    types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary())
+    names = ("record", "record_type", "payload_digest", "refers_to", "url", "payload_bytes", "payload")
     for batch in batches:
-        out = []
-        for address, at, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if address != opened:
-                if source is not None:
-                    source.close()
-                source, opened = Ranges(address), address
-            fields, payload = parse_record(gzip.decompress(source.read(at, n)))
-            kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-            if kind == "response" and base32_sha1(payload) != digest:
-                raise ValueError("a payload differs from its digest")
-            refers = fields.get("warc-refers-to", "").strip("<>").removeprefix("urn:page:")
-            url = fields.get("warc-target-uri")
-            out.append((fields["warc-record-id"].strip("<>").removeprefix("urn:page:"), kind, digest, refers or None, url, payload if kind == "response" else None))
-        types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary())
-        names = ("record", "record_type", "payload_digest", "refers_to", "url", "payload")
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], list(names))
+        for low in range(0, batch.num_rows, 256):
+            out = []
+            for address, at, n in zip(*(batch.column(i).slice(low, 256).to_pylist() for i in range(3)), strict=True):
+                if address != opened:
+                    if source is not None:
+                        source.close()
+                    source, opened = Ranges(address), address
+                fields, http, payload = parse_record(gzip.decompress(source.read(at, n)))
+                kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
+                length = int(http["content-length"])
+                if kind == "response" and (base32_sha1(payload) != digest or len(payload) != length):
+                    raise ValueError("a payload differs from its digest or length")
+                refers = fields.get("warc-refers-to", "").strip("<>").removeprefix("urn:page:")
+                url = fields.get("warc-target-uri")
+                out.append((fields["warc-record-id"].strip("<>").removeprefix("urn:page:"), kind, digest, refers or None, url, length, payload if kind == "response" else None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], list(names))
 
 
 def read_archives(archives: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(record, record_type, payload_digest, refers_to, url, payload) of every record in the archives named in ``archive``."""
-    places = archives.select("archive").repartition("archive").mapInArrow(_locate, "archive string, offset long, length long")
-    spread = places.repartition("archive", F.floor(F.col("offset") / block)).sortWithinPartitions("archive", "offset")
-    return spread.mapInArrow(_read, "record string, record_type string, payload_digest string, refers_to string, url string, payload binary")
+    """(record, record_type, payload_digest, refers_to, url, payload_bytes, payload) of every record in the archives (archive, bytes); payload_bytes is that of the payload which a revisit leaves out."""
+    spark = archives.sparkSession
+    size = archives.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    most = PER_CORE * spark.sparkContext.defaultParallelism
+    places = archives.select("archive").repartition(max(1, min(size[1], most)), "archive").mapInArrow(_locate, "archive string, offset long, length long")
+    spread = places.repartition(max(1, min(-(-size[0] // block), most)), "archive", F.floor(F.col("offset") / block)).sortWithinPartitions("archive", "offset")
+    return spread.mapInArrow(_read, "record string, record_type string, payload_digest string, refers_to string, url string, payload_bytes long, payload binary")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
-    rows = read_archives(archives).select(F.when(F.col("record") != "None", F.col("record")).cast("long").alias("page_id"), "record_type", "payload_digest", F.col("refers_to").cast("long").alias("refers_to"), F.octet_length("payload").cast("long").alias("n"))
-    rows = written(rows, "records")
-    sizes = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("of")).agg(F.max("n").alias("of_n"))
-    found = rows.join(sizes, F.col("refers_to") == F.col("of"), "left")
-    return found.select("page_id", F.coalesce("n", "of_n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    rows = read_archives(archives)
+    return rows.select(F.when(F.col("record") != "None", F.col("record")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 #: Base32 of 20 bytes given as 40 hexadecimal digits: 32 groups of 5 of its 160 bits.
