@@ -6,23 +6,25 @@ Events of a message, by seq: ``start`` opens it, ``delta`` appends a streamed pi
 fold them:
 
 * a run of ``CHUNK`` consecutive seqs of a message folds into (has a reset, text after the
-  last reset): such pairs combine associatively, so a message of any length is folded by
-  many tasks;
-* the chunks of a message fold into its final text.
+  last reset): such pairs combine associatively, and the log is dealt to tasks by
+  (conv_id, message, chunk), so a conversation and a message of any length are folded by many
+  tasks;
+* the chunks of a message fold into its final text, dealt by (conv_id, message).
 
 Only final messages meet in their conversation, which is one string in the end anyway.
 
 Template: each turn is an opening control string, the escaped text and a closing one.
 Every control string begins with ``[`` or ``<``; texts hold none of these once escaped
-(``~`` to ``~0``, ``[`` to ``~1``, ``<`` to ``~2``), so no text can be taken for a control
-string, and splitting at ``[`` reads the output back exactly. The loss mask is a list of
+(``~`` to ``~0``, ``[`` to ``~1``, ``<`` to ``~2``; in roles also ``]`` to ``~3``), so no text
+can be taken for a control string, and splitting at ``[`` reads the output back exactly. The loss mask is a list of
 spans (start, length) in code points: the escaped text of each assistant turn.
 
 Edge cases: null texts are empty; a null role is the role ``''``; a null conv_id is a
 conversation of its own; a null seq stands before all others and a null event is a delta;
 a repeated conversation row is a turn of its own, ties of turn being ordered by role and
 text; messages whose events are all resets are empty turns; an empty log gives no
-conversation.
+conversation; texts of any length are read whole; further columns of the log are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -40,16 +42,17 @@ BEGIN = "<s>"
 LOSS_ROLE = "assistant"
 RESETS = ("start", "edit", "regenerate")
 ESCAPES = (("~", "~0"), ("[", "~1"), ("<", "~2"))
+IN_ROLES = (*ESCAPES, ("]", "~3"))
 
 
-def escape(text: Column) -> Column:
-    for plain, coded in ESCAPES:
+def escape(text: Column, escapes: tuple = ESCAPES) -> Column:
+    for plain, coded in escapes:
         text = F.replace(text, F.lit(plain), F.lit(coded))
     return text
 
 
-def unescape(text: Column) -> Column:
-    for plain, coded in reversed(ESCAPES):
+def unescape(text: Column, escapes: tuple = ESCAPES) -> Column:
+    for plain, coded in reversed(escapes):
         text = F.replace(text, F.lit(coded), F.lit(plain))
     return text
 
@@ -61,7 +64,8 @@ def fold_messages(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
     kind = F.coalesce(F.col("event"), F.lit("delta"))
     e = events.select("conv_id", "message", seq.alias("seq"), F.floor(seq / chunk).alias("chunk"), kind.isin(*RESETS).alias("reset"), "role", F.when(kind != "regenerate", F.coalesce("text", F.lit(""))).otherwise(F.lit("")).alias("text"))
     pieces = F.array_sort(F.collect_list(F.struct("seq", "reset", "text")))
-    parts = e.groupBy(*of).agg(pieces.alias("pieces"), F.max(F.when(F.col("reset"), F.col("seq"))).alias("last"), F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).alias("role"))
+    # Dealt anew: a log that lies by conversation would be folded a whole conversation at a time.
+    parts = e.repartition(*of).groupBy(*of).agg(pieces.alias("pieces"), F.max(F.when(F.col("reset"), F.col("seq"))).alias("last"), F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).alias("role"))
     text = F.array_join(F.transform(F.filter("pieces", lambda p: F.col("last").isNull() | (p["seq"] >= F.col("last"))), lambda p: p["text"]), "")
     parts = parts.select(*of, F.col("last").isNotNull().alias("reset"), "role", text.alias("text"))
     whole = parts.groupBy("conv_id", "message").agg(
@@ -74,7 +78,7 @@ def fold_messages(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def _marks(role: Column) -> tuple[Column, Column]:
-    opening = F.concat(F.lit(NAMED[0]), escape(F.replace(role, F.lit("]"), F.lit("~3"))), F.lit(NAMED[1]))
+    opening = F.concat(F.lit(NAMED[0]), escape(role, IN_ROLES), F.lit(NAMED[1]))
     closing = F.lit(NAMED[2])
     for name, (left, right) in TURNS.items():
         opening = F.when(role == name, F.lit(left)).otherwise(opening)
@@ -104,7 +108,7 @@ def read_turns(formatted: Column) -> Column:
     def turn(p: Column) -> Column:
         named = p.startswith(NAMED[0][1:])
         end = F.instr(p, NAMED[1])
-        role = F.replace(unescape(F.substring(p, F.lit(len(NAMED[0])), end - len(NAMED[0]))), F.lit("~3"), F.lit("]"))
+        role = unescape(F.substring(p, F.lit(len(NAMED[0])), end - len(NAMED[0])), IN_ROLES)
         skip = end + len(NAMED[1]) - 1
         for name, (left, _) in TURNS.items():
             is_it = ~named & p.startswith(left[1:])
@@ -156,18 +160,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     say = "</s>[INST] ok [/INST]"
     more = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(say).alias("text")) for i, r in enumerate(("user", "assistant"))])).alias("t")).select("conv_id", "t.*")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    turns = rows.withColumn("message", F.row_number().over(in_order).cast("long"))
+    # Ties only are numbered, by turn: no task sees a conversation before its messages are folded.
+    ties = Window.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    turns = rows.withColumn("message", F.struct("turn", F.row_number().over(ties).alias("tie")))
     return digests(render(fold_messages(events_of(turns))))
 
 
-def _sql_escape(x: str) -> str:
-    for plain, coded in ESCAPES:
+def _sql_escape(x: str, escapes: tuple = ESCAPES) -> str:
+    for plain, coded in escapes:
         x = f"replace({x}, '{plain}', '{coded}')"
     return x
 
 
-_OVERHEAD = "CASE " + " ".join(f"WHEN role = '{r}' THEN {len(a) + len(b)}" for r, (a, b) in TURNS.items()) + f" ELSE {len(''.join(NAMED))} + length({_sql_escape("replace(role, ']', '~3')")}) END"
+_OVERHEAD = "CASE " + " ".join(f"WHEN role = '{r}' THEN {len(a) + len(b)}" for r, (a, b) in TURNS.items()) + f" ELSE {len(''.join(NAMED))} + length({_sql_escape("role", IN_ROLES)}) END"
 
 SQL = f"""
 WITH rows AS (
