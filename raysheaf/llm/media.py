@@ -4,7 +4,8 @@
 either row order into (height, width, channels) arrays; ``encode`` writes P5, P6 and
 24-bit BMP. ``area_resize`` averages over fractional source areas by one integral image,
 so its cost does not depend on the size of the areas. A difference hash compares adjacent
-cells of a 9 by 8 grey tile. Tiles are stored as version 1.0 NPY bytes.
+cells of a 9 by 8 grey tile. Tiles are stored as version 1.0 NPY bytes, and read back from
+them for what is said of them.
 
 The query stores each text losslessly as samples, 192 to a row of 64 RGB or 192 grey
 pixels. Which of the three formats a payload gets follows from its CRC-32, so equal texts
@@ -12,7 +13,8 @@ share all values.
 
 Edge cases: a null or empty text is one row of spaces; texts of any length are one image
 each, 192 bytes wide and as high as needed; a broken image raises ``ValueError`` in the
-decoder and gives nulls in ``image_features``; repeated rows repeat their results.
+decoder and gives nulls in ``image_features``; a null id stays null; repeated rows and ties
+repeat their results; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -160,6 +162,10 @@ def npy(array: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def from_npy(data: bytes) -> np.ndarray:
+    return np.lib.format.read_array(io.BytesIO(data), allow_pickle=False)
+
+
 def features(data: bytes) -> tuple[str, bytes]:
     """Difference hash and NPY tile of stored image bytes."""
     image = decode(data)
@@ -196,27 +202,27 @@ def to_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
 
 def image_features(media: DataFrame) -> DataFrame:
-    """(id, n_bytes, media) with what is read back from the stored bytes: samples' digests, feature and NPY tile."""
+    """(id, n_bytes, media) with what is read back from the stored bytes: samples' digests, feature, and the NPY tile with its digest and mean."""
     kind = media.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile")}
+                out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile", "tile_sha256", "tile_mean")}
                 for data in (x.as_py() for x in part.column("media")):
                     try:
                         image = decode(data)
                         payload, (feature, tile) = image.tobytes(), features(data)
-                        row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, tile)
+                        row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, tile, hashlib.sha256(tile).hexdigest(), round(float(from_npy(tile).mean()), 6))
                     except (ValueError, TypeError):
-                        row = (None, None, None, None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest(), None, None)
+                        row = (None, None, None, None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest(), None, None, None, None)
                     for column, value in zip(out.values(), row, strict=True):
                         column.append(value)
-                types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+                types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.float64())
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), *[pa.array(v, t) for v, t in zip(out.values(), types, strict=True)]], ["id", "n_bytes", *out])
 
-    return media.select("id", "n_bytes", "media").mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary")
+    return media.select("id", "n_bytes", "media").mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary, tile_sha256 string, tile_mean double")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
