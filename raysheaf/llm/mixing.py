@@ -15,8 +15,9 @@ still spreads over ``SLICES`` tasks.
 Edge cases: a null text has size 0; a null source is a source of its own, last in order;
 documents of size 0 are emitted or not like others but take no words; a source without
 words gets target 0; empty input gives an empty result; repeated rows are separate
-documents and the multiset of their copies is fixed; further columns are carried along
-and may clash with none, since the names used inside begin with ``__mix_``.
+documents and the multiset of their copies is fixed; texts of any length are counted whole;
+further columns are carried along and may clash with none, since the names used inside begin
+with ``__mix_``.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, table, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
@@ -100,7 +101,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_copies: int = M
     )
     rows = rows.withColumn("__mix_block", _size_class(F.col("__mix_size")) * SLICES + _slice(F.col("__mix_key")))
     of_source, group = ["__mix_null", "__mix_source"], ["__mix_null", "__mix_source", "__mix_block"]
-    blocks = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum("__mix_size").alias("words"))
+    # Written, so that the texts are counted once for targets and offsets.
+    blocks = written(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum("__mix_size").alias("words")), "blocks")
     name = F.when(~F.col("__mix_null"), F.col("__mix_source"))
     targets = source_targets(blocks.select(name.alias("source"), F.col("words").alias("size")), weights=weights, max_copies=max_copies)
     targets = targets.select(F.col("source").isNull().alias("__mix_null"), F.coalesce("source", F.lit("")).alias("__mix_source"), "source_size", "target")
