@@ -16,8 +16,10 @@ rows together.
 
 Edge cases: a null text counts as empty and all empty texts are one group; the kept row
 has most code points, then the smallest doc_id, and a null doc_id comes last; repeated
-rows count as often as they occur and share one decision, that of their doc_id; an
-empty table gives an empty result.
+rows count as often as they occur and share one decision, that of their doc_id; of rows with
+one doc_id and text that differ elsewhere ``deduplicated`` keeps the one with the least hash;
+texts of any length are compared whole; an empty table gives an empty result; further columns
+have no effect, and may have any name but ``__row`` and ``__kept``.
 """
 
 from __future__ import annotations
@@ -65,7 +67,8 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     """The rows of ``docs`` that stay: one for each distinct text."""
     groups = exact_duplicates(docs, text, key).where("kept").select(_row_key(F.col(key), F.col("text_sha256")).alias("__row")).distinct()
     rows = docs.withColumn("__row", _row_key(F.col(key), F.sha2(normalised(F.col(text)), 256)))
-    return rows.join(groups, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    held = rows.join(groups, "__row", "left_semi").groupBy("__row").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__kept"))
+    return held.select("__kept.*")
 
 
 def _row_key(key: Column, digest: Column) -> Column:

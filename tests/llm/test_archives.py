@@ -34,6 +34,7 @@ def test_archives_round_trip(spark, pages, zip64):
         assert got.record_type == ("revisit" if again else "response") and got.refers_to == (str(first[r.html or ""]) if again else None)
         assert got.payload_digest == base64.b32encode(hashlib.sha1(payload).digest()).decode()
         assert again or bytes(got.payload) == payload
+        assert got.payload_bytes == len(payload)
     system, path = warc.filesystem(archives.first().archive)
     with system.open_input_file(path) as f, zipfile.ZipFile(io.BytesIO(f.read())) as z:
         assert z.testzip() is None
@@ -48,13 +49,26 @@ def test_smaller_payloads_are_responses(spark, pages):
     assert warc.read_archives(warc.write_archives(pages.limit(0), common.scratch(spark, "warc"))).count() == 0
 
 
+def test_pages_without_ids(spark):
+    d = spark.createDataFrame([(3, None, "a"), (None, None, "a"), (None, None, "b"), (None, None, "b"), (3, None, "a")], "page_id long, url string, html string")
+    got = sorted((r.record, r.record_type, r.refers_to or "", r.payload_bytes) for r in warc.read_archives(warc.write_archives(d, common.scratch(spark, "warc"))).collect())
+    assert got == [("3", "response", "", 1)] * 2 + [("None", "response", "", 1)] * 2 + [("None", "revisit", "3", 1)]
+
+
+def test_records_are_read_by_many_tasks(spark, pages):
+    many = pages.unionByName(pages.selectExpr("page_id + 100 as page_id", "url", "cast(page_id as string) as html", "payload")).repartition(1)
+    archives = warc.write_archives(many, common.scratch(spark, "warc"))
+    rows = warc.read_archives(archives, block=200)
+    assert rows.rdd.getNumPartitions() > 5 and rows.count() == many.count()
+
+
 def test_foreign_archives_are_refused(tmp_path):
     (tmp_path / "x.zip").write_bytes(b"PK not an archive")
     with pytest.raises(ValueError):
         warc.directory(warc.Ranges(str(tmp_path / "x.zip")))
 
 
-TURNS = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "~1 <b> [x] ~~0 \n"), (1, 2, None, None), (1, 3, "to]ol[", "~3"), (1, 4, "assistant", ""), (2, 0, "system", "hi"), (None, 0, "assistant", "ok")]
+TURNS = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "~1 <b> [x] ~~0 \n"), (1, 2, None, None), (1, 3, "to]ol[", "~3"), (1, 4, "assistant", ""), (1, 5, "~3]~", "a~3b"), (1, 6, "a~3b", "]"), (2, 0, "system", "hi"), (None, 0, "assistant", "ok")]
 
 
 def test_chat_reads_back(spark):
@@ -79,3 +93,11 @@ def test_events_fold_in_order(spark):
     for chunk in (1, 2, 256):
         got = sorted((r.message, r.role, r.text) for r in chat.fold_messages(d, chunk).collect())
         assert got == [(1, "assistant", "Hello"), (2, "", "bare"), (3, "user", "!")]
+
+
+def test_a_conversation_is_folded_by_many_tasks(spark):
+    """The partitioning of the turns' numbers does not reach the fold: chunks are dealt anew."""
+    d = spark.createDataFrame([(1, i, "user", "x") for i in range(50)], "conv_id long, message long, role string, text string").repartition("conv_id")
+    plan = chat.fold_messages(chat.events_of(d.withColumn("message", chat.F.struct("message"))))._jdf.queryExecution().optimizedPlan().toString()
+    shuffles = chat.fold_messages(chat.events_of(d.withColumn("message", chat.F.struct("message"))))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(conv_id")
+    assert plan and shuffles >= 3

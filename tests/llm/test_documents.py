@@ -282,6 +282,17 @@ def test_codecs_and_features(docs, none):
         text = "a b c" if r.id is None else TEXTS[r.id]
         n, payload = media.payload_of(text)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (n, len(payload), hashlib.sha256(payload).hexdigest())
+        stored = media.store(payload)
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (media.zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest())
+        kind, samples = media.FORMATS[media.zlib.crc32(payload) % 3], np.frombuffer(payload, np.uint8).astype(float)
+        plane = samples.reshape(-1, 192) if kind == "P5" else samples.reshape(-1, 64, 3) @ np.array([0.299, 0.587, 0.114])
+        h, w = plane.shape
+        share = lambda n, cells: np.array([[max(0.0, min((c + 1) * n / cells, p + 1) - max(c * n / cells, p)) for p in range(n)] for c in range(cells)])
+        if h < 500:
+            cells = np.round(share(h, 8) @ plane @ share(w, 9).T / (h / 8 * w / 9), 6)
+            assert r.feature == np.packbits(cells[:, 1:] > cells[:, :-1]).tobytes().hex()
+        tile = np.load(__import__("io").BytesIO(bytes(r.tile)))
+        assert r.tile_sha256 == hashlib.sha256(bytes(r.tile)).hexdigest() and r.tile_mean == round(float(tile.mean()), 6)
         assert len(payload) % 192 == 0 and np.load(__import__("io").BytesIO(bytes(r.tile))).shape[:2] == media.TILE
 
 
