@@ -10,7 +10,7 @@ proportional to ``l``. In particular the first segment agrees. So
 
 * candidates share a segment as a whole: rows (digest of the segment) that meet;
 * of these only those stay whose next ``CHAIN`` segments keep within the budgets, by
-  parities of 15 bits each, which never differ in more places than the segments do;
+  parities of 6 bits each, which never differ in more places than the segments do;
 * what is left is decided by the shingles themselves.
 
 Sizes are cut into classes of ratio 4 : 5, so partners lie in one class or in two adjacent
@@ -20,9 +20,12 @@ text with more empty ones than that emits them too.
 
 Classes instead of all pairs: the members of a bucket are first compared with one of them, each
 with the partner that it meets most often. Buckets whose members are then in one class are
-done; members of different classes of a bucket are compared pair by pair. Every similar pair
-either is in one class by then or is compared, so no link between classes is lost. A bucket is
-read as a stream of sorted rows, whatever its length. Equal texts are one node.
+done. In the others whole classes are merged for some turns, by one member of each, which is
+linear work; then members of different classes of a bucket are compared pair by pair. Every
+similar pair either is in one class by then or is compared, so no link between classes is lost.
+The last step is the square of what is left: of groups in which most texts are just short of
+similar. A bucket is read as a stream of sorted rows, whatever its length. Equal texts are one
+node.
 
 Edge cases: a null text is empty; wordless texts are similar to each other; a text shorter than a
 shingle is one shingle; repeated rows and equal texts share a class; texts of any length are
@@ -45,10 +48,12 @@ from .common import written
 from .components import stars
 
 SHINGLE, SIMILARITY = 5, 0.8
-CHAIN, PARITY = 4, 15
+CHAIN, PARITY = 10, 6
 UPPER = CHAIN * PARITY
 ROWS = 1 << 16
 KNOWN = 200_000
+#: Turns of merging whole classes before the rest is compared pair by pair; they change the work, not the result.
+TURNS = 3
 SEED = 42
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -223,10 +228,8 @@ def _decide(shingle: int, similarity: float):
     return run
 
 
-def _linked(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose texts are similar."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = written(rows.join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")
     left, right = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("a", "left"), ("b", "right")))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
     return written(both.mapInArrow(_decide(shingle, similarity), "a long, b long"), "links")
@@ -240,19 +243,49 @@ def node_of(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def classes(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, word, root): the rows of buckets that hold more than one class still."""
+    rooted = rows.select("key", "node", "word").join(roots, "node", "left").select("key", "node", "word", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+    return written(rooted.join(several, "key", "left_semi"), "open")
+
+
+def _between_classes(rows: DataFrame, turn: int) -> DataFrame:
+    """One pair (a, b) at most for each class: with the class that it meets in most buckets, each bucket setting one member of each of its classes against that of one class."""
+    lot = F.xxhash64("node", F.lit(turn))
+    upper = F.call_function("shiftright", F.col("word"), F.lit(UPPER))
+    members = rows.groupBy("key", "root").agg(F.min(F.struct(upper.alias("upper"), lot.alias("lot"), "node", "word")).alias("m"))
+    chosen = members.groupBy("key").agg(F.min(F.struct("m.upper", F.xxhash64("root", F.lit(turn)).alias("lot"), "root", "m.node", "m.word")).alias("p"))
+    met = members.join(chosen, "key").where((F.col("root") != F.col("p.root")) & (F.col("p.upper") == 0) & chained(F.col("m.word"), F.col("p.word")))
+    counted = met.groupBy("root", F.col("p.root").alias("to")).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.col("m.node").alias("x"), F.col("p.node").alias("y"))).alias("xy"))
+    best = counted.groupBy("root").agg(F.max_by("xy", F.struct("n", "to")).alias("xy"))
+    return best.select(*_pair("xy.x", "xy.y")).distinct()
+
+
+def classes(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, turns: int = TURNS) -> DataFrame:
     """(node, root) of every text, by ``node_of``, that has a similar one: the classes of all links."""
     rows = docs.select(node_of(F.col(text)).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     emitted = rows.mapInArrow(_emit(shingle, similarity), "key long, node long, word long")
     met = emitted.repartition("key").sortWithinPartitions("key", "word", "node").mapInArrow(_runs, "key long, node long, word long, pivot long, fits boolean")
     met = written(met, "buckets")
+    needed = met.where("fits").select(F.explode(F.array("node", "pivot")).alias("node")).distinct()
     often = met.where("fits").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
-    links = _linked(often.select(*_pair("node", "pivot")).distinct(), rows, shingle, similarity)
-    roots = written(stars(links), "roots")
-    rooted = met.select("key", "node", "word").join(roots, "node", "left").select("key", "node", "word", F.coalesce("root", "node").alias("root"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-    left = written(rooted.join(open_keys, "key", "left_semi"), "open")
+    links = _linked(often.select(*_pair("node", "pivot")).distinct(), _texts(rows, needed), shingle, similarity)
+    left = _open(met, written(stars(links), "roots"))
+    texts = _texts(rows, left.select("node").distinct()) if turns else None
+    for turn in range(turns):
+        more = _linked(_between_classes(left, turn), texts, shingle, similarity)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        left = _open(left, written(stars(links), "roots"))
     other = left.select("key", F.col("node").alias("other"), F.col("word").alias("other_word"), F.col("root").alias("other_root"))
     across = (F.col("root") < F.col("other_root")) & (F.least("word", "other_word") < F.lit(1 << UPPER)) & chained(F.col("word"), F.col("other_word"))
     pairs = written(left.join(other, "key").where(across).select(*_pair("node", "other")).distinct(), "pairs")
-    return stars(links.unionByName(_linked(pairs, rows, shingle, similarity)))
+    late = _texts(rows, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    return stars(links.unionByName(_linked(pairs, late, shingle, similarity)))
+
+
+def _texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the nodes, each once."""
+    return written(rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")

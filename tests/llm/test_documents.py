@@ -217,6 +217,11 @@ def test_similar_by_brute_force_in_groups_at_the_threshold(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = {r.id: r.component_id for r in simhash.similar(d).collect()}
     want = jaccard_classes(texts)
+    least = {n: min(i for i, t in enumerate(texts) if (t or "") == x) for n, x in ((r.node, r.text or "") for r in d.select(ringsets.node_of(d.text).alias("node"), "text").collect())}
+    plain = {}
+    for r in ringsets.classes(d, turns=0).collect():
+        plain.setdefault(r.root, {r.root}).add(r.node)
+    assert {min(least[n] for n in g): len(g) for g in plain.values()} == {c: k for c, k in collections.Counter(want[i] for i in set(least.values())).items() if k > 1}
     assert got == dict(enumerate(want)) and 20 < len(set(want)) < len(texts) - 100
     assert sorted(r.doc_id for r in simhash.one_of_each(d).collect()) == sorted(set(want))
 
