@@ -17,6 +17,9 @@ NUMBERED = {
     "op8_media": "media",
     "op9_language_id": "langid",
     "op10_chat_format": "chat",
+    "op11_sentencepiece": "pieces",
+    "op12_collocations": "collocations",
+    "op13_spelling_variants": "variants",
 }
 
 
