@@ -46,8 +46,8 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 HOT = 0.001
 #: Bits of a bitmap: 8 MB, whatever the data.
 BITS = 1 << 26
-#: Words that a task works on at once, rows that it sorts at once, and entries of its dictionaries.
-BLOCK, ROWS, KNOWN = 1 << 22, 1 << 20, 500_000
+#: Words that a task works on at once, distinct rows that it holds back to merge more, rows that it sorts at once, and entries of its dictionaries.
+BLOCK, HELD, ROWS, KNOWN = 1 << 20, 1 << 21, 1 << 20, 500_000
 UNKNOWN_LANGUAGE = "und"
 _BREAK = re.compile(rb"[.,;:!?\n-\r]+")
 _MIX = np.random.default_rng(5).integers(0, 1 << 63, LONGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -178,6 +178,26 @@ def merged(columns: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list
     return [c[fresh] for c in columns], np.add.reduceat(n[order], np.flatnonzero(fresh))
 
 
+def _merged_over(parts: Iterator[tuple[list[np.ndarray], np.ndarray]]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Rows with their n, merged over as many parts as can be held back."""
+    held, rows = [], 0
+
+    def together() -> tuple[list[np.ndarray], np.ndarray]:
+        return merged([np.concatenate(c) for c in zip(*(columns for columns, _ in held), strict=True)], np.concatenate([n for _, n in held]))
+
+    for columns, n in parts:
+        held.append((columns, n))
+        rows += len(n)
+        if rows >= HELD:
+            held = [together()]
+            rows = len(held[0][1])
+            if rows >= HELD // 2:
+                yield held.pop()
+                rows = 0
+    if held:
+        yield together()
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], frequent: Bitmap, salt: str) -> Iterator[np.ndarray]:
     """The texts as numbers of frequent words, 0 for all else, in blocks of whole texts."""
     known: dict[str, Numbers] = {}
@@ -209,9 +229,12 @@ def pairs(docs: DataFrame, frequent: Broadcast, salt: str, text: str = "text", l
     """(w1, w2, n): the frequent pairs of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, Bitmap(frequent.value), salt):
-            both = np.flatnonzero((block[:-1] != 0) & (block[1:] != 0))
-            (a, b), n = merged([block[both], block[both + 1]])
+        def linked() -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+            for block in _blocks(batches, Bitmap(frequent.value), salt):
+                both = np.flatnonzero((block[:-1] != 0) & (block[1:] != 0))
+                yield merged([block[both], block[both + 1]])
+
+        for (a, b), n in _merged_over(linked()):
             for i in range(0, len(n), ROWS):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + ROWS]) for x in (a, b, n)], ["w1", "w2", "n"])
 
@@ -264,8 +287,8 @@ def phrases(docs: DataFrame, frequent: Broadcast, two: DataFrame, salt: str, tex
     warm = np.sort(mixed([np.array(c, np.int64) for c in zip(*hot, strict=True)])) if hot else np.zeros(0, np.uint64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, Bitmap(frequent.value), salt):
-            columns, n = _suffixes(block, Bitmap(joined.value), longest)
+        blocks = _blocks(batches, Bitmap(frequent.value), salt)
+        for columns, n in _merged_over(_suffixes(block, Bitmap(joined.value), longest) for block in blocks):
             both = np.isin(mixed(columns[:2]), warm) & np.isin(mixed(columns[1:3]), warm)
             route = np.where(both, mixed(columns), mixed(columns[:3])).view(np.int64)
             for i in range(0, len(n), ROWS):

@@ -106,6 +106,7 @@ def test_collocations_by_definition(spark, monkeypatch, hot):
     monkeypatch.setattr(collocations, "HOT", hot)
     monkeypatch.setattr(collocations, "BLOCK", 500)
     monkeypatch.setattr(collocations, "ROWS", 50)
+    monkeypatch.setattr(collocations, "HELD", 800)
     rng = np.random.default_rng(1)
     vocabulary = ["the", "of", "The", "é", "É", "Über", "big", "data", "x\ty", "a-b", "日本", *(f"w{i}" for i in range(40))]
     weights = 1 / np.arange(1, len(vocabulary) + 1)
