@@ -20,12 +20,13 @@ text with more empty ones than that emits them too.
 
 Classes instead of all pairs: the members of a bucket are first compared with one of them, each
 with the partner that it meets most often. Buckets whose members are then in one class are
-done. In the others whole classes are merged for some turns, by one member of each, which is
-linear work; then members of different classes of a bucket are compared pair by pair. Every
-similar pair either is in one class by then or is compared, so no link between classes is lost.
-The last step is the square of what is left: of groups in which most texts are just short of
-similar. A bucket is read as a stream of sorted rows, whatever its length. Equal texts are one
-node.
+done. In the others whole classes are merged in turns, by one member of each, which is linear
+work, for some turns; then members of different classes of a bucket are compared
+pair by pair. Every similar pair either is in one class by then or is compared, so no link
+between classes is lost. Both steps first compare sketches, parities of all shingles of a set,
+which differ in no more bits than the sets do in shingles; what passes them is similar but for a
+few per cent, so nearly all of it is merged before pairs are made. A bucket is read as a stream
+of sorted rows, whatever its length. Equal texts are one node.
 
 Edge cases: a null text is empty; wordless texts are similar to each other; a text shorter than a
 shingle is one shingle; repeated rows and equal texts share a class; texts of any length are
@@ -52,8 +53,11 @@ CHAIN, PARITY = 10, 6
 UPPER = CHAIN * PARITY
 ROWS = 1 << 16
 KNOWN = 200_000
-#: Turns of merging whole classes before the rest is compared pair by pair; they change the work, not the result.
+#: Most turns of merging whole classes before the rest is compared pair by pair; they change the work, not the result.
 TURNS = 3
+#: Bits of a sketch, for pairs that are compared one by one.
+SKETCH = 1024
+_SKETCHED = [f"sketch_{i}" for i in range(SKETCH // 64)]
 SEED = 42
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -109,10 +113,10 @@ class Scheme:
         return h + 3 + h // 16, h
 
 
-def rows_of(hashes: np.ndarray, scheme: Scheme) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(keys, words) of a set under its two pairs of classes. A word holds the parities of the next segments and whether the set is in the upper class."""
+def rows_of(hashes: np.ndarray, scheme: Scheme) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, words, befores) of a set under its two pairs of classes. A word holds the parities of the next segments and whether the set is in the upper class; a before is the key of the segment before if it has a row too, else 0, as at the first."""
     if not len(hashes):
-        return [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        return [(np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64))]
     own, out = scheme.of(len(hashes)), []
     for c in (own - 1, own):
         if c < 0:
@@ -132,10 +136,18 @@ def rows_of(hashes: np.ndarray, scheme: Scheme) -> list[tuple[np.ndarray, np.nda
         words = np.full(len(at), (c < own) << UPPER, np.int64)
         for j in range(min(CHAIN, m - 1)):
             words |= parity[(at + j + 1) % m] << (PARITY * j)
-        out.append((keys, words))
+        before = np.where(np.diff(at, prepend=-2) == 1, np.roll(keys, 1), 0)
+        before[0] = 0
+        out.append((keys, words, before))
     return out
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of a set's shingles in ``SKETCH`` bits: two sets differ in as many shingles at least as their sketches do in bits."""
+    bits = np.bincount((mixed(hashes * _ODD[43]) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _emit(shingle: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, scheme, seen = Words(), Scheme(similarity), set()
@@ -154,7 +166,7 @@ def _emit(shingle: int, similarity: float):
                 if len(seen) >= KNOWN:
                     seen.clear()
                 seen.add(node)
-                for k, w in rows_of(shingles(text.as_py(), shingle, known), scheme):
+                for k, w, _ in rows_of(shingles(text.as_py(), shingle, known), scheme):
                     keys.append(k)
                     words.append(w)
                     nodes.append(np.full(len(k), node, np.int64))
@@ -168,6 +180,43 @@ def _emit(shingle: int, similarity: float):
     return run
 
 
+def _emit_late(shingle: int, similarity: float):
+    """From (node, text, keys): those rows of each text that have one of the keys, with the key before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, scheme = Words(), Scheme(similarity)
+        for batch in batches:
+            for node, text, keys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                wanted = keys.values.to_numpy(zero_copy_only=False)
+                for rows in rows_of(shingles(text.as_py(), shingle, known), scheme):
+                    there = np.isin(rows[0], wanted)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(r[there] for r in rows), np.full(int(there.sum()), node, np.int64))], ["key", "word", "before", "node"])
+
+    return run
+
+
+def _emit_marks(shingle: int):
+    """(node, size, sketch) of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                found = [shingles(t.as_py(), shingle, known) for t in part.column(1)]
+                bits = np.stack([sketch(f) for f in found])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(f) for f in found], pa.int64()), *(pa.array(b) for b in bits.T.copy())], ["node", "size", *_SKETCHED])
+
+    return run
+
+
+def few(similarity: float, x: str, y: str) -> Column:
+    """Whether the sketches of two sets, structs of that name, allow for the similarity."""
+    t = Scheme(similarity).t
+    differ = sum((F.bit_count(F.col(f"{x}.{n}").bitwiseXOR(F.col(f"{y}.{n}"))) for n in _SKETCHED), F.lit(0))
+    return differ * (t.denominator + t.numerator) <= (F.col(f"{x}.size") + F.col(f"{y}.size")) * (t.denominator - t.numerator)
+
+
 def within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the chains behind two equal segments keep within the budgets."""
     differ, total, ok = a ^ b, np.zeros(len(a), np.uint8), np.ones(len(a), bool)
@@ -244,24 +293,38 @@ def node_of(text: Column) -> Column:
 
 
 def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, word, root): the rows of buckets that hold more than one class still."""
-    rooted = rows.select("key", "node", "word").join(roots, "node", "left").select("key", "node", "word", F.coalesce("root", "node").alias("root"))
+    """rows with their root: those of buckets that hold more than one class still."""
+    rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
     return written(rooted.join(several, "key", "left_semi"), "open")
 
 
-def _between_classes(rows: DataFrame, turn: int) -> DataFrame:
+def _between_classes(rows: DataFrame, marks: DataFrame, similarity: float, turn: int) -> DataFrame:
     """One pair (a, b) at most for each class: with the class that it meets in most buckets, each bucket setting one member of each of its classes against that of one class."""
     lot = F.xxhash64("node", F.lit(turn))
     upper = F.call_function("shiftright", F.col("word"), F.lit(UPPER))
     members = rows.groupBy("key", "root").agg(F.min(F.struct(upper.alias("upper"), lot.alias("lot"), "node", "word")).alias("m"))
     chosen = members.groupBy("key").agg(F.min(F.struct("m.upper", F.xxhash64("root", F.lit(turn)).alias("lot"), "root", "m.node", "m.word")).alias("p"))
     met = members.join(chosen, "key").where((F.col("root") != F.col("p.root")) & (F.col("p.upper") == 0) & chained(F.col("m.word"), F.col("p.word")))
-    counted = met.groupBy("root", F.col("p.root").alias("to")).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.col("m.node").alias("x"), F.col("p.node").alias("y"))).alias("xy"))
-    best = counted.groupBy("root").agg(F.max_by("xy", F.struct("n", "to")).alias("xy"))
+    counted = met.groupBy("root", F.col("p.root").alias("to"), F.col("m.node").alias("x"), F.col("p.node").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    mark = F.struct("size", *_SKETCHED)
+    for side in ("x", "y"):
+        counted = counted.join(marks.select(F.col("node").alias(side), mark.alias(f"of_{side}")), side)
+    best = counted.where(few(similarity, "of_x", "of_y")).groupBy("root").agg(F.max_by(F.struct("x", "y"), F.struct("n", "to", "x", "y")).alias("xy"))
     return best.select(*_pair("xy.x", "xy.y")).distinct()
 
 
+def _across(rows: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes of different classes that are not told apart before their texts are compared.
+
+    A pair meets in every segment that agrees. It counts where a run of equal segments begins, so where the keys before differ, or have no row, or the ring begins: from there the chain fits if it does so from a later segment of the run. Its sketches may differ in no more bits than its sets in shingles."""
+    marked = rows.join(marks.select("node", F.struct("size", *_SKETCHED).alias("mark")), "node")
+    other = marked.select("key", *(F.col(n).alias(f"other_{n}") for n in ("node", "word", "before", "root", "mark")))
+    begins = (F.col("before") != F.col("other_before")) | (F.col("before") == 0)
+    apart = (F.col("root") < F.col("other_root")) & begins & (F.least("word", "other_word") < F.lit(1 << UPPER)) & chained(F.col("word"), F.col("other_word"))
+    return marked.join(other, "key").where(apart & few(similarity, "mark", "other_mark")).select(*_pair("node", "other_node")).distinct()
+
+
 def classes(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, turns: int = TURNS) -> DataFrame:
     """(node, root) of every text, by ``node_of``, that has a similar one: the classes of all links."""
     rows = docs.select(node_of(F.col(text)).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -271,19 +334,20 @@ def classes(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, similar
     needed = met.where("fits").select(F.explode(F.array("node", "pivot")).alias("node")).distinct()
     often = met.where("fits").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
     links = _linked(often.select(*_pair("node", "pivot")).distinct(), _texts(rows, needed), shingle, similarity)
-    left = _open(met, written(stars(links), "roots"))
-    texts = _texts(rows, left.select("node").distinct()) if turns else None
+    left = _open(met.select("key", "node"), written(stars(links), "roots"))
+    texts = _texts(rows, left.select("node").distinct())
+    keys = left.groupBy("node").agg(F.collect_list("key").alias("keys"))  # as many as a text has segments
+    late = written(texts.join(keys, "node").select("node", "text", "keys").mapInArrow(_emit_late(shingle, similarity), "key long, word long, before long, node long"), "late")
+    marks = written(texts.select("node", "text").mapInArrow(_emit_marks(shingle), ", ".join(f"{n} long" for n in ("node", "size", *_SKETCHED))), "marks")
+    left = _open(late, written(stars(links), "roots"))
     for turn in range(turns):
-        more = _linked(_between_classes(left, turn), texts, shingle, similarity)
+        more = _linked(_between_classes(left, marks, similarity, turn), texts, shingle, similarity)
         if more.isEmpty():
             break
         links = links.unionByName(more)
-        left = _open(left, written(stars(links), "roots"))
-    other = left.select("key", F.col("node").alias("other"), F.col("word").alias("other_word"), F.col("root").alias("other_root"))
-    across = (F.col("root") < F.col("other_root")) & (F.least("word", "other_word") < F.lit(1 << UPPER)) & chained(F.col("word"), F.col("other_word"))
-    pairs = written(left.join(other, "key").where(across).select(*_pair("node", "other")).distinct(), "pairs")
-    late = _texts(rows, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    return stars(links.unionByName(_linked(pairs, late, shingle, similarity)))
+        left = _open(left.drop("root"), written(stars(links), "roots"))
+    pairs = written(_across(left, marks, similarity), "pairs")
+    return stars(links.unionByName(_linked(pairs, texts, shingle, similarity)))
 
 
 def _texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:

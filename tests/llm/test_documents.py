@@ -196,8 +196,11 @@ def test_chains_miss_no_similar_sets():
         both = len(np.intersect1d(a, b))
         if len(b) and both >= 0.8 * (len(a) + len(b) - both):
             found += 1
-            left, right = ({int(k): int(w) for keys, words in ringsets.rows_of(x, scheme) for k, w in zip(keys, words, strict=True)} for x in (a, b))
-            assert any(ringsets.within(np.array([left[k]]), np.array([right[k]]))[0] and min(left[k], right[k]) < 1 << ringsets.UPPER for k in left.keys() & right.keys())
+            left, right = ({int(k): (int(w), int(p)) for rows in ringsets.rows_of(x, scheme) for k, w, p in zip(*rows, strict=True)} for x in (a, b))
+            fit = [k for k in left.keys() & right.keys() if ringsets.within(np.array([left[k][0]]), np.array([right[k][0]]))[0] and min(left[k][0], right[k][0]) < 1 << ringsets.UPPER]
+            assert fit and any(left[k][1] != right[k][1] or not left[k][1] for k in fit)  # where a run of equal segments begins, too
+            differ = int(np.bitwise_count(ringsets.sketch(a).view(np.uint64) ^ ringsets.sketch(b).view(np.uint64)).sum())
+            assert differ <= len(a) + len(b) - 2 * both and 9 * differ <= len(a) + len(b)
     assert found > 200
 
 
