@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
+from ..operators import bricks as bk
 from ..operators import grids as gr
 from ..operators import morphology as mo
 from ..operators import raytrace as rt
@@ -229,6 +230,16 @@ def _(t):
     return rt.deepest(_dense(t))
 
 
+BRICKED = f"""{SEGMENTS} SELECT ray, round(sum(length * rho) - arg_max(length * rho, start) / 2, 5) AS depth, round(coalesce(min(CASE WHEN rho > 5e-2 THEN start END), -1), 5) AS ssd, round(min(start), 5) AS entry FROM dense GROUP BY ray"""
+
+
+@query("jn08_brick_depths", BRICKED, digits=5)
+def _(t):
+    """AK-01 to AK-03 through a store of bricks, small ones here so that rays pass several."""
+    rays = t.points().select(F.col("id").alias("ray"), F.lit(-200.0).alias("sx"), F.lit(3.0).alias("sy"), F.lit(-4.0).alias("sz"), F.lit(150.0).alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"))
+    return bk.traced(rays, ("ray",), bk.packed(_density(t), 4), BOX, side=4, most=1000)
+
+
 @query("ak03_surface_distance", f"{SEGMENTS} SELECT ray, round(coalesce(min(CASE WHEN rho > 5e-2 THEN start END), -1), 5) AS ssd FROM dense GROUP BY ray", digits=5)
 def _(t):
     return rt.surface_distance(_dense(t))

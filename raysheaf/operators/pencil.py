@@ -1,7 +1,7 @@
 """Dose influence of pencil beams: rays, voxels and density to sparse entries (voxel, bixel, value).
 
 One plan over all beams: beams are columns, never loops. What moves is, in this order, voxels
-by beam (narrowed to the beam's cone first), traced segments to the density of their voxel, and
+by beam (narrowed to the beam's cone first), their rays to the bricks of density on their way, and
 pairs of voxel and ray to the kernel row that they need. Pairs come from the ray lattice: a
 voxel lists the lattice places within its cut-off and meets the rays that are there, so no
 pair is made that does not count. Kernels are tables of rows, and no table of data's size is
@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import depth_dose
+from ..functions.lineage import cut
+from . import bricks as bk
 from . import raytrace as rt
 from . import sparse as sp
 from .kernels import convolve
@@ -75,6 +77,8 @@ def _padded(image: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+#: Beams are broadcast to all voxels: no plan has as many.
+MOST_BEAMS = 1_000
 KERNEL_ROWS = "kernel int, gx int, origin double, step double, n int, a array<array<double>>, b array<array<double>>"
 
 
@@ -137,13 +141,12 @@ def _source(machine: Machine, iso: tuple[float, float, float]) -> list[Column]:
     return patient_point(F.col("gantry"), F.col("couch"), (zero, F.lit(-machine.sad), zero), iso)
 
 
-def with_depths(near: DataFrame, density: DataFrame | None, box: rt.Box | None, machine: Machine, iso: tuple[float, float, float]) -> DataFrame:
+def with_depths(near: DataFrame, bricks: DataFrame | None, box: rt.Box | None, machine: Machine, iso: tuple[float, float, float]) -> DataFrame:
     """AK-07, AK-02: ``near`` with radiological ``depth``; without density the depth of water from the source; 0 for voxels whose ray misses the volume."""
-    if density is None:
+    if bricks is None:
         return near.withColumn("depth", F.greatest(machine.sad + F.col("by"), F.lit(0.0)))
-    ray = F.struct("beam", "voxel")
-    traced = rt.segments(near.select(ray.alias("ray"), *[c.alias(f"s{a}") for a, c in zip("xyz", _source(machine, iso), strict=True)], *[F.col(a).alias(f"t{a}") for a in "xyz"]), box)
-    deep = rt.deepest(rt.with_density(traced, density)).select("ray.beam", "ray.voxel", "depth")
+    rays = near.select("beam", "voxel", *[c.alias(f"s{a}") for a, c in zip("xyz", _source(machine, iso), strict=True)], *[F.col(a).alias(f"t{a}") for a in "xyz"])
+    deep = bk.traced(rays, ("beam", "voxel"), bricks, box).select("beam", "voxel", "depth")
     return near.join(deep, ["beam", "voxel"], "left").withColumn("depth", F.coalesce("depth", F.lit(0.0)))
 
 
@@ -154,13 +157,13 @@ def ray_targets(rays: DataFrame, plan: DataFrame, machine: Machine, width: float
     return rays.join(F.broadcast(plan), "beam").select("beam", "ray", "ix", "iz", *[c.alias(f"s{a}") for a, c in zip("xyz", _source(machine, iso), strict=True)], *[c.alias(a) for a, c in zip("xyz", end, strict=True)])
 
 
-def beam_distances(rays: DataFrame, plan: DataFrame, density: DataFrame | None, box: rt.Box | None, machine: Machine, width: float, iso: tuple[float, float, float], cell: float = 20.0) -> DataFrame:
+def beam_distances(rays: DataFrame, plan: DataFrame, bricks: DataFrame | None, box: rt.Box | None, machine: Machine, width: float, iso: tuple[float, float, float], cell: float = 20.0) -> DataFrame:
     """AK-07, AK-03: (beam, mean_ssd) over rays, those that meet no surface taking the nearest ray's distance."""
-    if density is None:
+    if bricks is None:
         return rays.select("beam").distinct().select("beam", F.lit(machine.sad).alias("mean_ssd"))
     ends = ray_targets(rays, plan, machine, width, iso)
-    traced = rt.segments(ends.select(F.struct("beam", "ray").alias("ray"), "sx", "sy", "sz", *[F.col(a).alias(f"t{a}") for a in "xyz"]), box)
-    ssd = rt.surface_distance(rt.with_density(traced, density)).select("ray.beam", "ray.ray", "ssd")
+    found = bk.traced(ends.select("beam", "ray", "sx", "sy", "sz", *[F.col(a).alias(f"t{a}") for a in "xyz"]), ("beam", "ray"), bricks, box)
+    ssd = found.select("beam", "ray", "ssd")
     whole = rt.with_nearest(ssd, ends.select("beam", "ray", "x", "y", "z"), machine.sad, cell)
     return whole.groupBy("beam").agg(F.avg("ssd").alias("mean_ssd"))
 
@@ -200,8 +203,12 @@ def influence(voxels: DataFrame, plan: DataFrame, bixels: DataFrame, grids: Data
     (beam, ray, ix, iz, bixel); ``kernels`` (kernel, ssd); ``grids`` from ``kernel_rows``;
     ``density`` (i, j, k, rho) on ``box``, or None for water.
     """
-    near = with_depths(in_beams(voxels, plan, bixels, machine, width, iso), density, box, machine, iso)
-    chosen = nearest_kernels(beam_distances(bixels.select("beam", "ray", "ix", "iz"), plan, density, box, machine, width, iso, cell), kernels)
+    if plan.limit(MOST_BEAMS + 1).count() > MOST_BEAMS:
+        raise ValueError(f"a plan of at most {MOST_BEAMS} beams")
+    bixels = cut(bixels)
+    bricks = None if density is None else cut(bk.packed(density))
+    near = with_depths(in_beams(voxels, plan, bixels, machine, width, iso), bricks, box, machine, iso)
+    chosen = nearest_kernels(cut(beam_distances(bixels.select("beam", "ray", "ix", "iz"), plan, bricks, box, machine, width, iso, cell)), kernels)
     pairs = ray_pairs(near.select("beam", "voxel", "bx", "by", "bz", "geo", "depth").join(F.broadcast(chosen), "beam"), bixels, machine, width)
     lateral = with_lateral(pairs.select("kernel", "voxel", "bixel", "geo", "depth", "ox", "oz"), grids)
     value = depth_dose(F.col("depth"), machine.betas, machine.mu, [F.col(f"k{c}") for c in (1, 2, 3)], F.col("geo"), machine.sad)

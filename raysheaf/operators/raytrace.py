@@ -86,8 +86,9 @@ def depths(traced: DataFrame) -> DataFrame:
 
 
 def deepest(traced: DataFrame) -> DataFrame:
-    """AK-02 as the engine uses it: depth at the last segment of each ray."""
-    return depths(traced).groupBy("ray").agg(F.max_by("depth", "seg").alias("depth"))
+    """AK-02 as the engine uses it: depth at the middle of the last segment of each ray."""
+    step = F.col("length") * F.col("rho")
+    return traced.groupBy("ray").agg((F.sum(step) - F.max_by(step, "seg") / 2).alias("depth"))
 
 
 def surface_distance(traced: DataFrame, threshold: float = 0.05, compat: bool = False) -> DataFrame:
@@ -124,10 +125,11 @@ def nearest_point(missing: DataFrame, valid: DataFrame, cell: float, across: tup
     point, have null as their nearest.
     """
     placed = lambda df: df.where(sum((F.when(F.isnan(F.col(a).cast("double")) | F.col(a).isNull(), 1).otherwise(0) for a in AXES), F.lit(0)) == 0)
-    on = lambda a, b: sum((F.when(F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")), 0).otherwise(1) for c in across), F.lit(0)) == 0
     found, able = None, cut(placed(valid).select(*across, "id", *AXES))
     if across:
-        left = placed(missing).alias("m").join(able.select(*across).distinct().alias("a"), on("m", "a"), "left_semi")
+        groups = able.select(*[F.col(c).alias(f"__{c}") for c in across]).distinct()
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in across]
+        left = placed(missing).join(groups, same, "left_semi")
     else:
         left = placed(missing) if able.limit(1).count() else placed(missing).limit(0)
     left = cut(left.select(*across, "id", *AXES))
@@ -141,11 +143,12 @@ def nearest_point(missing: DataFrame, valid: DataFrame, cell: float, across: tup
         distance = F.sqrt(sum(((F.col(a) - F.col(f"v{a}")) * (F.col(a) - F.col(f"v{a}")) for a in AXES), F.lit(0.0)))
         best = probes.join(own, [*across, "cx", "cy", "cz"]).groupBy(*across, "id").agg(F.min(F.struct(distance.alias("d"), F.col("v"))).alias("__best"))
         near = best.select(*across, "id", F.col("__best.v").alias("nearest"), F.col("__best.d").alias("distance"))
-        sure = cut(near if cell >= extent else near.where(F.col("distance") <= cell))
+        met = cut(near)
+        sure = met if cell >= extent else met.where(F.col("distance") <= cell)
         found = sure if found is None else found.unionByName(sure)
         if cell >= extent:
             break
-        left = cut(left.join(sure.select(*across, "id"), [*across, "id"], "left_anti"))
+        left = left.join(sure.select(*across, "id"), [*across, "id"], "left_anti")
         cell *= 2
     asked = missing.select(*across, "id")
     if found is None:
@@ -158,7 +161,7 @@ def with_nearest(ssd: DataFrame, targets: DataFrame, default: float = 1000.0, ce
 
     ``ssd`` has (beam, ray, ssd) and ``targets`` (beam, ray, x, y, z), one row per ray.
     """
-    rows = targets.join(ssd, ["beam", "ray"], "left").select("beam", F.col("ray").alias("id"), *AXES, "ssd")
+    rows = cut(targets.join(ssd, ["beam", "ray"], "left").select("beam", F.col("ray").alias("id"), *AXES, "ssd"))
     missing, valid = rows.where(F.coalesce(F.col("ssd") <= 0, F.lit(True))), rows.where("ssd > 0")
     near = nearest_point(missing, valid, cell, ("beam",))
     taken = near.join(valid.select("beam", F.col("id").alias("nearest"), F.col("ssd").alias("of")), ["beam", "nearest"], "left")
