@@ -67,7 +67,7 @@ def _(t):
     return ge._fluence(t).groupBy("beam").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"), F.max("fluence").alias("top"))
 
 
-@query("ag27_sequence_totals", f"WITH f AS ({ge.FIDELITY}) SELECT round(sum(weight / 1e1), 6) AS mu, count(*) AS segments, (SELECT round(avg(fidelity), 5) FROM f WHERE beam IN (SELECT beam FROM {ge.RUNS})) AS fidelity FROM {ge.RUNS}")
+@query("ag27_sequence_totals", f"WITH f AS ({ge.EXACT_FIDELITY}) SELECT round(sum(weight / 1e1), 6) AS mu, count(*) AS segments, (SELECT round(avg(fidelity), 5) FROM f WHERE beam IN (SELECT beam FROM {ge.RUNS})) AS fidelity FROM {ge.RUNS}")
 def _(t):
     runs = sq.shape_runs(ge._quantised(t)).withColumn("mu", F.col("weight") / 10.0)
     return sq.totals(runs, ge._fidelity(t).select("beam", "fidelity")).select("mu", "segments", F.round("fidelity", 5).alias("fidelity"))

@@ -26,6 +26,16 @@ def _voxels(t: Tables) -> DataFrame:
     return t.read("orders").where("o_orderstatus = 'F'").select((F.col("o_custkey") % 60).alias("i"), (key % 50).alias("j"), (F.floor(key / 50) % 40).alias("k")).distinct()
 
 
+#: The target among the voxels: those of urgent orders.
+URGENT = VOXELS.replace("o_orderstatus = 'F'", "o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+
+
+def _urgent(t: Tables) -> DataFrame:
+    key = F.col("o_orderkey")
+    rows = t.read("orders").where("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+    return rows.select((F.col("o_custkey") % 60).alias("i"), (key % 50).alias("j"), (F.floor(key / 50) % 40).alias("k")).distinct()
+
+
 def _index(grid: gr.Grid, axis: int, x: str) -> str:
     return f"(({x}) - {grid.origin[axis]}::DOUBLE) / {grid.spacing[axis]}::DOUBLE"
 
@@ -280,7 +290,7 @@ FLUENCE = f"""(SELECT g.beam, g.iz - z0 AS row, g.ix - x0 AS col, coalesce(weigh
 LEAVES = "(SELECT n_nationkey AS lp, (sum(5 + n_regionkey) OVER (ORDER BY n_nationkey) - (5 + n_regionkey) - (SELECT sum(5 + n_regionkey) FROM nation) / 2)::DOUBLE AS low, (sum(5 + n_regionkey) OVER (ORDER BY n_nationkey) - (SELECT sum(5 + n_regionkey) FROM nation) / 2)::DOUBLE AS high FROM nation)"
 LEVELS = 10
 RESAMPLED = f"(SELECT beam, lp, col, sum((least(high, z + 35e-1) - greatest(low, z - 35e-1)) / (high - low) * fluence) AS value FROM {FLUENCE} JOIN {LEAVES} ON high > z - 35e-1 AND low < z + 35e-1 GROUP BY beam, lp, col)"
-QUANT = f"(SELECT beam, lp, col, least(greatest(round(value / (max(value) OVER (PARTITION BY beam)) * {LEVELS} * 1000001 / 1000000), 0), {LEVELS})::INT AS q FROM {RESAMPLED})"
+QUANT = f"(SELECT beam, lp, col, least(greatest(round(value / (max(value) OVER (PARTITION BY beam)) * {LEVELS}), 0), {LEVELS})::INT AS q FROM (SELECT beam, lp, col, round(value, 9) AS value FROM {RESAMPLED}))"
 
 
 def _bixels(t: Tables) -> DataFrame:
@@ -300,10 +310,9 @@ def _leaves(t: Tables) -> DataFrame:
 
 
 def _quantised(t: Tables) -> DataFrame:
-    r = sq.resampled(_fluence(t), _leaves(t), BW)
+    r = sq.resampled(_fluence(t), _leaves(t), BW).withColumn("value", F.round("value", 9))  # sums stay equal, whatever their order
     top = r.groupBy("beam").agg(F.max("value").alias("top"))
-    # A millionth more keeps values that sums leave just below a half from depending on their order.
-    return r.join(F.broadcast(top), "beam").select("beam", "lp", "col", sq.quantised(F.col("value") * 1000001 / 1000000, F.col("top"), LEVELS).alias("q"))
+    return r.join(F.broadcast(top), "beam").select("beam", "lp", "col", sq.quantised(F.col("value"), F.col("top"), LEVELS).alias("q"))
 
 
 @query("jn12_fluence_map", f"SELECT beam, row, col, round(fluence, 6) AS fluence FROM {FLUENCE}")
@@ -365,9 +374,10 @@ def _(t):
     return sq.banks(sq.openings(_quantised(t)), BW, 0.5)
 
 
-FIDELITY = f"""
+EXACT_FIDELITY = f"""
 WITH p AS (SELECT f.beam, f.fluence AS a, coalesce(q.q, 0) / 1e1 AS b FROM (SELECT beam, row, col, fluence, coalesce(lp, -1) AS lp FROM {FLUENCE} LEFT JOIN {LEAVES} ON z >= low AND z < high) f LEFT JOIN {QUANT} q USING (beam, lp, col))
-SELECT beam, round(CASE WHEN var_pop(a) < 1e-24 AND var_pop(b) < 1e-24 THEN 1e0 WHEN var_pop(a) < 1e-24 OR var_pop(b) < 1e-24 THEN 0e0 ELSE covar_pop(a, b) / sqrt(var_pop(a) * var_pop(b)) END, 6) AS fidelity, count(*) AS n FROM p GROUP BY beam"""
+SELECT beam, CASE WHEN var_pop(a) < 1e-24 AND var_pop(b) < 1e-24 THEN 1e0 WHEN var_pop(a) < 1e-24 OR var_pop(b) < 1e-24 THEN 0e0 ELSE covar_pop(a, b) / sqrt(var_pop(a) * var_pop(b)) END AS fidelity, count(*) AS n FROM p GROUP BY beam"""
+FIDELITY = f"SELECT beam, round(fidelity, 6) AS fidelity, n FROM ({EXACT_FIDELITY})"
 
 
 def _fidelity(t: Tables) -> DataFrame:
@@ -440,13 +450,13 @@ def _(t):
 
 
 @query("ak11_dilate", f"""
-WITH RECURSIVE allowed AS (SELECT * FROM {VOXELS}), target AS (SELECT * FROM allowed WHERE i % 9 = 0 AND j % 7 = 0),
+WITH RECURSIVE allowed AS (SELECT * FROM {VOXELS}), target AS (SELECT DISTINCT i, j, k FROM {URGENT}),
 g AS (SELECT i, j, k, 0 AS step FROM target UNION SELECT a.i, a.j, a.k, g.step + 1 FROM g JOIN allowed a ON abs(a.i - g.i) <= 1 AND abs(a.j - g.j) <= 1 AND abs(a.k - g.k) <= CASE WHEN g.step < 1 THEN 1 ELSE 0 END
   WHERE g.step < 2 AND g.i BETWEEN 1 AND 58 AND g.j BETWEEN 1 AND 48 AND g.k BETWEEN 1 AND 38)
 SELECT DISTINCT i, j, k FROM g""")
 def _(t):
     v = _voxels(t)
-    return mo.dilated(v.where("i % 9 = 0 and j % 7 = 0"), v, (60, 50, 40), (1.0, 1.0, 2.0), (2.0, 2.0, 2.0))
+    return mo.dilated(_urgent(t), v, (60, 50, 40), (1.0, 1.0, 2.0), (2.0, 2.0, 2.0))
 
 
 @query("ak37_blur", f"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
+from ..functions.lineage import shared_folder
 from ..operators import analysis as an
 from ..operators import catalog as ca
 from ..operators import grids as gr
@@ -16,6 +17,7 @@ from ..operators import pencil as pb
 from ..operators import sequencing as sq
 from ..operators import sparse as sp
 from ..operators import steering as st
+from ..operators import workflow as wf
 from . import geometry as ge
 from .dose import DIJ, EDGES, FORWARD, _placed, _stats_sql
 from .phase_space import NAMES, WITH_W, _names
@@ -37,7 +39,7 @@ def _(t):
 
 
 MARGIN = f"""
-WITH RECURSIVE allowed AS (SELECT * FROM {ge.VOXELS}), target AS (SELECT * FROM allowed WHERE i % 9 = 0 AND j % 7 = 0),
+WITH RECURSIVE allowed AS (SELECT * FROM {ge.VOXELS}), target AS (SELECT DISTINCT i, j, k FROM {ge.URGENT}),
 g AS (SELECT i, j, k, 0 AS step FROM target UNION SELECT a.i, a.j, a.k, g.step + 1 FROM g JOIN allowed a ON abs(a.i - g.i) <= 1 AND abs(a.j - g.j) <= CASE WHEN g.step < 1 THEN 1 ELSE 0 END AND abs(a.k - g.k) <= CASE WHEN g.step < 1 THEN 1 ELSE 0 END
   WHERE g.step < 2 AND g.i BETWEEN 1 AND 58 AND g.j BETWEEN 1 AND 48 AND g.k BETWEEN 1 AND 38)
 SELECT DISTINCT round(j * 15e-1 + 5, 6) AS x, round(i * 1e0 - 20, 6) AS y, round(k * 2e0, 6) AS z FROM g"""
@@ -47,11 +49,11 @@ SELECT DISTINCT round(j * 15e-1 + 5, 6) AS x, round(i * 1e0 - 20, 6) AS y, round
 def _(t):
     """AK-12: the grown target's positions in patient axes."""
     v = ge._voxels(t)
-    grown = mo.with_margin(v.where("i % 9 = 0 and j % 7 = 0"), v, ge.CT.dims, ge.CT.spacing, 2.0)
+    grown = mo.with_margin(ge._urgent(t), v, ge.CT.dims, ge.CT.spacing, 2.0)
     return grown.select(*[ge.CT.position(a, F.col(n)).alias(c) for a, n, c in ((1, "j", "x"), (0, "i", "y"), (2, "k", "z"))])
 
 
-TARGETS = f"(SELECT * FROM {POINTS} WHERE id % 3 = 0)"
+TARGETS = f"(SELECT * FROM {POINTS} WHERE x > 0)"
 ISO = f"(SELECT avg(x) AS ox, avg(y) AS oy, avg(z) AS oz FROM {TARGETS})"
 
 
@@ -60,7 +62,7 @@ WITH p AS (SELECT id, x - ox AS x, y - oy AS y, z - oz AS z FROM {TARGETS}, {ISO
 SELECT beam, gantry, couch, round(ox, 4) AS iso_x, round(oy, 4) AS iso_y, round(oz, 4) AS iso_z, rays FROM {ge.PLAN} JOIN r USING (beam), {ISO}""", digits=4)
 def _(t):
     """AK-16: isocentre of the targets, beams, and their rays."""
-    target = t.points().where("id % 3 = 0")
+    target = t.points().where("x > 0")
     iso = target.agg(*[F.avg(c).alias(f"o{c}") for c in "xyz"])
     centred = target.crossJoin(F.broadcast(iso)).select(*[(F.col(c) - F.col(f"o{c}")).alias(c) for c in "xyz"])
     rays = st.target_rays(centred, ge._plan(t), ge.SAD, ge.BW).groupBy("beam").agg(F.count(F.lit(1)).alias("rays"))
@@ -129,6 +131,16 @@ def _(t):
     return pb.influence(t.points().withColumnRenamed("id", "voxel"), plan, bixels, _bell_grids(t), kernels, MACHINE, ge.BW, density=ge._density(t), box=ge.BOX, relative=0.05, absolute=1e-4)
 
 
+@query("ak09_kept_dij", INFLUENCE)
+def _(t):
+    """AK-09, IO-31: the same matrix from a store that keeps it by beam; computed where the store has not got it."""
+    plan = _tilted(t)
+    rays = st.ray_set(t.points(), plan, ge.SAD, ge.BW, (1.0, 1.5, 2.0))
+    kernels = t.spark.createDataFrame(list(enumerate(KERNEL_SSDS)), "kernel int, ssd double")
+    voxels = t.points().withColumnRenamed("id", "voxel")
+    return wf.kept_influence(f"{shared_folder(t.spark)}/matrices", voxels, plan, rays, _bell_grids(t), kernels, MACHINE, ge.BW, density=ge._density(t), box=ge.BOX, keep=wf.Thresholds(0.05, 1e-4))[0]
+
+
 # Objectives
 
 _PART = "(substr(p_brand, 7)::INT % 5 + 1)"
@@ -198,9 +210,12 @@ def _(t):
     return ob.evaluated(_dose(t), objectives, goals, SPOT).agg(F.sum("f").alias("f"))
 
 
-@query("pf18_valid_voxels", f"SELECT voxel, bixel, round(value, 6) AS value FROM {ENTRIES} WHERE voxel BETWEEN 0 AND 149")
+@query("pf18_valid_voxels", f"SELECT voxel, bixel, round(value, 6) AS value FROM (SELECT voxel + CASE WHEN bixel = 3 THEN (SELECT count(*) FROM part) WHEN bixel = 4 THEN -(SELECT count(*) FROM part) ELSE 0 END AS voxel, bixel, value FROM {ENTRIES}) WHERE voxel BETWEEN 0 AND (SELECT count(*) FROM part) - 1")
 def _(t):
-    return ob.valid_voxels(t.entries(), 150)
+    """PF-18: the grid has as many voxels as the table; entries of two bixels are moved beyond either end."""
+    total = t.read("part").count()
+    moved = F.col("voxel") + F.when(F.col("bixel") == 3, total).when(F.col("bixel") == 4, -total).otherwise(0)
+    return ob.valid_voxels(t.entries().withColumn("voxel", moved), total)
 
 
 # Statistics and sequencing
@@ -236,7 +251,7 @@ def _(t):
 
 
 @query("ak34_sequencing", f"""
-WITH f AS ({ge.FIDELITY}), r AS (SELECT beam, count(*) AS segments, sum(weight / 1e1) AS mu FROM {ge.RUNS} GROUP BY beam)
+WITH f AS ({ge.EXACT_FIDELITY}), r AS (SELECT beam, count(*) AS segments, sum(weight / 1e1) AS mu FROM {ge.RUNS} GROUP BY beam)
 SELECT beam, coalesce(segments, 0) AS segments, round(coalesce(mu, 0e0), 5) AS mu, round(fidelity, 5) AS fidelity FROM f LEFT JOIN r USING (beam)""", digits=5)
 def _(t):
     """AK-31, AK-34: segments, monitor units and fidelity of each beam's sequence."""

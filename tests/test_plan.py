@@ -8,8 +8,10 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 
 from raysheaf.functions import columns as fc
+from raysheaf.operators import bricks as bk
 from raysheaf.operators import grids as gr
 from raysheaf.operators import objectives as ob
 from raysheaf.operators import optimize as op
@@ -17,6 +19,7 @@ from raysheaf.operators import pencil as pb
 from raysheaf.operators import raytrace as rt
 from raysheaf.operators import sparse as sp
 from raysheaf.operators import steering as st
+from raysheaf.operators import workflow as wf
 
 
 def test_kernel_grid_by_direct_sums():
@@ -221,3 +224,69 @@ def test_rest_works_without_text_operators(tmp_path):
     shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns("llm", ".git", "__pycache__", "spark-warehouse"))
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert 'flagship_structure_dose' in q and 'pipeline' not in q and not any(n.startswith('op') for n in [*q, *s]); assert set(s) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", check=True, env={**os.environ, "PYTHONPATH": str(tmp_path / "copy")})
+
+
+def a_patient(spark):
+    ct = gr.Grid((8, 10, 6), (5.0, 4.0, 6.0), (-20.0, -18.0, -15.0))
+    image = spark.createDataFrame([(i, j, k, -1000 if min(i, j) == 0 else 0) for i in range(8) for j in range(10) for k in range(6)], "i long, j long, k long, hu int")
+    structures = spark.createDataFrame([("body", "EXTERNAL", i, j, k) for i in range(2, 7) for j in range(2, 8) for k in range(1, 5)] + [("target", "PTV", 4, j, 2) for j in (4, 5)], "structure string, kind string, i long, j long, k long")
+    positions = [float(x) for x in range(0, 30, 2)]
+    kernel = lambda ssd, s: Row(SSD=ssd, **{f"kernel{c + 1}": [math.exp(-x / (s + c + 2)) for x in positions] for c in range(3)})
+    machine = Row(name="m", sad=1000.0, mu=0.005066, betas=[0.3252, 0.016, 0.0051], fwhm=5.0, kernel_positions=positions, kernels=[kernel(990.0, 2), kernel(900.0, 1)])
+    plan = [(0, 0.0, 0.0), (1, 72.0, 0.0), (2, 144.0, 10.0)]
+    return ct, image, structures, machine, lambda *angles: spark.createDataFrame([(b, g if a is None else a, c) for (b, g, c), a in zip(plan, angles, strict=True)], "beam long, gantry double, couch double")
+
+
+def test_dose_pipeline_computes_changed_beams_only(spark, tmp_path):
+    ct, image, structures, machine, plan = a_patient(spark)
+    how = {"width": 5.0, "resolution": (5.0, 5.0, 6.0), "cutoff": 8.0, "step": 1.0, "keep": wf.Thresholds(0.02, 0.0)}
+    first, dose, computed = wf.dose_pipeline(f"file://{tmp_path}/a", structures, image, ct, plan(None, None, None), machine, **how)
+    first = {(r.voxel, r.bixel): r.value for r in first.collect()}
+    assert computed == [0, 1, 2] and len(first) > 100 and dose.dims == (8, 8, 6)
+    other, _, computed = wf.dose_pipeline(f"file://{tmp_path}/a", structures, image, ct, plan(None, 80.0, None), machine, **how)
+    other = {(r.voxel, r.bixel): r.value for r in other.collect()}
+    assert computed == [1] and other != first
+    whole, _, computed = wf.dose_pipeline(f"file://{tmp_path}/b", structures, image, ct, plan(None, 80.0, None), machine, **how)
+    assert computed == [0, 1, 2] and {(r.voxel, r.bixel): r.value for r in whole.collect()} == other
+    again, _, computed = wf.dose_pipeline(f"file://{tmp_path}/a", structures, image, ct, plan(None, None, None), machine, **how)
+    assert computed == [] and {(r.voxel, r.bixel): r.value for r in again.collect()} == first
+    denser = image.withColumn("hu", fc.F.col("hu") + 10)
+    assert wf.dose_pipeline(f"file://{tmp_path}/a", structures, denser, ct, plan(None, None, None), machine, **how)[2] == [0, 1, 2]
+
+
+def test_dose_voxels_fall_back_to_the_whole_grid(spark):
+    ct, _, structures, _, _ = a_patient(spark)
+    dose = ct.resampled((5.0, 5.0, 6.0))
+    some, every = wf.dose_voxels(structures, ct, dose), wf.dose_voxels(structures.limit(0), ct, dose)
+    assert 0 < some.count() < every.count() == 8 * 8 * 6
+    assert {tuple(r) for r in some.collect()} < {tuple(r) for r in every.collect()}
+
+
+def test_bricks_like_segments(spark):
+    """Depths and distances of rays through bricks equal those over all segments: rays along planes, that miss, that end inside, that have no length."""
+    rng = np.random.default_rng(6)
+    box = rt.Box((13, 9, 11), (3.0, 4.0, 2.5), (-17.0, -16.0, -12.0))
+    density = spark.createDataFrame([(i, j, k, float(rng.uniform(0, 2)) if rng.random() < 0.8 else 0.0) for i in range(13) for j in range(9) for k in range(11) if rng.random() < 0.9], "i long, j long, k long, rho double")
+    ends = [tuple(map(float, rng.uniform(-40, 40, 6))) for _ in range(300)]
+    ends += [(-50.0, 2.0, 1.0, 50.0, 2.0, 1.0), (-50.0, -2.0, -0.75, 50.0, -2.0, -0.75), (0.0, 0.0, 0.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0, 1.0, 1.0, 1.0), (100.0, 100.0, 0.0, 100.0, 200.0, 0.0)]
+    rays = spark.createDataFrame([(i, *e) for i, e in enumerate(ends)], "ray long, sx double, sy double, sz double, tx double, ty double, tz double")
+    dense = rt.with_density(rt.segments(rays, box), density)
+    want = {r.ray: (r.depth, r.ssd) for r in rt.deepest(dense).join(rt.surface_distance(dense), "ray").collect()}
+    for side, most in ((4, 10), (32, 100_000)):
+        got = {r.ray: (r.depth, r.ssd) for r in bk.traced(rays, ("ray",), bk.packed(density, side), box, side=side, most=most).collect()}
+        assert got.keys() == want.keys() and len(want) > 100
+        for ray, values in want.items():
+            assert got[ray] == pytest.approx(values, abs=1e-9)
+
+
+def test_rays_through_a_large_volume(spark):
+    """512 by 512 by 200 voxels: what is joined is a row per ray and brick."""
+    box = rt.Box((512, 512, 200), (1.0, 1.0, 2.5), (-255.5, -255.5, -248.75))
+    dense = spark.range(0, 512 * 512 * 200, 4001).selectExpr("id % 512 as i", "id div 512 % 512 as j", "id div (512 * 512) as k", "1.0D as rho")
+    rays = spark.range(2000).selectExpr("id as ray", "-1000.0D as sx", "0.0D as sy", "0.0D as sz", "1000.0D as tx", "double(id % 50) * 4 - 100 as ty", "double(id div 50) * 5 - 100 as tz")
+    found = bk.traced(rays, ("ray",), bk.packed(dense), box).collect()
+    assert len(found) == 2000
+    for r in found:
+        y, z = (r.ray % 50) * 4 - 100, (r.ray // 50) * 5 - 100
+        step = math.sqrt(1 + (y / 2000) ** 2 + (z / 2000) ** 2)  # water throughout: the whole way less half of the last voxel
+        assert r.depth == pytest.approx(512 * step, abs=1.0) and r.entry == pytest.approx(744 * step, rel=1e-9)
