@@ -1,23 +1,20 @@
 """Bounded fluence optimization: L-BFGS on the driver over bixel weights, evaluations on Spark.
 
 The driver holds vectors with one number per bixel, a plan's few thousand parameters, and
-nothing of voxel size. The matrix is combined once and kept; each evaluation is one
-aggregation by voxel and one by bixel.
+nothing of voxel size. The matrix is packed to row blocks once and kept (``rowblocks``); a step of
+the line search is evaluated together with those that may follow it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .objectives import Hotspot, evaluated
-
-Evaluate = Callable[[np.ndarray], tuple[float, np.ndarray]]
+from .objectives import Hotspot
+from .rowblocks import Evaluate, Objective
 
 
 @dataclass
@@ -47,7 +44,7 @@ def direction(g: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]]) -> np.n
 def minimise(evaluate: Evaluate, n: int, low: float, high: float, iterations: int = 400, memory: int = 10, tolerance: float = 1e-5, evaluations: int = 20, start: np.ndarray | None = None) -> Result:
     """AK-24 to AK-28: from zeros; projected directions, Wolfe line search with the best Armijo step as a fallback, reset of the memory up to five times."""
     x = np.full(n, max(low, 0.0)) if start is None else np.clip(start, low, high)
-    f, g = evaluate(x)
+    ((f, g),) = evaluate([x])
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     log, resets, stalls = [f], 0, 0
     for it in range(1, iterations + 1):
@@ -82,71 +79,32 @@ def minimise(evaluate: Evaluate, n: int, low: float, high: float, iterations: in
 
 
 def _search(evaluate: Evaluate, x, f, g, d, low, high, evaluations, step, c1=1e-4, c2=0.9):
-    """AK-27: bisection and doubling to a step with sufficient decrease and curvature."""
-    slope, bottom, top, best = float(g @ d), 0.0, np.inf, None
+    """AK-27: bisection and doubling to a step with sufficient decrease and curvature. A step is evaluated together with the two that may follow it."""
+    slope, bottom, top, best, known = float(g @ d), 0.0, np.inf, None, {}
+
+    def shorter(s: float) -> float:
+        return (bottom + s) / 2
+
+    def longer(s: float) -> float:
+        return 2 * s if np.isinf(top) else (s + top) / 2
+
     for _ in range(evaluations):
-        x1 = np.clip(x + step * d, low, high)
-        f1, g1 = evaluate(x1)
+        if step not in known:
+            steps = list(dict.fromkeys((step, shorter(step), longer(step))))
+            points = [np.clip(x + s * d, low, high) for s in steps]
+            known |= {s: (p, *found) for s, p, found in zip(steps, points, evaluate(points), strict=True)}
+        x1, f1, g1 = known[step]
         if f1 > f + c1 * step * slope:
-            top = step
+            step, top = shorter(step), step
         else:
             if best is None or f1 < best[1]:
                 best = (x1, f1, g1)
             if float(g1 @ d) >= c2 * slope:
                 return best
-            bottom = step
-        step = 2 * bottom if np.isinf(top) else (bottom + top) / 2
+            step, bottom = longer(step), step
     return best
 
 
-def fluence_objective(
-    dij: DataFrame,
-    bixels: list[int],
-    voxels: DataFrame,
-    terms: Callable[[DataFrame], DataFrame],
-    l2: float = 0.0,
-    l1: float = 0.0,
-    smoothing: float = 0.0,
-    edges: list[tuple[int, int]] = (),
-    partitions: int | None = None,
-) -> tuple[Evaluate, Callable[[], None]]:
-    """AG-17 as a function of the weights: value and gradient; and what releases the kept matrix.
-
-    ``terms`` makes (voxel, f, g) of (voxel, dose), where voxels of ``voxels`` without entries have
-    dose 0. The matrix is partitioned by voxel once and kept so: the forward product and the
-    join with the gradient move nothing, and only partial sums by bixel do. Weights travel as one
-    small table; the penalties on weights are sums over bixels on the driver.
-    """
-    spark = dij.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept = dij.repartition(n, "voxel").persist(StorageLevel.MEMORY_AND_DISK)
-    held = voxels.select("voxel").repartition(n, "voxel").persist(StorageLevel.MEMORY_AND_DISK)
-    place = {b: i for i, b in enumerate(bixels)}
-    ends = np.array([(place[a], place[b]) for a, b in edges if a in place and b in place], np.int64).reshape(-1, 2)
-
-    def evaluate(w: np.ndarray) -> tuple[float, np.ndarray]:
-        table = spark.createDataFrame([(int(b), float(x)) for b, x in zip(bixels, w, strict=True) if x], "bixel long, weight double")
-        dose = kept.join(F.broadcast(table), "bixel").groupBy("voxel").agg(F.sum(F.col("value") * F.col("weight")).alias("dose"))
-        dose = held.join(dose, "voxel", "left").select("voxel", F.coalesce("dose", F.lit(0.0)).alias("dose"))
-        at = terms(dose.persist()).persist()
-        f = at.agg(F.coalesce(F.sum("f"), F.lit(0.0))).first()[0]
-        grad = np.zeros(len(bixels))
-        for r in kept.join(at.where("g <> 0"), "voxel").groupBy("bixel").agg(F.sum(F.col("value") * F.col("g")).alias("g")).collect():  # one row per bixel
-            if r.bixel in place:
-                grad[place[r.bixel]] = r.g
-        at.unpersist()
-        dose.unpersist()
-        step = w[ends[:, 0]] - w[ends[:, 1]]  # each pair of neighbours stands in both directions
-        grad += 2 * smoothing * np.bincount(ends[:, 0], step, len(w)) + 2 * l2 * w + l1 * (w > 0)
-        return float(f + smoothing / 2 * (step @ step) + l2 * (w @ w) + l1 * w.sum()), grad
-
-    def release() -> None:
-        kept.unpersist()
-        held.unpersist()
-
-    return evaluate, release
-
-
 def most_fluence(dij: DataFrame, prescription: float) -> float:
     """SF-24: upper bound of the weights."""
     top = dij.agg(F.max("value")).first()[0] or 0.0
@@ -155,14 +113,8 @@ def most_fluence(dij: DataFrame, prescription: float) -> float:
 
 def optimised(dij: DataFrame, bixels: list[int], voxels: DataFrame, objectives: DataFrame, goals: DataFrame, spot: Hotspot | None = None, prescription: float = 66.0, iterations: int = 400, tolerance: float = 1e-5, **penalties) -> Result | None:
     """AK-29: weights of a plan, None without objectives. The hot-spot penalty is part of it only if ``spot`` is given."""
-    if not objectives.limit(1).count():
-        return None
-    few = objectives.persist()
-    kept = goals.repartition("voxel").persist(StorageLevel.MEMORY_AND_DISK)
-    evaluate, release = fluence_objective(dij, bixels, voxels, lambda dose: evaluated(dose, few, kept, spot), **penalties)
+    evaluate = Objective(dij, bixels, voxels, objectives, goals, spot, **penalties)
     try:
-        return minimise(evaluate, len(bixels), 0.0, most_fluence(dij, prescription), iterations=iterations, tolerance=tolerance)
+        return minimise(evaluate, len(bixels), 0.0, most_fluence(dij, prescription), iterations=iterations, tolerance=tolerance) if evaluate.lines else None
     finally:
-        release()
-        kept.unpersist()
-        few.unpersist()
+        evaluate.release()
