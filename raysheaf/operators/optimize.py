@@ -44,7 +44,7 @@ def direction(g: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]]) -> np.n
 def minimise(evaluate: Evaluate, n: int, low: float, high: float, iterations: int = 400, memory: int = 10, tolerance: float = 1e-5, evaluations: int = 20, start: np.ndarray | None = None) -> Result:
     """AK-24 to AK-28: from zeros; projected directions, Wolfe line search with the best Armijo step as a fallback, reset of the memory up to five times."""
     x = np.full(n, max(low, 0.0)) if start is None else np.clip(start, low, high)
-    ((f, g),) = evaluate([x])
+    f, g = evaluate(x)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     log, resets, stalls = [f], 0, 0
     for it in range(1, iterations + 1):
@@ -79,7 +79,7 @@ def minimise(evaluate: Evaluate, n: int, low: float, high: float, iterations: in
 
 
 def _search(evaluate: Evaluate, x, f, g, d, low, high, evaluations, step, c1=1e-4, c2=0.9):
-    """AK-27: bisection and doubling to a step with sufficient decrease and curvature. A step is evaluated together with the two that may follow it."""
+    """AK-27: bisection and doubling to a step with sufficient decrease and curvature. If ``evaluate`` takes ``many`` at once, a step is evaluated together with the two that may follow it."""
     slope, bottom, top, best, known = float(g @ d), 0.0, np.inf, None, {}
 
     def shorter(s: float) -> float:
@@ -90,9 +90,10 @@ def _search(evaluate: Evaluate, x, f, g, d, low, high, evaluations, step, c1=1e-
 
     for _ in range(evaluations):
         if step not in known:
-            steps = list(dict.fromkeys((step, shorter(step), longer(step))))
+            steps = list(dict.fromkeys((step, shorter(step), longer(step)))) if hasattr(evaluate, "many") else [step]
             points = [np.clip(x + s * d, low, high) for s in steps]
-            known |= {s: (p, *found) for s, p, found in zip(steps, points, evaluate(points), strict=True)}
+            values = evaluate.many(points) if len(points) > 1 else [evaluate(points[0])]
+            known |= {s: (p, *found) for s, p, found in zip(steps, points, values, strict=True)}
         x1, f1, g1 = known[step]
         if f1 > f + c1 * step * slope:
             step, top = shorter(step), step

@@ -27,7 +27,7 @@ ENTRIES = 1 << 19
 #: Bits of a dose that make its band: sign, exponent and nine of the mantissa.
 BAND = 44
 _BLOCK = "voxel array<long>, start array<int>, bixel array<int>, value array<double>, goal_at array<int>, goal_of array<int>"
-Evaluate = Callable[[list[np.ndarray]], list[tuple[float, np.ndarray]]]
+Evaluate = Callable[[np.ndarray], tuple[float, np.ndarray]]
 
 
 def packed(dij: DataFrame, bixels: list[int], voxels: DataFrame, goals: DataFrame) -> DataFrame:
@@ -182,7 +182,10 @@ class Objective:
         for r in an.order_statistics(self.blocks.mapInArrow(equal, "structure int, voxel long"), F.broadcast(ranks), "voxel").collect():
             cuts[keys[r.structure]] = (cuts[keys[r.structure]][0], int(r.value))
 
-    def __call__(self, trials: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+    def __call__(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        return self.many([w])[0]
+
+    def many(self, trials: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
         weights = np.stack(trials)
         cuts, lines, spot = self._cuts(weights), self.lines, self.spot
         kinds = np.array([KINDS.index(r.kind) for r in lines] or [0])

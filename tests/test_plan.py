@@ -167,7 +167,7 @@ def test_evaluation_like_dense(spark):
     how = {"l2": 0.01, "l1": 0.02, "smoothing": 0.05, "edges": edges}
     evaluate = rb.Objective(dij, list(range(9)), voxels, objectives, goals, spot, **how)
     trials = [np.zeros(9), np.linspace(0, 20, 9), np.full(9, 7.0), np.eye(9)[3] * 30]
-    for w, (f, g) in zip(trials, evaluate(trials), strict=True):
+    for w, (f, g) in zip(trials, evaluate.many(trials), strict=True):
         want_f, want_g = whole(w)
         assert f == pytest.approx(want_f) and g == pytest.approx(want_g)
     assert evaluate.jobs <= 4
