@@ -185,3 +185,29 @@ def test_dicom_parser_refuses(tmp_path):
             dicom.parse(data)
     with pytest.raises(ValueError):
         dicom.parse(dicom_file([element(0x00100020, "LO", "abcdef")[:-4]]))
+
+
+def test_kept_matrix_skips_files_by_voxel_and_by_bixel(spark, tmp_path):
+    """Files whose ranges hold a voxel, or a bixel: about the root of all."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "matrix")
+    dij = spark.range(0, 40_000).selectExpr("id % 500 * 3 as voxel", "id div 500 + 7 as bixel", "double(id) as value")
+    so.save_matrix(dij, path, 64)
+    assert sorted(so.load_matrix(spark, path).collect()) == sorted(dij.collect())
+    ranges = {"voxel": [], "bixel": []}
+    for file in glob.glob(f"{path}/*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            for c in range(meta.num_columns):
+                if (name := meta.row_group(g).column(c).path_in_schema) in ranges:
+                    stats = meta.row_group(g).column(c).statistics
+                    ranges[name].append((stats.min, stats.max))
+    assert len(ranges["voxel"]) >= 32
+    for name, values in (("voxel", (0, 300, 747, 1497)), ("bixel", (7, 30, 47, 86))):
+        for v in values:
+            assert 0 < sum(low <= v <= high for low, high in ranges[name]) <= len(ranges[name]) / 3
+    so.save_matrix(dij.limit(0), f"{path}-none", 4)
+    assert so.load_matrix(spark, f"{path}-none").count() == 0
