@@ -93,6 +93,31 @@ def _(t):
     return ps.metrics(ps.within_jaws(ps.with_w(t.particles()), -400, 300, -250, 250, 1000.0, 27.17))
 
 
+def _turned(x: str, y: str, z: str, names: str, offset: tuple[int, int, int]) -> str:
+    beam = (f"({x} * cos(radians(10)) - {y} * sin(radians(10)))", z, f"({x} * sin(radians(10)) + {y} * cos(radians(10)))")
+    return ", ".join(f"{r[0]:.17e} * {beam[0]} + {r[1]:.17e} * {beam[1]} + {r[2]:.17e} * {beam[2]} + {o} AS {n}" for r, n, o in zip(R, names, offset, strict=True))
+
+
+_SHARED = f"(SELECT * FROM (SELECT *, 3000 // 3 + CASE WHEN file < 3000 % 3 THEN 1 ELSE 0 END AS share FROM {FILE_ROWS}) WHERE CASE WHEN share < m / 2 THEN pos % greatest(1, m // greatest(share, 1)) = 0 AND pos < greatest(1, m // greatest(share, 1)) * share ELSE pos < share END)"
+_SOURCE = f"(SELECT rec, type, energy, {_turned('x', 'y', '(z - 1e3)', 'xyz', (5, -3, 2))}, {_turned('u', 'v', 'w', 'uvw', (0, 0, 0))} FROM (SELECT *, sqrt(greatest(1 - u * u - v * v, 0e0)) * wsign AS w FROM {_SHARED}) WHERE abs(w) >= 1e-10 AND x * 1e3 / 271.7e0 BETWEEN -400 AND 400 AND y * 1e3 / 271.7e0 BETWEEN -300 AND 300)"
+
+
+def _source(t):
+    rows = ps.balanced(t.particles().withColumn("at", F.floor(F.col("rec") / 3)), 3000).drop("at")
+    return ps.beam_source(ps.with_w(rows), (800.0, 600.0), 27.17, 30.0, 15.0, 10.0, 1000.0, (5.0, -3.0, 2.0))
+
+
+@query("ak21_source_metrics", _metrics_sql(_SOURCE).replace(", 6)", ", 4)"), digits=4)
+def _(t):
+    """AK-21 whole: quotas of the files, jaws, patient axes, metrics."""
+    return ps.metrics(_source(t))
+
+
+@query("ak21_source_sample", "SELECT rec, type, " + ", ".join(f"round({c}, 4) AS {c}" for c in "xyzuvw") + f" FROM {_SOURCE} ORDER BY md5('42:' || rec::VARCHAR), rec LIMIT 200", digits=4)
+def _(t):
+    return ps.random_sample(_source(t), 200).select("rec", "type", *"xyzuvw")
+
+
 # Voxel values
 
 

@@ -111,6 +111,22 @@ def to_patient(particles: DataFrame, gantry: float, couch: float, collimator: fl
     return particles.select("rec", *[(r[i][0] * x + r[i][1] * y + r[i][2] * z + iso[i]).alias(f"p{n}") for i, n in enumerate("xyz")])
 
 
+def beam_source(records: DataFrame, field: tuple[float, float], plane_cm: float, gantry: float, couch: float, collimator: float, sad: float, iso: tuple[float, float, float]) -> DataFrame:
+    """AK-21: records (of all files, their quotas taken) that pass the jaws of a centred field, x, y and z and the directions u, v and w in patient axes. ``metrics`` and ``random_sample`` take the result."""
+    half_x, half_y = field[0] / 2, field[1] / 2
+    rows = within_jaws(records, -half_x, half_x, -half_y, half_y, sad, plane_cm)
+    turned = math.radians(collimator) if abs(collimator) > 0.01 else 0.0
+    c, s = math.cos(turned), math.sin(turned)
+    r = rotation(gantry, couch)
+
+    def placed(x: str, y: str, z: str, along: float, offset: tuple[float, float, float]) -> list:
+        beam = (F.col(x) * c - F.col(y) * s, F.col(z) - along, F.col(x) * s + F.col(y) * c)
+        return [sum((r[i][k] * beam[k] for k in range(3)), F.lit(offset[i])) for i in range(3)]
+
+    moved = dict(zip("xyz", placed("x", "y", "z", sad, iso), strict=True)) | dict(zip("uvw", placed("u", "v", "w", 0.0, (0.0, 0.0, 0.0)), strict=True))
+    return rows.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in rows.columns])
+
+
 def in_all_beams(particles: DataFrame, plan: DataFrame, sad: float, iso: tuple[float, float, float]) -> DataFrame:
     """AK-22, SF-29: the particles in patient axes of every beam (beam, gantry, couch, collimator): read once, turned per beam. A plan's beams are broadcast."""
     rows = particles.crossJoin(F.broadcast(plan.select("beam", "gantry", "couch", "collimator")))

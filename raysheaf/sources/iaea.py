@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import warnings
 from collections.abc import Iterator
@@ -9,7 +10,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 #: The optional floats of a record, in the order of the header's flags: with the energy's own flag first and the sign of w on the energy, or as the format's publication has it, energy always stored and the sign of w on the type.
 LAYOUTS = {"energy_first": ("energy", "x", "y", "z", "u", "v", "weight"), "standard": ("x", "y", "z", "u", "v", "w", "weight")}
@@ -91,7 +93,7 @@ def parse_header(text: str, layout: str = "energy_first") -> Header:
     return header
 
 
-def decode(data: bytes, header: Header, first: int) -> pa.RecordBatch:
+def decode(data: bytes, header: Header, first: int, stride: int = 1, file: int = 0) -> pa.RecordBatch:
     """IO-23: centimetres to millimetres; w has the sign of the energy (or of the type, by layout), which is then dropped; unknown types are photons; an energy that is not stored is the type's mean."""
     raw = np.frombuffer(data, header.dtype())
     n = len(raw)
@@ -105,47 +107,153 @@ def decode(data: bytes, header: Header, first: int) -> pa.RecordBatch:
     u, v = column("u"), column("v")
     w = np.sqrt(np.maximum(0.0, 1 - u * u - v * v)) * np.where(down, -1.0, 1.0)
     weight = column("weight") if header.flags[6] else np.full(n, header.constants.get("weight", 1.0) or 1.0)
-    arrays = [np.arange(first, first + n), np.select([kind == 2, kind == 3], [-1, 2], 1).astype(np.int32), column("x") * 10, column("y") * 10, column("z") * 10, u, v, w, np.abs(energy), weight]
-    return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["rec", "type", "x", "y", "z", "u", "v", "w", "energy", "weight"])
+    arrays = [first + stride * np.arange(n), np.select([kind == 2, kind == 3], [-1, 2], 1).astype(np.int32), column("x") * 10, column("y") * 10, column("z") * 10, u, v, w, np.abs(energy), weight, np.full(n, file, np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["rec", "type", "x", "y", "z", "u", "v", "w", "energy", "weight", "file"])
+
+
+#: Strides of fewer bytes than this are read through; over longer ones each record is read alone.
+GAP = 4096
 
 
 class _Range(InputPartition):
-    def __init__(self, first: int, count: int) -> None:
-        self.first, self.count = first, count
+    """The records ``first``, ``first + stride`` and so on, below ``end``, of one file."""
+
+    def __init__(self, file: int, first: int, end: int, stride: int) -> None:
+        self.file, self.first, self.end, self.stride = file, first, end, stride
+
+
+def chosen(total: int, share: int | None) -> tuple[int, int]:
+    """IO-25, IO-27: (end, stride) of a file of ``total`` records that gives ``share``: all of them without a share, strided records if it is under half of them, else the head."""
+    if share is None:
+        return total, 1
+    if 2 * share < total:
+        stride = max(1, total // max(share, 1))
+        return min(total, stride * share), stride
+    return min(total, share), 1
+
+
+def shares(total: int, files: int) -> list[int]:
+    """IO-27: equal parts, the remainder to the first files."""
+    return [total // files + (i < total % files) for i in range(files)]
+
+
+def _opened(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        from pyarrow import fs
-
-        self.system, path = fs.FileSystem.from_uri(options["path"]) if "://" in options["path"] else (fs.LocalFileSystem(), options["path"])
-        self.path, self.rows = path, int(options.get("rows_per_partition", 1_000_000))
-        with self.system.open_input_stream(str(path) + ".IAEAheader") as f:
-            self.header = parse_header(f.read().decode("latin-1"), options.get("layout", "energy_first"))
-        self.total = self.system.get_file_info(str(path) + ".IAEAphsp").size // self.header.record_length()
+        self.bases = json.loads(options["files"]) if "files" in options else [options["path"]]
+        self.rows, self.gap = int(options.get("rows_per_partition", 1_000_000)), int(options.get("gap", GAP))
+        self.quota = int(options["particles"]) if "particles" in options else None
+        self.headers, self.totals = [], []
+        for base in self.bases:
+            system, path = _opened(base)
+            with system.open_input_stream(path + ".IAEAheader") as f:
+                self.headers.append(parse_header(f.read().decode("latin-1"), options.get("layout", "energy_first")))
+            self.totals.append(system.get_file_info(path + ".IAEAphsp").size // self.headers[-1].record_length())
+        self.files, self.low, self.high = set(range(len(self.bases))), 0, None
 
     def partitions(self) -> list[InputPartition]:
-        return [_Range(i, min(self.rows, self.total - i)) for i in range(0, self.total, self.rows)]
+        """Records are chosen here, so that a task reads its own only."""
+        quota = [None] * len(self.bases) if self.quota is None else shares(self.quota, len(self.bases))
+        found: list[InputPartition] = []
+        for file in sorted(self.files):
+            end, stride = chosen(self.totals[file], quota[file])
+            first = -(-max(self.low, 0) // stride) * stride
+            end = end if self.high is None else min(end, self.high + 1)
+            step = self.rows * stride
+            found += [_Range(file, i, min(i + step, end), stride) for i in range(first, end, step)]
+        return found
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        """IO-24: one byte range, in pieces."""
-        size = self.header.record_length()
-        with self.system.open_input_file(str(self.path) + ".IAEAphsp") as f:
-            for first in range(partition.first, partition.first + partition.count, 100_000):
-                n = min(100_000, partition.first + partition.count - first)
-                f.seek(first * size)
-                yield decode(f.read(n * size), self.header, first)
+    def read(self, partition: _Range | None) -> Iterator[pa.RecordBatch]:
+        """IO-24: one range of records, in pieces; Spark asks for None where there are no partitions."""
+        if partition is None:
+            return
+        header, stride = self.headers[partition.file], partition.stride
+        size = header.record_length()
+        system, path = _opened(self.bases[partition.file])
+        alone = stride > 1 and stride * size >= self.gap
+        piece = 10_000 * stride if alone else max(1, 100_000 // stride) * stride
+        with system.open_input_file(path + ".IAEAphsp") as f:
+            for first in range(partition.first, partition.end, piece):
+                end = min(first + piece, partition.end)
+                if alone:
+                    data = b"".join(self._at(f, i * size, size) for i in range(first, end, stride))
+                else:
+                    data = self._at(f, first * size, (end - first) * size)
+                    if stride > 1:
+                        data = np.frombuffer(data, np.uint8).reshape(-1, size)[::stride].tobytes()
+                yield decode(data, header, first, stride, partition.file)
+
+    @staticmethod
+    def _at(f, at: int, size: int) -> bytes:
+        f.seek(at)
+        return f.read(size)
+
+
+class _FilteredReader(_Reader):
+    """Takes over what a filter says of ``rec`` and ``file``; Spark applies the others."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            if not self._taken(f):
+                yield f
+
+    def _taken(self, f: Filter) -> bool:
+        name, value = getattr(f, "attribute", ()), getattr(f, "value", None)
+        if name == ("file",) and isinstance(f, EqualTo | In):
+            self.files &= set(value) if isinstance(f, In) else {value}
+        elif name in (("rec",), ("file",)) and isinstance(f, IsNotNull):
+            pass  # they never are
+        elif name == ("rec",) and isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual):
+            if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
+                self.low = max(self.low, value + isinstance(f, GreaterThan))
+            if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
+                high = value - isinstance(f, LessThan)
+                self.high = high if self.high is None else min(self.high, high)
+        else:
+            return False
+        return True
 
 
 class PhaseSpaceSource(DataSource):
-    """``spark.dataSource.register(PhaseSpaceSource)``, then ``spark.read.format("phase_space").load(base)``: a base path without extension that all executors reach. Options: layout, rows_per_partition."""
+    """``spark.dataSource.register(PhaseSpaceSource)``, then ``spark.read.format("phase_space").load(base)``: a base path without extension that all executors reach; or ``phase_space``.
+
+    Options: ``files``, a JSON list of base paths instead; ``particles``, how many all files give together (IO-27);
+    ``layout``; ``rows_per_partition``; ``gap`` in bytes (``GAP``); ``push``, to take filters on rec and file.
+    rec numbers a file's records from 0; an empty file gives no rows.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "phase_space"
 
     def schema(self) -> str:
-        return "rec long, type int, x double, y double, z double, u double, v double, w double, energy double, weight double"
+        return "rec long, type int, x double, y double, z double, u double, v double, w double, energy double, weight double, file int"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+        return (_FilteredReader if self.options.get("push", "").lower() == "true" else _Reader)(self.options)
+
+
+def phase_space(spark: SparkSession, bases: list[str], particles: int | None = None, layout: str = "energy_first", **options) -> DataFrame:
+    """IO-24 to IO-27: records of files of one kind; with ``particles``, so many in equal parts. Filters on rec and file choose what is read where spark.sql.python.filterPushdown.enabled is set."""
+    if not bases:
+        raise ValueError("no phase-space files")
+    spark.dataSource.register(PhaseSpaceSource)
+    options |= {"files": json.dumps(list(bases)), "layout": layout, "push": spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")}
+    if particles is not None:
+        options["particles"] = particles
+    return spark.read.format("phase_space").options(**options).load()
+
+
+def scoring_plane(base: str, layout: str = "energy_first") -> float:
+    """The middle of the header's range of z, in cm."""
+    system, path = _opened(base)
+    with system.open_input_stream(path + ".IAEAheader") as f:
+        ranges = parse_header(f.read().decode("latin-1"), layout).ranges
+    if len(ranges) < 3:
+        raise ValueError(f"no range of z in the header of {base}")
+    return sum(ranges[2]) / 2

@@ -42,6 +42,88 @@ def test_phase_space_round_trip(spark, tmp_path):
     assert [r.base.rsplit("/", 1)[1] for r in so.phase_space_files(spark, str(tmp_path)).collect()] == ["beam"]
 
 
+@pytest.fixture
+def beam_files(tmp_path):
+    """Three files of 1000, 10 and 0 records; x in cm is the record's number."""
+    bases = []
+    for file, n in enumerate((1000, 10, 0)):
+        base = tmp_path / f"b{file}"
+        base.with_suffix(".IAEAheader").write_text(HEADER + "$STATISTICAL_INFORMATION_GEOMETRY:\n-5 5\n-4 4\n26 28\n")
+        base.with_suffix(".IAEAphsp").write_bytes(b"".join(struct.pack("<b6f", 1, 1.0, i, file, 27.0, 0.0, 0.0) for i in range(n)))
+        bases.append(str(base))
+    return bases
+
+
+def records(df):
+    return sorted((r.file, r.rec) for r in df.collect() if r.x == 10.0 * r.rec and r.y == 10.0 * r.file)
+
+
+@pytest.mark.parametrize("gap", (0, 4096))
+def test_phase_space_quotas(spark, beam_files, gap):
+    """A strided file, a head, an empty file; the same through single reads and through read-over strides."""
+    assert records(iaea.phase_space(spark, beam_files)) == [(0, i) for i in range(1000)] + [(1, i) for i in range(10)]
+    got = records(iaea.phase_space(spark, beam_files, particles=20, gap=gap, rows_per_partition=3))
+    assert got == [(0, 142 * i) for i in range(7)] + [(1, i) for i in range(7)]
+    assert records(iaea.phase_space(spark, beam_files, particles=2, gap=gap)) == [(0, 0), (1, 0)]
+    assert records(iaea.phase_space(spark, beam_files, particles=0)) == []
+    with pytest.raises(ValueError):
+        iaea.phase_space(spark, [])
+    assert iaea.scoring_plane(beam_files[0]) == 27.0
+
+
+def test_phase_space_reads_what_is_asked(beam_files, monkeypatch):
+    """Bytes read follow the sample and the filters."""
+    from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, IsNotNull, LessThan, LessThanOrEqual
+
+    read = []
+    at = iaea._Reader._at
+    monkeypatch.setattr(iaea._Reader, "_at", staticmethod(lambda f, place, size: read.append(size) or at(f, place, size)))
+
+    def got(filters=(), **options):
+        read.clear()
+        reader = iaea._FilteredReader({"files": json.dumps(beam_files), **options})
+        left = list(reader.pushFilters(list(filters)))
+        rows = [(r["file"], r["rec"]) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+        return rows, sum(read) // 25, left
+
+    rows, n, _ = got(particles="20", gap="0")
+    assert len(rows) == n == 14
+    assert got()[1] == 1010
+    rows, n, left = got([IsNotNull(("rec",)), EqualTo(("file",), 0), GreaterThan(("rec",), 99), LessThanOrEqual(("rec",), 104), GreaterThan(("x",), 0.0)])
+    assert rows == [(0, i) for i in range(100, 105)] and n == 5 and left == [GreaterThan(("x",), 0.0)]
+    rows, n, left = got([In(("file",), (1, 2, 7)), GreaterThanOrEqual(("rec",), 4), LessThan(("rec",), 6)])
+    assert rows == [(1, 4), (1, 5)] and n == 2 and not left
+    rows, n, _ = got([GreaterThanOrEqual(("rec",), 143), LessThan(("rec",), 500), EqualTo(("file",), 0)], particles="20", gap="0")
+    assert rows == [(0, 284), (0, 426)] and n == 2
+    assert got([EqualTo(("rec",), -1)])[:2] == ([], 0)
+
+
+def test_phase_space_filters_are_pushed(spark, beam_files):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = iaea.phase_space(spark, beam_files).where("file = 0 and rec between 10 and 12 and x > 105")
+        assert records(df) == [(0, 11), (0, 12)]
+        assert "PushedFilters: []" not in df._jdf.queryExecution().toString()
+        assert df.rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_beam_source(spark, beam_files):
+    """AK-21: records 0 to 13 lie within a field whose half width at the isocentre is 500 mm."""
+    from raysheaf.operators import particles as ps
+
+    rows = iaea.phase_space(spark, beam_files)
+    got = ps.beam_source(rows, (1000.0, 1000.0), iaea.scoring_plane(beam_files[0]), 0.0, 0.0, 0.0, 1000.0, (1.0, 2.0, 3.0))
+    assert records_of(got) == [(0, i) for i in range(14)] + [(1, i) for i in range(10)]
+    first = got.where("file = 0 and rec = 1").first()
+    assert (first.x, first.y, first.z) == pytest.approx((11.0, 270.0 - 1000.0 + 2.0, 3.0)) and (first.u, first.v, first.w) == pytest.approx((0.0, 1.0, 0.0))
+
+
+def records_of(df):
+    return sorted((r.file, r.rec) for r in df.select("file", "rec").collect())
+
+
 def test_matrix_round_trip(spark, tmp_path):
     d = spark.createDataFrame([(1, 2, 0.5), (3, 4, 0.25)], "voxel long, bixel long, value double")
     so.save_matrix(d, str(tmp_path / "m"), 2)
