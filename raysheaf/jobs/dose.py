@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
+from ..functions.lineage import cut, shared_folder
 from ..operators import analysis as an
 from ..operators import sparse as sp
+from ..sources import influence as inf
 from .registry import query
 from .tables import DOSES, ENTRIES, GRADIENT, WEIGHTS, Tables
 
@@ -52,6 +56,30 @@ def _(t):
     return sp.forward(sp.combined(t.entries()), t.weights(), t.read("part").select(F.col("p_partkey").alias("voxel")))
 
 
+def _binary(t: Tables) -> DataFrame:
+    """The matrix written to a binary file of its own and read back."""
+    dij, folder = cut(sp.combined(t.entries())), shared_folder(t.spark)
+    if not folder.startswith(("file:", "/")):
+        raise ValueError("binary matrices need a mounted folder; spark.checkpoint.dir names another file system")
+    ends = dij.agg(F.coalesce(F.max("voxel") + 1, F.lit(0)), F.coalesce(F.max("bixel") + 1, F.lit(0))).first()
+    path = f"{folder.removeprefix('file:')}/matrix-{uuid.uuid4().hex}.dij"
+    inf.save_binary(dij, path, *ends)
+    return inf.load_binary(t.spark, path)
+
+
+@query("io28_binary_matrix", f"SELECT voxel, bixel, round(value, 6) AS value FROM {DIJ}")
+def _(t):
+    """IO-28, IO-29: through a binary file."""
+    return _binary(t)
+
+
+@query("io29_binary_dose", f"SELECT voxel, round(dose, 6) AS dose FROM {FORWARD} WHERE voxel >= 50")
+def _(t):
+    """IO-29: dose of the voxels from 50 on, whose rows alone are read where filters are pushed down."""
+    voxels = t.read("part").select(F.col("p_partkey").alias("voxel")).where("voxel >= 50")
+    return sp.forward(_binary(t).where("voxel >= 50"), t.weights(), voxels)
+
+
 @query("jn02_transpose", f"SELECT bixel, round(sum(value * g), 6) AS grad FROM {DIJ} JOIN {GRADIENT} USING (voxel) WHERE g <> 0 GROUP BY bixel")
 def _(t):
     return sp.transposed(sp.combined(t.entries()), t.gradient())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
+from ..functions.lineage import cut
 from ..operators import bricks as bk
 from ..operators import grids as gr
 from ..operators import morphology as mo
@@ -13,6 +14,7 @@ from ..operators import raytrace as rt
 from ..operators import sequencing as sq
 from ..operators import sparse as sp
 from ..operators import steering as st
+from ..operators import surface as su
 from .registry import query
 from .tables import POINTS, Tables
 
@@ -469,6 +471,38 @@ def _(t):
     return mo.blurred(volume, (10, 10, 4))
 
 
+_SAMPLES = "(SELECT o_orderstatus AS structure, o_custkey % 60 AS i, o_orderkey % 50 AS j, (o_orderkey // 50) % 40 AS k, max(o_totalprice)::DOUBLE / 4e5 AS value FROM orders GROUP BY ALL)"
+#: Vertices by themselves: the lattice edges of which one end exceeds the level.
+_VERTICES = f"""(
+WITH f AS {_SAMPLES}, a AS (SELECT unnest([0, 1, 2]) AS axis),
+e AS (SELECT DISTINCT structure, i - d * (axis = 0)::INT AS i, j - d * (axis = 1)::INT AS j, k - d * (axis = 2)::INT AS k, axis FROM f, a, (SELECT unnest([0, 1]) AS d)),
+v AS (SELECT e.*, coalesce(p.value, 0e0) AS low, coalesce(q.value, 0e0) AS high FROM e LEFT JOIN f p USING (structure, i, j, k)
+  LEFT JOIN f q ON q.structure = e.structure AND q.i = e.i + (axis = 0)::INT AND q.j = e.j + (axis = 1)::INT AND q.k = e.k + (axis = 2)::INT)
+SELECT *, (5e-1 - low) / (high - low) AS part FROM v WHERE (low > 5e-1) <> (high > 5e-1))"""
+
+
+def _surface(t: Tables) -> DataFrame:
+    key = F.col("o_orderkey")
+    samples = t.read("orders").groupBy(F.col("o_orderstatus").alias("structure"), (F.col("o_custkey") % 60).alias("i"), (key % 50).alias("j"), (F.floor(key / 50) % 40).alias("k")).agg((F.max("o_totalprice").cast("double") / 4e5).alias("value"))
+    return su.placed(su.triangles(samples, 0.5, ("structure",)), 0.5, CT.spacing, CT.origin, ("structure",))
+
+
+@query("ak36_surface_vertices", f"SELECT structure, i, j, k, axis, round((i + CASE WHEN axis = 0 THEN part ELSE 0 END) * 1e0 - 20, 6) AS x, round((j + CASE WHEN axis = 1 THEN part ELSE 0 END) * 15e-1 + 5, 6) AS y, round((k + CASE WHEN axis = 2 THEN part ELSE 0 END) * 2e0, 6) AS z FROM {_VERTICES}")
+def _(t):
+    """AK-36, ST-09: the vertices that the surfaces' triangles share, each once."""
+    return su.vertices(_surface(t), ("structure",)).drop("nx", "ny", "nz")
+
+
+@query("st09_closed_surfaces", f"SELECT structure, count(*) AS vertices, 0::BIGINT AS uneven, true AS outward FROM {_VERTICES} GROUP BY structure")
+def _(t):
+    """ST-09: vertices of each surface, edges along which triangles do not run both ways alike, and whether it encloses a volume with its normals outward."""
+    found = cut(_surface(t))
+    key = ("structure",)
+    uneven = su.edges(found, key).groupBy(*key).agg(F.count_if(F.col("forward") != F.col("backward")).alias("uneven"))
+    counts = su.vertices(found, key).groupBy(*key).agg(F.count(F.lit(1)).alias("vertices"))
+    return counts.join(uneven, *key).join(su.measures(found, key), *key).select(*key, "vertices", "uneven", (F.col("volume") > 0).alias("outward"))
+
+
 @query("st01_union_voxels", f"SELECT i, j, k FROM {VOXELS} UNION SELECT p_partkey % 60, p_size % 50, p_partkey % 40 FROM part")
 def _(t):
     """ST-01 to ST-06: voxels of all structures, each once."""
