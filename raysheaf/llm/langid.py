@@ -320,4 +320,4 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learn = F.coalesce(F.pmod(crc32_of_id(F.col("doc_id")), F.lit(4)), F.lit(2)) != 2
     model = fit(sample_of(docs.select("doc_id", "text", "lang"), learn))
-    return label(docs, model).select("doc_id", (F.pmod(crc32_of_id(F.col("doc_id")), F.lit(4)) == 2).alias("held_out"), "lang_pred", "score")
+    return label(docs, model).select("doc_id", F.coalesce(F.pmod(crc32_of_id(F.col("doc_id")), F.lit(4)) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
