@@ -13,9 +13,12 @@ has its greatest weight. Query terms times these maxima bound a block's cosines
 the blocks of the highest bounds are scored first, and the others only if their bound
 reaches the worst neighbour found so far. The nearest examples are exact.
 
-Neighbours vote by similarity and by how many labelled rows an example stands for; votes
-become probabilities by isotonic regression over the examples themselves, each without
-itself. The neighbours are the evidence.
+Neighbours vote by similarity and by how many labelled rows an example stands for. Votes
+become probabilities by isotonic regression over the examples: these are dealt to
+``FOLDS`` folds, equal ones to the same, and an example's vote is taken from the others'
+folds with weights that these alone decide, so that neither its own vote nor its own part
+in the weights tells its label. Between the regression's levels scores are interpolated.
+The neighbours are the evidence.
 
 Learning takes a bounded sample, at most ``PER_LABEL`` examples of each label, the first
 in order of a hash of the id. Index and vocabulary are thereby bounded, and nothing else is
@@ -47,6 +50,7 @@ from .common import crc32_of_id, shipped, table, unshipped, written
 PER_LABEL = 1000
 NEAREST = 15
 BLOCK = 32
+FOLDS = 5
 WORDS = re.compile(r"[^\W_]+")
 #: Terms of at least this share of the entries decide which entries are put into a block together.
 SHARED = 0.02
@@ -100,8 +104,6 @@ class Index:
                 entries.setdefault(k, []).append(i)
         order = sorted(entries, key=lambda k: (min(ids[i] for i in entries[k]), k))
         order = [order[i] for i in arranged([pairs[entries[k][0]] for k in order], terms, block)]
-        place = {k: at for at, k in enumerate(order)}
-        self.places = [place.get(k) for k in keys]  # of the examples
         self.examples = [sorted((ids[i], labels[i]) for i in entries[k])[:NEAREST] for k in order]
         self.least = np.array([min(ids[i] for i in entries[k]) for k in order], np.int64)
         self.number = np.array([len(entries[k]) for k in order], np.int64)
@@ -121,8 +123,8 @@ class Index:
         self.piece_most = np.maximum.reduceat(self.weights, cuts) if len(cuts) else np.zeros(0)
         self.term_at = np.searchsorted(term[cuts], np.arange(terms + 1))
 
-    def nearest(self, query, k: int = NEAREST, without: int | None = None) -> list[tuple[int, float]]:
-        """(place, cosine) of the nearest entries with a cosine over 0, as many as it takes for k examples, by cosine, then least id. The entry ``without`` has one example less."""
+    def nearest(self, query, k: int = NEAREST) -> list[tuple[int, float]]:
+        """(place, cosine) of the nearest entries with a cosine over 0, as many as it takes for k examples, by cosine, then least id."""
         terms, weights = _arrays(query)
         starts, ends = self.term_at[terms], self.term_at[terms + 1]
         pieces = spread(starts, ends)
@@ -133,14 +135,14 @@ class Index:
         scores = np.zeros(len(self.number))
         todo = np.argsort(-bounds, kind="stable")
         todo = todo[bounds[todo] > 0]
-        first, rest = todo[: max(1, -(-(k + 1) // self.block))], todo[max(1, -(-(k + 1) // self.block)) :]
+        first, rest = todo[: max(1, -(-k // self.block))], todo[max(1, -(-k // self.block)) :]
         self._score(first, pieces, at, of, scores)
         if len(rest):
-            worst = np.partition(scores, len(scores) - min(k + 1, len(scores)))[len(scores) - min(k + 1, len(scores))]
+            worst = np.partition(scores, len(scores) - min(k, len(scores)))[len(scores) - min(k, len(scores))]
             rest = rest[bounds[rest] >= worst - 1e-9]
             if len(rest):
                 self._score(rest, pieces, at, of, scores)
-        return self._first(scores, k, without)
+        return self._first(scores, k)
 
     def _score(self, blocks: np.ndarray, pieces: np.ndarray, at: np.ndarray, of: np.ndarray, scores: np.ndarray) -> None:
         """Adds the cosines of the entries in ``blocks``."""
@@ -152,29 +154,22 @@ class Index:
         where = spread(starts, ends)
         scores += np.bincount(self.posted[where], np.repeat(of[chosen], ends - starts) * self.weights[where], len(scores))
 
-    def _first(self, cosines: np.ndarray, k: int, without: int | None) -> list[tuple[int, float]]:
-        n = min(k + 1, len(cosines))
+    def _first(self, cosines: np.ndarray, k: int) -> list[tuple[int, float]]:
+        n = min(k, len(cosines))
         worst = np.partition(cosines, len(cosines) - n)[len(cosines) - n]
         at = np.flatnonzero(cosines >= max(worst - 1e-11, 1e-12))
         scores = np.round(cosines[at], 12)
         found, have = [], 0
         for j in np.lexsort((self.least[at], -scores)):
-            place, own = int(at[j]), int(self.number[at[j]]) - (at[j] == without)
             if have >= k:
                 break
-            have += own
-            if own:
-                found.append((place, float(scores[j])))
+            have += int(self.number[at[j]])
+            found.append((int(at[j]), float(scores[j])))
         return found
 
-    def vote(self, neighbours: list[tuple[int, float]], without: tuple[int, int, float] | None = None) -> float:
-        """Share of label 1 in similarity times weight; ``without`` (place, label, weight) leaves an example out."""
-        sums = np.zeros(2)
-        for place, s in neighbours:
-            sums += s * self.weight[place]
-            if without and place == without[0]:
-                sums[without[1]] -= s * without[2]
-        sums = np.maximum(sums, 0)
+    def vote(self, neighbours: list[tuple[int, float]]) -> float:
+        """Share of label 1 in similarity times weight."""
+        sums = sum((s * self.weight[place] for place, s in neighbours), np.zeros(2))
         return round(float(sums[1] / sums.sum()), 9) if sums.sum() > 0 else 0.0
 
     def evidence(self, neighbours: list[tuple[int, float]], k: int = NEAREST) -> list[dict]:
@@ -193,28 +188,29 @@ def _key(vector: tuple[np.ndarray, np.ndarray]) -> bytes:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Non-decreasing means of y over x by pooling adjacent violators: (largest x of each pool, mean)."""
+    """Non-decreasing means of y over x by pooling adjacent violators: (mean x of each pool, mean y)."""
     pools: list[list[float]] = []
     for i in np.argsort(x, kind="stable"):
         if pools and pools[-1][0] == x[i]:
             pools[-1][1] += w[i] * y[i]
             pools[-1][2] += w[i]
         else:
-            pools.append([x[i], w[i] * y[i], w[i]])
+            pools.append([x[i], w[i] * y[i], w[i], 0.0])
+        pools[-1][3] += w[i] * x[i]
     merged: list[list[float]] = []
     for p in pools:
         merged.append(p)
         while len(merged) > 1 and merged[-2][1] * merged[-1][2] >= merged[-1][1] * merged[-2][2]:
             top = merged.pop()
-            merged[-1] = [top[0], merged[-1][1] + top[1], merged[-1][2] + top[2]]
-    return np.array([p[0] for p in merged]), np.array([p[1] / p[2] for p in merged])
+            merged[-1] = [top[0], *(a + b for a, b in zip(merged[-1][1:], top[1:], strict=True))]
+    return np.array([p[3] / p[2] for p in merged]), np.array([p[1] / p[2] for p in merged])
 
 
 class Scorer:
     """Index, calibration and the score of texts without neighbours."""
 
-    def __init__(self, index: Index | None, prior: float, edges: np.ndarray, means: np.ndarray, none: float) -> None:
-        self.index, self.prior, self.edges, self.means, self.none = index, prior, edges, means, none
+    def __init__(self, index: Index | None, prior: float, votes: np.ndarray, means: np.ndarray, none: float) -> None:
+        self.index, self.prior, self.votes, self.means, self.none = index, prior, votes, means, none
 
     def score(self, query: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[tuple[int, float]]]:
         """(score, nearest entries)."""
@@ -223,7 +219,7 @@ class Scorer:
         near = self.index.nearest(query)
         if not near:
             return self.none, []
-        return float(self.means[min(int(np.searchsorted(self.edges, self.index.vote(near))), len(self.means) - 1)]), near
+        return round(float(np.interp(self.index.vote(near), self.votes, self.means)), 9), near
 
 
 def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
@@ -236,28 +232,58 @@ def unit_arrays(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> tu
     return terms, weights / np.sqrt((weights * weights).sum()) if len(terms) else weights
 
 
-def fit(examples: list[tuple[int, int, np.ndarray, np.ndarray]], totals: dict[int, int], weight: np.ndarray) -> Scorer:
-    """From (id, label, terms, counts), the number of labelled rows of each label and the terms' weights."""
+def association(examples: list[tuple[int, int, np.ndarray, np.ndarray]], terms: int) -> np.ndarray:
+    """How strongly each term goes with the label: the likelihood-ratio statistic of having the term; 0 unless there are both labels."""
+    n = Counter(e[1] for e in examples)
+    seen = [np.bincount(np.concatenate([np.zeros(0, np.int32), *(t for _, label, t, _ in examples if label == k)]), minlength=terms).astype(float) for k in (0, 1)]
+    if len(n) < 2:
+        return np.zeros(terms)
+    total, both = float(n[0] + n[1]), seen[0] + seen[1]
+    found = np.zeros(terms)
+    for k in (0, 1):
+        for cell, whole in ((seen[k], both), (n[k] - seen[k], total - both)):
+            some = cell > 0
+            found[some] += 2 * cell[some] * np.log(cell[some] * total / (whole[some] * n[k]))
+    return np.maximum(np.round(found, 6), 0.0)
+
+
+def fold_of(terms: np.ndarray, counts: np.ndarray) -> int:
+    """By a hash of the terms and counts: equal texts share a fold."""
+    return int.from_bytes(hashlib.sha256(terms.astype("<i4").tobytes() + counts.astype("<i4").tobytes()).digest()[:8]) % FOLDS
+
+
+def fit(examples: list[tuple[int, int, np.ndarray, np.ndarray]], totals: dict[int, int], idf: np.ndarray) -> tuple[Scorer, np.ndarray]:
+    """(scorer, terms' weights) from (id, label, terms, counts), the number of labelled rows of each label and the terms' inverse document frequencies."""
     sampled = Counter(e[1] for e in examples)
-    stands_for = [totals[e[1]] / sampled[e[1]] for e in examples]
+    stands_for = {label: totals[label] / n for label, n in sampled.items()}
     prior = totals.get(1, 0) / max(1, sum(totals.values()))
+
+    def indexed(of: list) -> tuple[Index, np.ndarray]:
+        weight = idf * np.sqrt(1 + association(of, len(idf)))
+        vectors = [unit_arrays(t, n, weight) for _, _, t, n in of]
+        return Index([e[0] for e in of], [e[1] for e in of], [stands_for[e[1]] for e in of], vectors, len(idf)), weight
+
     if len(sampled) < 2:
-        return Scorer(None, prior, np.zeros(0), np.zeros(0), prior)
-    vectors = [unit_arrays(t, n, weight) for _, _, t, n in examples]
-    index = Index([e[0] for e in examples], [e[1] for e in examples], stands_for, vectors, len(weight))
+        return Scorer(None, prior, np.zeros(0), np.zeros(0), prior), idf
+    folds = [fold_of(t, n) for _, _, t, n in examples]
     votes, labels, weights = [], [], []
     bare = [1.0, prior]  # of those without neighbours: one pseudo-example at the prior
-    for (_, label, _, _), own, w, vector in zip(examples, index.places, stands_for, vectors, strict=True):
-        near = index.nearest(vector, without=own)
-        if near:
-            votes.append(index.vote(near, (own, label, w)))
-            labels.append(label)
-            weights.append(w)
-        else:
-            bare[0] += w
-            bare[1] += w * label
-    edges, means = isotonic(np.array(votes), np.array(labels, float), np.array(weights)) if votes else (np.zeros(1), np.array([prior]))
-    return Scorer(index, prior, edges, np.clip(means, 0.001, 0.999), bare[1] / bare[0])
+    for fold in sorted(set(folds)):
+        index, weight = indexed([e for e, f in zip(examples, folds, strict=True) if f != fold])
+        for (_, label, terms, counts), f in zip(examples, folds, strict=True):
+            if f != fold:
+                continue
+            near = index.nearest(unit_arrays(terms, counts, weight))
+            if near:
+                votes.append(index.vote(near))
+                labels.append(label)
+                weights.append(stands_for[label])
+            else:
+                bare[0] += stands_for[label]
+                bare[1] += stands_for[label] * label
+    at, means = isotonic(np.array(votes), np.array(labels, float), np.array(weights)) if votes else (np.zeros(1), np.array([prior]))
+    index, weight = indexed(examples)
+    return Scorer(index, prior, at, np.clip(means, 0.001, 0.999), bare[1] / bare[0]), weight
 
 
 # Spark
@@ -273,41 +299,24 @@ def examples_of(docs: DataFrame, labels: DataFrame, learn: Column, per_label: in
     return rows.select("id", "label", "text"), totals
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, label, n): in how many texts of each label a term occurs, summed within the task as far as memory allows."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for label, of in enumerate(counts):
-            if of:
-                yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.string()), pa.array([label] * len(of), pa.int32()), pa.array(list(of.values()), pa.int64())], ["term", "label", "n"])
-            of.clear()
-
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Terms, each once in a task as far as memory allows."""
+    found: set[str] = set()
     for batch in batches:
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            counts[label].update(set(WORDS.findall(text.as_py().lower())))
-            if len(counts[0]) + len(counts[1]) > 1_000_000:
-                yield from flush()
-    yield from flush()
-
-
-def vocabulary_of(examples: DataFrame) -> tuple[pa.Array, np.ndarray]:
-    """All terms of the examples in order, and how strongly each is associated with the label: the likelihood-ratio statistic."""
-    n = {r.label: r.n for r in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    if not n0 or not n1:
-        return pa.array([], pa.string()), np.zeros(0)
-    counted = examples.select("label", "text").mapInArrow(_count_terms, "term string, label int, n long")
-    c = counted.groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
+        for text in batch.column(0):
+            found.update(WORDS.findall(text.as_py().lower()))
+            if len(found) > 1_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["term"])
+                found.clear()
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["term"])
 
-    def part(seen: Column, of: int, all_seen: Column) -> Column:
-        return F.when(seen > 0, seen * F.log(seen * F.lit(float(n0 + n1)) / (all_seen * float(of)))).otherwise(F.lit(0.0))
 
-    a, b, both = F.col("a"), F.col("b"), F.col("a") + F.col("b")
-    absent = F.lit(float(n0 + n1)) - both
-    g2 = 2 * (part(a, n1, both) + part(b, n0, both) + part(F.lit(n1) - a, n1, absent) + part(F.lit(n0) - b, n0, absent))
-    found = c.select("term", F.greatest(F.round(g2, 6), F.lit(0.0)).alias("g2")).toArrow().sort_by("term")
-    return found.column("term").combine_chunks(), found.column("g2").to_numpy()
+def vocabulary_of(examples: DataFrame) -> pa.Array:
+    """All terms of the examples in order; none unless there are examples of both labels."""
+    if examples.select("label").distinct().count() < 2:
+        return pa.array([], pa.string())
+    found = examples.select("text").mapInArrow(_terms, "term string").distinct().toArrow().sort_by("term")
+    return found.column("term").combine_chunks()
 
 
 class Reader:
@@ -370,12 +379,11 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text"
     named = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     examples, totals = examples_of(named, labels, learn, per_label)
     examples = written(examples, "examples")
-    vocabulary, g2 = vocabulary_of(examples)
+    vocabulary = vocabulary_of(examples)
     spark = docs.sparkSession
     sent_terms = shipped(spark, vocabulary)
-    seen, df = _document_frequencies(named, sent_terms, len(g2))
-    weight = (np.log((seen + 1) / (df + 1)) + 1) * np.sqrt(1 + g2)
-    scorer = fit(_read_examples(examples, sent_terms), totals, weight)
+    seen, df = _document_frequencies(named, sent_terms, len(vocabulary))
+    scorer, weight = fit(_read_examples(examples, sent_terms), totals, np.log((seen + 1) / (df + 1)) + 1)
     sent = shipped(spark, (scorer, weight))
     kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
 

@@ -469,37 +469,50 @@ def test_toxicity_by_brute_force(spark):
     got = {r.doc_id: r for r in toxicity.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(label.items()), "doc_id long, toxic int"), toxicity.F.lit(True)).collect()}
     bags = [collections.Counter(t.split()) for t in texts]
     vocabulary = {w for i in label for w in bags[i]}
-    n = [sum(x == k for x in label.values()) for k in (0, 1)]
+    places = {w: i for i, w in enumerate(sorted(vocabulary))}
 
-    def weight(w):
-        seen = [sum(w in bags[i] for i in label if label[i] == k) for k in (0, 1)]
+    def fold(i):
+        known = sorted((places[w], c) for w, c in bags[i].items())
+        return toxicity.fold_of(np.array([p for p, _ in known], np.int32), np.array([c for _, c in known], np.int32))
+
+    def weight(w, learned):
+        n = [sum(label[i] == k for i in learned) for k in (0, 1)]
+        seen = [sum(w in bags[i] for i in learned if label[i] == k) for k in (0, 1)]
         cells = [(seen[k] if there else n[k] - seen[k], n[k], sum(seen) if there else sum(n) - sum(seen)) for k in (0, 1) for there in (0, 1)]
         g2 = 2 * sum(o * math.log(o * sum(n) / (a * b)) for o, a, b in cells if o)
         df = sum(w in b for b in bags)
         return (math.log((len(texts) + 1) / (df + 1)) + 1) * math.sqrt(1 + max(0.0, round(g2, 6)))
 
-    weights = {w: weight(w) for w in vocabulary}
+    def model(learned):
+        weights = {w: weight(w, learned) for w in vocabulary}
+
+        def vector(i):
+            v = {w: (1 + math.log(c)) * weights[w] for w, c in bags[i].items() if w in vocabulary}
+            size = math.sqrt(sum(x * x for x in v.values()))
+            return {w: x / size for w, x in v.items()}
 
-    def vector(i):
-        v = {w: (1 + math.log(c)) * weights[w] for w, c in bags[i].items() if w in vocabulary}
-        size = math.sqrt(sum(x * x for x in v.values()))
-        return {w: x / size for w, x in v.items()}
+        vectors = [vector(i) for i in range(300)]
 
-    vectors = [vector(i) for i in range(300)]
+        def nearest(i):
+            sims = sorted(((-round(sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()), 12), j) for j in learned))
+            return [(j, -s) for s, j in sims if s < 0][: toxicity.NEAREST]
 
-    def nearest(i, without=None):
-        sims = sorted(((-round(sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()), 12), j) for j in label if j != without))
-        return [(j, -s) for s, j in sims if s < 0][: toxicity.NEAREST]
+        return nearest
 
     def vote(near):
         return round(sum(s for j, s in near if label[j]) / sum(s for _, s in near), 9)
 
-    learned = [(vote(near), label[i]) for i in label if (near := nearest(i, i))]
-    edges, means = toxicity.isotonic(np.array([v for v, _ in learned]), np.array([y for _, y in learned], float), np.ones(len(learned)))
+    folds = {i: fold(i) for i in label}
+    votes = []
+    for f in range(toxicity.FOLDS):
+        near = model([i for i in label if folds[i] != f])
+        votes += [(vote(n), label[i]) for i in label if folds[i] == f and (n := near(i))]
+    at, means = toxicity.isotonic(np.array([v for v, _ in votes]), np.array([y for _, y in votes], float), np.ones(len(votes)))
+    nearest = model(list(label))
     for i in range(300):
         near = nearest(i)
         if near:
-            assert got[i].score == pytest.approx(float(np.clip(means[min(int(np.searchsorted(edges, vote(near))), len(means) - 1)], 0.001, 0.999)), abs=1e-6)
+            assert got[i].score == pytest.approx(float(np.interp(vote(near), at, np.clip(means, 0.001, 0.999))), abs=1e-6)
             assert [e.similarity for e in got[i].evidence] == pytest.approx([s for _, s in near], abs=1e-9)
         else:
             assert not got[i].evidence
