@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
+from ..functions.lineage import shared_folder
 from ..operators import catalog as ca
+from ..operators import results as rs
 from ..operators import sequencing as sq
 from . import geometry as ge
 from .registry import query
@@ -127,3 +129,34 @@ def _(t):
 def _(t):
     x, y = F.col("s_acctbal"), F.col("s_nationkey")
     return t.read("supplier").agg(F.sum(x * y).alias("dot"), F.max(F.abs(x + 2 * y)).alias("axpy_norm"))
+
+
+@query("ak42_invalidated", """
+WITH RECURSIVE needs AS (SELECT DISTINCT 'plan ' || o_orderkey AS artefact, 'patient ' || o_custkey AS needs FROM orders
+  UNION SELECT DISTINCT 'matrix ' || l_partkey, 'plan ' || l_orderkey FROM lineitem
+  UNION SELECT DISTINCT 'dose ' || l_partkey || ' ' || l_suppkey, 'matrix ' || l_partkey FROM lineitem),
+found AS (SELECT 'patient ' || c_custkey AS artefact, 0 AS step FROM customer WHERE c_acctbal < -900
+  UNION SELECT n.artefact, step + 1 FROM found f JOIN needs n ON n.needs = f.artefact)
+SELECT artefact, min(step) AS step FROM found GROUP BY artefact""")
+def _(t):
+    """AK-42: plans, matrices and doses that the changed patients make invalid."""
+    orders, lines = t.read("orders"), t.read("lineitem")
+    named = lambda kind, *c: F.concat_ws(" ", F.lit(kind), *c)
+    needs = orders.select(named("plan", "o_orderkey").alias("artefact"), named("patient", "o_custkey").alias("needs"))
+    needs = needs.unionByName(lines.select(named("matrix", "l_partkey").alias("artefact"), named("plan", "l_orderkey").alias("needs")))
+    needs = needs.unionByName(lines.select(named("dose", "l_partkey", "l_suppkey").alias("artefact"), named("matrix", "l_partkey").alias("needs")))
+    return rs.affected(needs, t.read("customer").where("c_acctbal < -900").select(named("patient", "c_custkey").alias("artefact")))
+
+
+_RX = "CASE WHEN l_linestatus = 'O' THEN 50e0 END"
+
+
+@query("ak41_kept_statistics", f"""
+SELECT l_linestatus AS dose_id, {_RX} AS prescription, l_returnflag AS structure, count(*) AS n, round(min(l_extendedprice / 1e3), 6) AS min_dose, round(max(l_extendedprice / 1e3), 6) AS max_dose, round(avg(l_extendedprice / 1e3), 6) AS mean_dose,
+  round(quantile_cont(l_extendedprice / 1e3, 5e-1), 6) AS d50, round(CASE WHEN {_RX} IS NOT NULL THEN avg(CASE WHEN l_extendedprice / 1e3 >= {_RX} THEN 1e0 ELSE 0e0 END) END, 6) AS ci FROM lineitem GROUP BY l_linestatus, l_returnflag""")
+def _(t):
+    """AK-41: statistics of every dose, from the shared folder where they are there already."""
+    doses = t.read("lineitem").select(F.col("l_linestatus").alias("dose_id"), F.col("l_returnflag").alias("structure"), (F.col("l_extendedprice") / 1000).cast("double").alias("dose"))
+    wanted = t.spark.createDataFrame([("O", 50.0)], "dose_id string, prescription double")
+    found, _ = rs.kept_statistics(doses, wanted, shared_folder(t.spark))
+    return found.select("dose_id", "prescription", "structure", "n", "min_dose", "max_dose", "mean_dose", "d50", "ci")
