@@ -13,7 +13,8 @@ installation.
 Edge cases: a null text is empty and has no tokens, and the digests of the empty string;
 the strings of the special tokens in a text are those tokens, as in the library; texts are
 encoded whole, however long; characters that the pattern leaves out (white space) are
-dropped by the tokenizer itself; repeated rows repeat their results.
+dropped by the tokenizer itself; repeated rows repeat their results; pairs of equal rank
+merge from the left; an empty table gives an empty result; further columns have no effect.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ transfer matrices, so that a very long text costs no more per word than a short
 
 Edge cases: a null text, and one without a letter, is ``und`` with score 0; without any
 labelled text all are ``und``; with one language all others are that; ties go to the
-first language by name; repeated rows repeat their results.
+first language by name; repeated rows repeat their results; a null id is labelled, never
+learned from and not held out; an empty table gives an empty result; further columns have
+no effect.
 """
 
 from __future__ import annotations
