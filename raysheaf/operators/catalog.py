@@ -15,14 +15,14 @@ def slices(files: DataFrame) -> DataFrame:
     return files.where(F.col("z").isNotNull()).withColumn("k", F.row_number().over(order) - 1)
 
 
-def roi_names(items: DataFrame) -> DataFrame:
-    """IO-11: (roi, name), of repeated numbers the last by ordinal."""
-    return items.groupBy("roi").agg(F.max_by("name", "ordinal").alias("name"))
+def roi_names(items: DataFrame, *within: str) -> DataFrame:
+    """IO-11: (roi, name), of repeated numbers the last by ordinal; ``within`` names columns that tell structure sets apart."""
+    return items.groupBy(*within, "roi").agg(F.max_by("name", "ordinal").alias("name"))
 
 
-def named(contours: DataFrame, names: DataFrame) -> DataFrame:
+def named(contours: DataFrame, names: DataFrame, *within: str) -> DataFrame:
     """IO-10: contour items with the name of their number, or Unknown."""
-    return contours.join(names, "roi", "left").withColumn("name", F.coalesce("name", F.lit("Unknown")))
+    return contours.join(names, [*within, "roi"], "left").withColumn("name", F.coalesce("name", F.lit("Unknown")))
 
 
 def coloured(structures: DataFrame, palette: tuple = PALETTE) -> DataFrame:

@@ -4,32 +4,36 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 
 
-def rasterized(contours: DataFrame, x0: float, dx: float, nx: int, y0: float, dy: float, ny: int) -> DataFrame:
+def rasterized(contours: DataFrame, x0: float | Column, dx: float | Column, nx: int | Column, y0: float | Column, dy: float | Column, ny: int | Column) -> DataFrame:
     """AK-10, WN-12, WN-13, SF-31: voxels (struct_id, i, j, k) whose centre lies within a contour by the even-odd rule.
 
     Rows of (struct_id, contour_id, k, points), points being an array of (x, y). Edges,
     crossings and spans are arrays of the contour's own row: a contour is never shuffled,
     and contours of one structure are united at the end. Less than three points make none.
+    The grid may be given by columns of the contours, so that each has its own.
     """
-    rows = contours.where(F.size("points") >= 3)
+    grid = {"x0": x0, "dx": dx, "nx": nx, "y0": y0, "dy": dy, "ny": ny}
+    own = [name for name, v in grid.items() if isinstance(v, Column)]
+    rows = contours.where(F.size("points") >= 3).select("struct_id", "k", "points", *[grid[name].alias(name) for name in own])
+    x0, dx, nx, y0, dy, ny = (F.col(name) if name in own else v for name, v in grid.items())
     n = F.size("points")
     edges = F.transform("points", lambda p, i: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), F.element_at("points", (i + 1) % n + 1)["x"].alias("x2"), F.element_at("points", (i + 1) % n + 1)["y"].alias("y2")))
     low, high = F.array_min(F.transform("points", lambda p: p["y"])), F.array_max(F.transform("points", lambda p: p["y"]))
     first, last = F.greatest(F.ceil((low - y0) / dy), F.lit(0)).cast("int"), F.least(F.floor((high - y0) / dy), F.lit(ny - 1)).cast("int")
-    rows = rows.select("struct_id", "k", edges.alias("edges"), first.alias("first"), last.alias("last")).where("first <= last")
-    rows = rows.select("struct_id", "k", "edges", F.explode(F.sequence("first", "last")).alias("i"))
+    rows = rows.select("struct_id", "k", edges.alias("edges"), first.alias("first"), last.alias("last"), *own).where("first <= last")
+    rows = rows.select("struct_id", "k", "edges", F.explode(F.sequence("first", "last")).alias("i"), *own)
     y = y0 + F.col("i") * dy
     crossed = F.filter("edges", lambda e: ((e["y1"] <= y) & (y < e["y2"])) | ((e["y2"] <= y) & (y < e["y1"])))
     xs = F.array_sort(F.transform(crossed, lambda e: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
-    spans = rows.select("struct_id", "k", "i", xs.alias("xs")).where(F.size("xs") >= 2)
+    spans = rows.select("struct_id", "k", "i", xs.alias("xs"), *own).where(F.size("xs") >= 2)
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1), lambda p: F.struct(F.element_at("xs", 2 * p + 1).alias("a"), F.element_at("xs", 2 * p + 2).alias("b")))
-    spans = spans.select("struct_id", "k", "i", F.explode(pairs).alias("s"))
+    spans = spans.select("struct_id", "k", "i", F.explode(pairs).alias("s"), *own)
     a, b = F.greatest(F.ceil((F.col("s.a") - x0) / dx), F.lit(0)).cast("int"), F.least(F.floor((F.col("s.b") - x0) / dx), F.lit(nx - 1)).cast("int")
     return spans.select("struct_id", "i", a.alias("a"), b.alias("b"), "k").where("a <= b").select("struct_id", "i", F.explode(F.sequence("a", "b")).alias("j"), "k").distinct()
 
@@ -93,15 +97,18 @@ def _plane(pdf: pd.DataFrame, rows: int, cols: int) -> np.ndarray:
     return mask
 
 
+def body_mask(mask: np.ndarray) -> np.ndarray:
+    """AK-17 to AK-20 of one slice: cavities filled, the largest component alone; an empty slice stays empty."""
+    label = labels4(mask | ~(exterior(mask) | mask))
+    found, counts = np.unique(label[label >= 0], return_counts=True)
+    return label == found[np.argmax(counts)] if len(found) else mask
+
+
 def filled_body(cells: DataFrame, rows: int, cols: int) -> DataFrame:
     """AK-17 to AK-20: per slice k the mask cells (i, j) with cavities filled and only the largest component kept. A group is one slice of fixed size."""
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask = _plane(pdf, rows, cols)
-        mask = mask | ~(exterior(mask) | mask)
-        label = labels4(mask)
-        found, counts = np.unique(label[label >= 0], return_counts=True)
-        i, j = np.nonzero(label == found[np.argmax(counts)])
+        i, j = np.nonzero(body_mask(_plane(pdf, rows, cols)))
         return pd.DataFrame({"k": pdf["k"].iloc[0], "i": i, "j": j})
 
     return cells.groupBy("k").applyInPandas(fill, f"k {cells.schema['k'].dataType.simpleString()}, i int, j int")

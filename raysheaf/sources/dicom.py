@@ -39,14 +39,15 @@ Dataset = dict[int, "bytes | list[Dataset]"]
 class Parser:
     """Elements of one data set, by tag."""
 
-    def __init__(self, data: bytes, implicit: bool) -> None:
-        self.data, self.implicit = data, implicit
+    def __init__(self, data: bytes, implicit: bool, locate: bool = False) -> None:
+        self.data, self.implicit, self.locate = data, implicit, locate
+        self.pixels: tuple[int, int] | None = None
 
     def _tag(self, at: int) -> int:
         group, element = struct.unpack_from("<HH", self.data, at)
         return group << 16 | element
 
-    def read(self, at: int, end: int, into_items: bool = False) -> tuple[Dataset, int]:
+    def read(self, at: int, end: int, nested: bool = False) -> tuple[Dataset, int]:
         """Elements from ``at`` to ``end``, or to the end of an item of open length."""
         found: Dataset = {}
         while at + 8 <= end:
@@ -63,10 +64,14 @@ class Parser:
                 else:
                     n, at = struct.unpack_from("<H", self.data, at + 6)[0], at + 8
             if tag == PIXELS and n == OPEN:
+                self.pixels = self.pixels if nested else (0, 0)
                 return found, end
             if kind == b"SQ" or tag in SEQUENCES or n == OPEN:
                 found[tag], at = self._items(at, n, end)
             else:
+                if tag == PIXELS and self.locate and not nested:
+                    self.pixels = (at, n)
+                    return found, at
                 if at + n > end:
                     raise ValueError("an element beyond the end")
                 found[tag] = self.data[at : at + n]
@@ -82,7 +87,7 @@ class Parser:
                 break
             if tag != ITEM:
                 raise ValueError("not an item")
-            item, at = self.read(at, stop if length == OPEN else at + length)
+            item, at = self.read(at, stop if length == OPEN else at + length, True)
             items.append(item)
         return items, at
 
@@ -104,6 +109,20 @@ def parse(data: bytes) -> Dataset:
         raise ValueError("the file ends early") from e
 
 
+def located(data: bytes) -> tuple[Dataset, tuple[int, int] | None]:
+    """The data set before its pixel data, and their offset and length: none where they were not met, as in a file's first bytes, and 0 where they are compressed."""
+    if data[128:132] != b"DICM":
+        raise ValueError("not a DICOM file")
+    try:
+        length = struct.unpack_from("<I", data, 140)[0]
+        syntax = text(Parser(data, False).read(132, 144 + length)[0], SYNTAX)
+        parser = Parser(data, syntax == IMPLICIT, locate=True)
+        found, _ = parser.read(144 + length, len(data))
+    except struct.error as e:
+        raise ValueError("the file ends early") from e
+    return found, (0, 0) if parser.pixels and syntax not in LITTLE else parser.pixels
+
+
 def text(ds: Dataset, tag: int, default: str = "") -> str:
     value = ds.get(tag)
     return value.decode("latin-1").strip(" \0") if isinstance(value, bytes) else default
