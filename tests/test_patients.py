@@ -102,3 +102,13 @@ def test_an_empty_folder(spark, tmp_path):
     (tmp_path / "notes.bin").write_bytes(b"no")
     got = pt.imported(spark, f"file://{tmp_path}")
     assert all(df.count() == 0 for df in got.values())
+
+
+def test_folders_with_odd_names(spark, tmp_path):
+    odd = tmp_path / "Doe Jo 50%20"
+    odd.mkdir()
+    (odd / "a b.dcm").write_bytes(image("a", 0.0, np.full((2, 2), 700)))
+    found = pt.places(spark, str(tmp_path))
+    assert [(r.patient_id, r.size) for r in found.collect()] == [("a", 8)]
+    slices = pt.ct_slices(found)
+    assert [r.hu for r in pt.ct_voxels(slices, pt.patients(slices)).collect()] == [376] * 4
