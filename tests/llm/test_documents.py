@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -517,3 +518,32 @@ def test_toxicity_by_brute_force(spark):
         else:
             assert not got[i].evidence
     assert len({r.score for r in got.values()}) > 2
+
+
+def test_judged_learns_from_all_trusted(spark):
+    """The model is of every trusted document that is not set apart, and thresholds are exact."""
+    texts = ["the house is near the old river", "we walk along the river", "green trees stand in the morning", "an old house"]
+    data = [(i, texts[i % 4] + f" {i}", "en" if i % 3 else None) for i in range(400)]
+    d = quality.written(spark.createDataFrame(data, "doc_id long, text string, lang string"), "d")
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
+    apart = {i for i in range(300) if zlib.crc32(str(i).encode()) % quality.APART == 0}
+    brute = kneser_ney([t for i, t, _ in data if i < 300 and i not in apart], 3)
+    assert not hasattr(quality, "TRAIN")
+    got = {r.doc_id: r for r in quality.judged(d, labels, order=3).collect()}
+    assert all(got[i].perplexity == pytest.approx(brute(t), rel=1e-4) for i, t, _ in data[:40])
+    own = sorted(got[i].perplexity for i in apart)
+    assert {r.threshold for r in got.values()} == {own[math.ceil(len(own) * 0.99) - 1]}  # no language has enough of its own
+
+
+def test_learned_keeps_all_of_many(spark):
+    """More trusted documents than the former sample of 20,000."""
+    d = spark.range(50_000).selectExpr("id", "'x' AS text")
+    assert quality.learned(d, spark.range(0, 50_000, 2)).count() == 25_000
+
+
+def test_quantiles_exact(spark):
+    data = [(g, float(x)) for g in (0, 1) for x in np.random.default_rng(g).integers(1, 50, 333)] + [(2, 7.5)]
+    got = {r.group: (r.value, r.m) for r in quality.quantiles(spark.createDataFrame(data, "group int, x double"), 0.9).collect()}
+    for g in (0, 1, 2):
+        own = sorted(x for h, x in data if h == g)
+        assert got[g] == (own[math.ceil(0.9 * len(own)) - 1], len(own))
