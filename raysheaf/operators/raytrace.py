@@ -21,6 +21,8 @@ class Box:
 
 AXES = "xyz"
 TOUCHING = 1e-12
+#: Valid places that share a cell, on average, and halvings of the cell's width to get there.
+CROWD, HALVINGS = 4, 32
 
 
 def _alphas(planes: Column, first: float, step: float, start: Column, by: Column) -> Column:
@@ -115,26 +117,33 @@ def nearest_value(rows: DataFrame, values: list[float], column: str) -> Column:
 def nearest_point(missing: DataFrame, valid: DataFrame, cell: float, across: tuple[str, ...] = ()) -> DataFrame:
     """JN-10: for each (id, x, y, z) of ``missing`` the nearest (id, x, y, z) of ``valid`` as (id, nearest, distance); ties go to the smaller id.
 
-    Points meet in cells: a point is compared with those in its own and the 26 cells around
-    it, and the nearest found there is exact if it lies within one cell's width. The others
-    go on with cells of twice the width. Work follows the number of neighbours, and the
-    number of rounds the logarithm of the largest distance: a cell as wide as all points
-    together settles what is left. Each round is cut from its lineage.
+    Points at one place are one. Places meet in cells: a place is compared with those in its own
+    and the 26 cells around it, and the nearest found there is exact if it lies within one cell's
+    width. The others go on with cells of twice the width. The first cells are as wide as ``cell``,
+    or narrower by halves until a valid place shares its cell with ``CROWD`` others at most, on
+    average: so however dense points lie, a place meets a number of others that does not grow with
+    them. The number of rounds is the logarithm of the largest distance: a cell as wide as all
+    points together settles what is left. Each round is cut from its lineage.
 
     Points with a null or NaN coordinate, and those whose group of ``across`` has no valid
     point, have null as their nearest.
     """
     placed = lambda df: df.where(sum((F.when(F.isnan(F.col(a).cast("double")) | F.col(a).isNull(), 1).otherwise(0) for a in AXES), F.lit(0)) == 0)
-    found, able = None, cut(placed(valid).select(*across, "id", *AXES))
+    found, able = None, cut(placed(valid).groupBy(*across, *AXES).agg(F.min("id").alias("id")))
     if across:
         groups = able.select(*[F.col(c).alias(f"__{c}") for c in across]).distinct()
         same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in across]
         left = placed(missing).join(groups, same, "left_semi")
     else:
         left = placed(missing) if able.limit(1).count() else placed(missing).limit(0)
-    left = cut(left.select(*across, "id", *AXES))
+    left = places = cut(left.groupBy(*across, *AXES).agg(F.min("id").alias("id")))
     ends = left.select(*AXES).unionByName(able.select(*AXES)).agg(*[(F.max(a) - F.min(a)).alias(a) for a in AXES]).first()
     extent = max((ends[a] or 0.0) for a in AXES)
+    for _ in range(HALVINGS):
+        crowd = able.groupBy(*across, *[F.floor(F.col(a) / cell).alias(f"c{a}") for a in AXES]).agg(F.count(F.lit(1)).cast("double").alias("n"))
+        if (crowd.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0) <= CROWD:
+            break
+        cell /= 2
     while left.limit(1).count():
         at = [F.floor(F.col(a) / cell).alias(f"c{a}") for a in AXES]
         around = F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(c).alias("z")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
@@ -150,10 +159,10 @@ def nearest_point(missing: DataFrame, valid: DataFrame, cell: float, across: tup
             break
         left = left.join(sure.select(*across, "id"), [*across, "id"], "left_anti")
         cell *= 2
-    asked = missing.select(*across, "id")
     if found is None:
-        return asked.select(*across, "id", F.lit(None).cast("long").alias("nearest"), F.lit(None).cast("double").alias("distance"))
-    return asked.join(found, [*across, "id"], "left")
+        return missing.select(*across, "id", F.lit(None).cast("long").alias("nearest"), F.lit(None).cast("double").alias("distance"))
+    near = places.join(found, [*across, "id"]).drop("id")
+    return missing.select(*across, "id", *AXES).join(near, [*across, *AXES], "left").select(*across, "id", "nearest", "distance")
 
 
 def with_nearest(ssd: DataFrame, targets: DataFrame, default: float = 1000.0, cell: float = 20.0) -> DataFrame:

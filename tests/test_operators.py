@@ -262,3 +262,16 @@ def test_bounded_minimum():
     goal = np.array([2.0, -1.0])
     found = op.minimise(lambda x: (0.5 * (x - goal) @ h @ (x - goal), h @ (x - goal)), 2, 0.0, 10.0)
     assert found.converged and np.allclose(found.weights, [2 - 1 / 3, 0], atol=1e-4)
+
+
+def test_nearest_point_places_and_crowds(spark):
+    """Copies at one place are one, cells narrow where points are dense, and ties still go to the smaller id."""
+    rng = np.random.default_rng(3)
+    at = rng.uniform(0, 1, (300, 3))
+    data = [(i, *map(float, at[i % 300])) for i in range(1200)]
+    d = spark.createDataFrame(data, "id long, x double, y double, z double")
+    got = {r.id: (r.nearest, r.distance) for r in rt.nearest_point(d.where("id % 300 < 60"), d.where("id % 300 >= 60"), 100.0).collect()}
+    assert len(got) == 240
+    for i, (nearest, distance) in got.items():
+        far = np.sqrt(((at[60:] - at[i % 300]) ** 2).sum(1))
+        assert nearest == 60 + int(far.argmin()) and distance == pytest.approx(far.min())
