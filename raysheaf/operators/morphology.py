@@ -14,8 +14,10 @@ def rasterized(contours: DataFrame, x0: float | Column, dx: float | Column, nx:
     """AK-10, WN-12, WN-13, SF-31: voxels (struct_id, i, j, k) whose centre lies within a contour by the even-odd rule.
 
     Rows of (struct_id, contour_id, k, points), points being an array of (x, y). Edges,
-    crossings and spans are arrays of the contour's own row: a contour is never shuffled,
-    and contours of one structure are united at the end. Less than three points make none.
+    crossings and spans are arrays of the contour's own row: a contour is never shuffled.
+    What moves are spans; on a line each is cut by those before it, so that contours of one
+    structure are united before there are voxels, and no task holds any. Less than three
+    points make none.
     The grid may be given by columns of the contours, so that each has its own.
     """
     grid = {"x0": x0, "dx": dx, "nx": nx, "y0": y0, "dy": dy, "ny": ny}
@@ -35,7 +37,10 @@ def rasterized(contours: DataFrame, x0: float | Column, dx: float | Column, nx:
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1), lambda p: F.struct(F.element_at("xs", 2 * p + 1).alias("a"), F.element_at("xs", 2 * p + 2).alias("b")))
     spans = spans.select("struct_id", "k", "i", F.explode(pairs).alias("s"), *own)
     a, b = F.greatest(F.ceil((F.col("s.a") - x0) / dx), F.lit(0)).cast("int"), F.least(F.floor((F.col("s.b") - x0) / dx), F.lit(nx - 1)).cast("int")
-    return spans.select("struct_id", "i", a.alias("a"), b.alias("b"), "k").where("a <= b").select("struct_id", "i", F.explode(F.sequence("a", "b")).alias("j"), "k").distinct()
+    spans = spans.select("struct_id", "i", a.alias("a"), b.alias("b"), "k").where("a <= b")
+    before = Window.partitionBy("struct_id", "k", "i").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = spans.withColumn("a", F.greatest("a", F.coalesce(F.max("b").over(before) + 1, F.col("a")))).where("a <= b")
+    return fresh.select("struct_id", "i", F.explode(F.sequence("a", "b")).alias("j"), "k")
 
 
 def dilated(target: DataFrame, allowed: DataFrame, dims: tuple[int, int, int], spacing: tuple[float, float, float], margin: tuple[float, float, float]) -> DataFrame:

@@ -275,3 +275,15 @@ def test_nearest_point_places_and_crowds(spark):
     for i, (nearest, distance) in got.items():
         far = np.sqrt(((at[60:] - at[i % 300]) ** 2).sum(1))
         assert nearest == 60 + int(far.argmin()) and distance == pytest.approx(far.min())
+
+
+def test_rasterized_spans_are_united_before_voxels(spark):
+    """Contours that overlap, touch or repeat: a voxel once, and no aggregation over voxels."""
+    square = lambda a, b: [(a, 1.5), (b, 1.5), (b, 4.5), (a, 4.5)]
+    data = [(1, n, 0, s) for n, s in enumerate([square(0.5, 5.5), square(2.5, 3.5), square(4.5, 8.5), square(0.5, 5.5), square(10.5, 12.5)])] + [(None, 9, 0, square(0.5, 2.5))]
+    c = spark.createDataFrame(data, "struct_id long, contour_id int, k int, points array<struct<x double, y double>>")
+    found = mo.rasterized(c, 0.0, 1.0, 16, 0.0, 1.0, 16)
+    want = [(1, i, j) for i in (2, 3, 4) for j in (*range(1, 9), 11, 12)]
+    assert sorted((r.struct_id, r.i, r.j) for r in found.where("struct_id = 1").collect()) == want
+    assert found.where("struct_id is null").count() == 6
+    assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
