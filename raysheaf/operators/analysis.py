@@ -23,16 +23,18 @@ def order_statistics(rows: DataFrame, wanted: DataFrame, by: str = "dose", bands
     Exact, and no task sees a structure: values are counted by ``bands`` equal parts of their
     structure's range, prefix sums over the bands tell in which one a rank lies, and only rows
     of such bands are read again, counted by value first, so that a value that most rows share
-    is one row by then.
+    is one row by then. What rows are joined with, the ends of a structure's range and its bands
+    that hold a rank, is a few lines per structure and broadcast: joined by key all rows of a
+    structure would be sorted in one task.
     """
     x = F.col(by).cast("double")
     ends = rows.groupBy("structure").agg(F.min(x).alias("__low"), F.max(x).alias("__high"))
     part = (x - F.col("__low")) / F.when(F.col("__high") > F.col("__low"), F.col("__high") - F.col("__low")).otherwise(1.0)
-    banded = rows.where(x.isNotNull()).join(ends, "structure").select("structure", x.alias("value"), F.least(F.floor(part * bands), F.lit(bands - 1)).alias("band"))
+    banded = rows.where(x.isNotNull()).join(F.broadcast(ends), "structure").select("structure", x.alias("value"), F.least(F.floor(part * bands), F.lit(bands - 1)).alias("band"))
     before = Window.partitionBy("structure").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     counts = banded.groupBy("structure", "band").agg(_n().alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
     placed = wanted.select("structure", "rank").distinct().join(counts, "structure").where((F.col("rank") >= F.col("base")) & (F.col("rank") < F.col("base") + F.col("n")))
-    held = banded.join(placed.select("structure", "band").distinct(), ["structure", "band"], "left_semi").groupBy("structure", "band", "value").agg(_n().alias("equal"))
+    held = banded.join(F.broadcast(placed.select("structure", "band").distinct()), ["structure", "band"], "left_semi").groupBy("structure", "band", "value").agg(_n().alias("equal"))
     lower = Window.partitionBy("structure", "band").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     held = held.withColumn("inside", F.coalesce(F.sum("equal").over(lower), F.lit(0)))
     found = placed.join(held, ["structure", "band"]).withColumn("below", F.col("base") + F.col("inside"))

@@ -38,8 +38,8 @@ def digests(doses: DataFrame, prescriptions: DataFrame) -> DataFrame:
 
 
 def _statistics(doses: DataFrame, keys: DataFrame) -> DataFrame:
-    """Statistics of the doses in ``keys``, by digest and structure."""
-    rows = doses.join(keys, "dose_id").select(F.to_json(F.struct("digest", "structure")).alias("structure"), "dose", "prescription")
+    """Statistics of the doses in ``keys``, by digest and structure. Keys are a line per dose and broadcast: a dose's rows, a share of all, never meet in one task."""
+    rows = doses.join(F.broadcast(keys), "dose_id").select(F.to_json(F.struct("digest", "structure")).alias("structure"), "dose", "prescription")
     rows = cut(rows)
     inside = F.avg(F.when(F.col("dose") >= F.col("prescription"), 1.0).otherwise(0.0))
     found = an.summary(rows).join(rows.groupBy("structure").agg(F.when(F.first("prescription").isNotNull(), inside).alias("ci")), "structure")

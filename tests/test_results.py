@@ -40,3 +40,16 @@ def test_statistics_are_never_stale(spark, tmp_path):
     assert (found.count(), computed) == (0, 0)
     with pytest.raises(Exception, match="prescription"):
         rs.kept_statistics(doses, rx().drop("prescription"), folder)
+
+
+def test_statistics_do_not_gather_a_dose_in_a_task(spark):
+    """What rows of doses and structures are joined with is broadcast: no exchange of rows by structure."""
+    from pyspark.sql import functions as F
+
+    from raysheaf.operators import analysis as an
+
+    rows = spark.range(1000).select(F.lit("s").alias("structure"), (F.col("id") % 7).cast("double").alias("dose"))
+    found = an.order_statistics(rows, spark.createDataFrame([("s", 0), ("s", 999)], "structure string, rank long"))
+    assert sorted((r.rank, r.value) for r in found.collect()) == [(0, 0.0), (999, 6.0)]
+    plan = an.order_statistics(rows, spark.createDataFrame([("s", 0)], "structure string, rank long"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") >= 2
