@@ -23,10 +23,14 @@ with the partner that it meets most often. Buckets whose members are then in one
 done. In the others whole classes are merged in turns, by one member of each, which is linear
 work, for some turns; then members of different classes of a bucket are compared
 pair by pair. Every similar pair either is in one class by then or is compared, so no link
-between classes is lost. Both steps first compare sketches, parities of all shingles of a set,
-which differ in no more bits than the sets do in shingles; what passes them is similar but for a
-few per cent, so nearly all of it is merged before pairs are made. A bucket is read as a stream
-of sorted rows, whatever its length. Equal texts are one node.
+between classes is lost. Merging first compares sketches, parities of all shingles of a set,
+which differ in no more bits than the sets do in shingles. These fill up where texts are long, so
+single pairs are told apart by the ring itself: the ``BLOCKS`` times ``EIGHT`` segments behind the
+one that agrees, by 64 parities for every ``EIGHT``, however long the text. Budgets there are
+those of the two sizes: if two sets may differ in ``g`` of the ``h`` shingles that their class may,
+``l`` segments have less than ``l * g / h``. At least ``m - h`` segments start such a chain (the
+least sum of ``g / h`` minus differences from there on rises only at these, by ``g / h`` each at most
+and ``m * g / h - g`` in a round), more than there are empty ones. A bucket is read as a stream of sorted rows, whatever its length. Equal texts are one node.
 
 Edge cases: a null text is empty; wordless texts are similar to each other; a text shorter than a
 shingle is one shingle; repeated rows and equal texts share a class; texts of any length are
@@ -58,6 +62,9 @@ TURNS = 3
 #: Bits of a sketch, for pairs that are compared one by one.
 SKETCH = 1024
 _SKETCHED = [f"sketch_{i}" for i in range(SKETCH // 64)]
+#: Segments whose parities are 64 bits together, and how many such blocks follow a segment, for pairs that are compared one by one.
+EIGHT, BLOCKS = 8, 16
+_BLOCKED = [f"block_{i}" for i in range(BLOCKS)]
 SEED = 42
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -113,10 +120,23 @@ class Scheme:
         return h + 3 + h // 16, h
 
 
-def rows_of(hashes: np.ndarray, scheme: Scheme) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(keys, words, befores) of a set under its two pairs of classes. A word holds the parities of the next segments and whether the set is in the upper class; a before is the key of the segment before if it has a row too, else 0, as at the first."""
+def blocks_of(parity: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """For each segment of ``at`` the parities of the ring's next segments, ``EIGHT`` together, up to itself."""
+    m = len(parity)
+    after = [np.roll(parity, -j) for j in range(1, min(EIGHT, m - 1) + 1)]
+    whole = np.bitwise_xor.reduce(after) if after else np.zeros(m, np.int64)
+    out = []
+    for start in range(0, EIGHT * BLOCKS, EIGHT):
+        rest = m - 1 - start
+        block = whole if rest >= EIGHT else np.bitwise_xor.reduce(after[:rest]) if rest > 0 else np.zeros(m, np.int64)
+        out.append(block[(at + start) % m])
+    return out
+
+
+def rows_of(hashes: np.ndarray, scheme: Scheme, wide: bool = False) -> list[tuple[np.ndarray, ...]]:
+    """(keys, words, befores) of a set under its two pairs of classes. A word holds the parities of the next segments and whether the set is in the upper class; a before is the key of the segment before if it has a row too, else 0, as at the first. If ``wide``, also the set's size, the most shingles that similar sets of the class differ in, and the blocks behind each segment."""
     if not len(hashes):
-        return [(np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        return [tuple(np.zeros(1, np.int64) for _ in range(5 + BLOCKS if wide else 3))]
     own, out = scheme.of(len(hashes)), []
     for c in (own - 1, own):
         if c < 0:
@@ -138,7 +158,12 @@ def rows_of(hashes: np.ndarray, scheme: Scheme) -> list[tuple[np.ndarray, np.nda
             words |= parity[(at + j + 1) % m] << (PARITY * j)
         before = np.where(np.diff(at, prepend=-2) == 1, np.roll(keys, 1), 0)
         before[0] = 0
-        out.append((keys, words, before))
+        if wide:
+            bits = np.zeros(m, np.int64)
+            bits[there] = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), (spread >> np.uint64(40)) & np.uint64(63)), starts).view(np.int64)
+            out.append((keys, words, before, np.full(len(at), len(hashes), np.int64), np.full(len(at), h, np.int64), *blocks_of(bits, at)))
+        else:
+            out.append((keys, words, before))
     return out
 
 
@@ -180,6 +205,9 @@ def _emit(shingle: int, similarity: float):
     return run
 
 
+_WIDE = ["key", "word", "before", "size", "most", *_BLOCKED, "node", "root"]
+
+
 def _emit_late(shingle: int, similarity: float):
     """From (node, text, keys): those rows of each text that have one of the keys, with the key before."""
 
@@ -195,6 +223,22 @@ def _emit_late(shingle: int, similarity: float):
     return run
 
 
+def _emit_wide(shingle: int, similarity: float):
+    """From (node, text, root, keys): those rows of each text that have one of the keys, with what tells single pairs apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, scheme = Words(), Scheme(similarity)
+        for batch in batches:
+            for node, text, root, keys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                wanted = keys.values.to_numpy(zero_copy_only=False)
+                for rows in rows_of(shingles(text.as_py(), shingle, known), scheme, wide=True):
+                    there = np.isin(rows[0], wanted)
+                    n = int(there.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(r[there] for r in rows), np.full(n, node, np.int64), np.full(n, root, np.int64))], _WIDE)
+
+    return run
+
+
 def _emit_marks(shingle: int):
     """(node, size, sketch) of each text."""
 
@@ -235,6 +279,18 @@ def chained(a: Column, b: Column) -> Column:
     return ok
 
 
+def ringed(x: str, y: str, similarity: float) -> Column:
+    """Whether the blocks of two rows, of names with these prefixes, keep within the budgets of their sizes."""
+    t = Scheme(similarity).t
+    most = F.floor((F.col(f"{x}size") + F.col(f"{y}size")) * (t.denominator - t.numerator) / (t.denominator + t.numerator))
+    ok, differ = F.lit(True), F.lit(0)
+    for i, n in enumerate(_BLOCKED):
+        differ = differ + F.bit_count(F.col(f"{x}{n}").bitwiseXOR(F.col(f"{y}{n}")))
+        if i + 1 & i == 0:  # what l segments have is less than l * most / h
+            ok = ok & (differ <= most) & (differ * F.col(f"{x}most") < F.greatest(most, F.lit(1)) * (EIGHT * (i + 1) + 1))
+    return ok
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key, those of buckets with two members or more, of which one is in the lower class: with the first member, and whether its chain fits."""
     carry, shown, last = None, False, None
@@ -314,15 +370,16 @@ def _between_classes(rows: DataFrame, marks: DataFrame, similarity: float, turn:
     return best.select(*_pair("xy.x", "xy.y")).distinct()
 
 
-def _across(rows: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+def _across(rows: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes of different classes that are not told apart before their texts are compared.
 
-    A pair meets in every segment that agrees. It counts where a run of equal segments begins, so where the keys before differ, or have no row, or the ring begins: from there the chain fits if it does so from a later segment of the run. Its sketches may differ in no more bits than its sets in shingles."""
-    marked = rows.join(marks.select("node", F.struct("size", *_SKETCHED).alias("mark")), "node")
-    other = marked.select("key", *(F.col(n).alias(f"other_{n}") for n in ("node", "word", "before", "root", "mark")))
+    A pair meets in every segment that agrees. It counts where a run of equal segments begins, so where the keys before differ, or have no row, or the ring begins: from there the chain fits if it does so from a later segment of the run."""
+    keys = rows.groupBy("node").agg(F.first("root").alias("root"), F.collect_list("key").alias("keys"))
+    wide = texts.join(keys, "node").select("node", "text", "root", "keys").mapInArrow(_emit_wide(shingle, similarity), ", ".join(f"{n} long" for n in _WIDE))
+    other = wide.select("key", *(F.col(n).alias(f"other_{n}") for n in _WIDE[1:]))
     begins = (F.col("before") != F.col("other_before")) | (F.col("before") == 0)
     apart = (F.col("root") < F.col("other_root")) & begins & (F.least("word", "other_word") < F.lit(1 << UPPER)) & chained(F.col("word"), F.col("other_word"))
-    return marked.join(other, "key").where(apart & few(similarity, "mark", "other_mark")).select(*_pair("node", "other_node")).distinct()
+    return wide.join(other, "key").where(apart & ringed("", "other_", similarity)).select(*_pair("node", "other_node")).distinct()
 
 
 def classes(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, turns: int = TURNS) -> DataFrame:
@@ -346,7 +403,7 @@ def classes(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, similar
             break
         links = links.unionByName(more)
         left = _open(left.drop("root"), written(stars(links), "roots"))
-    pairs = written(_across(left, marks, similarity), "pairs")
+    pairs = written(_across(left, texts, shingle, similarity), "pairs")
     return stars(links.unionByName(_linked(pairs, texts, shingle, similarity)))
 
 

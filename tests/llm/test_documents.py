@@ -205,6 +205,31 @@ def test_chains_miss_no_similar_sets():
     assert found > 200
 
 
+def test_blocks_miss_no_similar_sets_and_tell_long_ones_apart():
+    """Sets of some thousand shingles that are well short of similar fill sketches up, and pass these; they do not pass the blocks."""
+    rng, scheme, similar, told, passed = np.random.default_rng(4), ringsets.Scheme(0.8), 0, 0, 0
+    for turn in range(60):
+        size = (6, 40, 300, 3000)[turn % 4]
+        a = np.unique(rng.integers(1, 1 << 62, size).astype(np.uint64))
+        share = 0.111 if turn % 8 < 4 else 0.2
+        b = np.unique(np.r_[a[int(len(a) * share) :], rng.integers(1, 1 << 62, int(len(a) * share)).astype(np.uint64)])
+        both = len(np.intersect1d(a, b))
+        alike = both >= 0.8 * (len(a) + len(b) - both)
+        left, right = ({int(r[0]): r[1:] for rows in ringsets.rows_of(x, scheme, wide=True) for r in zip(*rows, strict=True)} for x in (a, b))
+        fits = 0
+        for k in left.keys() & right.keys():
+            (w, before, m, h, *x), (v, other, n, _, *y) = left[k], right[k]
+            differ = np.cumsum(np.bitwise_count(np.array(x).view(np.uint64) ^ np.array(y).view(np.uint64)).astype(int))
+            begins = before != other or not before
+            fits += begins and min(w, v) < 1 << ringsets.UPPER and ringsets.within(np.array([w]), np.array([v]))[0] and differ[-1] <= (m + n) // 9 and all(differ[i] * h < max(1, (m + n) // 9) * (ringsets.EIGHT * (i + 1) + 1) for i in range(ringsets.BLOCKS))
+        assert fits or not alike
+        similar += alike
+        if size == 3000 and not alike:
+            sketched = int(np.bitwise_count(ringsets.sketch(a).view(np.uint64) ^ ringsets.sketch(b).view(np.uint64)).sum())
+            told, passed = told + (not fits), passed + (9 * sketched <= len(a) + len(b))
+    assert similar > 20 and told == passed > 5
+
+
 def test_similar_by_brute_force_in_groups_at_the_threshold(spark):
     """Groups of edited copies around four fifths, where many a copy is similar to some of its group only; families that share a passage; short and equal texts."""
     rng, texts = np.random.default_rng(12), ["", " ", None, "one", "One", "a b c d", "a b c d e", "a b c d e f"]
@@ -260,6 +285,21 @@ def test_bpe_like_the_library(spark, docs, none):
     assert {r.doc_id: list(r.ids) for r in bpe.encoded(docs.where("doc_id = 13")).collect()} == {13: own.encode(TEXTS[13])}
 
 
+def test_words_are_normalised_and_cut_once(monkeypatch):
+    """However often they stand in the texts; and what stands between ASCII white space gives what the whole text gives, for all other white space, marks and controls behind it."""
+    own, library, seen = bpe.Bpe(public_tokenizers.path(bpe.VOCABULARY)), Tokenizer.from_file(public_tokenizers.path(bpe.VOCABULARY)), []
+    cut = own.words
+    monkeypatch.setattr(own, "words", lambda text: seen.append(text) or cut(text))
+    for _ in range(20):
+        own.digests("It's a word, it's\tanother\nword.")
+    assert sum(map(len, seen)) < 40
+    for space in " \t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u2003\u3000\u200b":
+        for text in (f"It's{space}\u0301Caf\u0301e{space}{space}'s Σ{space}ΣΑΣ{space}", space, f"{'日本' * 40}{space}x1\u1100\u1161{space}\u11a8"):
+            ids = library.encode(text, add_special_tokens=False).ids
+            decoded = library.decode(ids, skip_special_tokens=False)
+            assert own.digests(text) == own.digests(text.encode()) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
 def test_cuts_are_certain():
     own = bpe.Bpe(public_tokenizers.path(bpe.VOCABULARY))
     for word in ("thntblere", "zqxjkvbp", "日本語"):
