@@ -20,17 +20,17 @@ text with more empty ones than that emits them too.
 
 Classes instead of all pairs: the members of a bucket are first compared with one of them, each
 with the partner that it meets most often. Buckets whose members are then in one class are
-done. In the others whole classes are merged in turns, by one member of each, which is linear
-work, for some turns; then members of different classes of a bucket are compared
-pair by pair. Every similar pair either is in one class by then or is compared, so no link
-between classes is lost. Merging first compares sketches, parities of all shingles of a set,
-which differ in no more bits than the sets do in shingles. These fill up where texts are long, so
-single pairs are told apart by the ring itself: the ``BLOCKS`` times ``EIGHT`` segments behind the
-one that agrees, by 64 parities for every ``EIGHT``, however long the text. Budgets there are
+done. In others with many pairs of different classes whole classes are merged in turns, each
+with the class that it meets most often, which is linear work; then members of different classes of
+a bucket are compared pair by pair. Every similar pair either is in one class by then or is compared, so no
+link between classes is lost. Rows of buckets that hold several classes are told apart by the ring itself:
+the ``BLOCKS`` times ``EIGHT`` segments behind the one that agrees, by 64 parities for every ``EIGHT``, however
+long the text (sketches, parities of all shingles of a set, fill up where texts are long). Budgets there are
 those of the two sizes: if two sets may differ in ``g`` of the ``h`` shingles that their class may,
 ``l`` segments have less than ``l * g / h``. At least ``m - h`` segments start such a chain (the
 least sum of ``g / h`` minus differences from there on rises only at these, by ``g / h`` each at most
-and ``m * g / h - g`` in a round), more than there are empty ones. A bucket is read as a stream of sorted rows, whatever its length. Equal texts are one node.
+and ``m * g / h - g`` in a round), more than there are empty ones. A bucket is read as a stream of sorted rows,
+whatever its length; for pairs a large one is cut into tiles, each two parts of its members. Equal texts are one node.
 
 Edge cases: a null text is empty; wordless texts are similar to each other; a text shorter than a
 shingle is one shingle; repeated rows and equal texts share a class; texts of any length are
@@ -59,9 +59,10 @@ ROWS = 1 << 16
 KNOWN = 200_000
 #: Most turns of merging whole classes before the rest is compared pair by pair; they change the work, not the result.
 TURNS = 3
-#: Bits of a sketch, for pairs that are compared one by one.
+#: Bits of a sketch.
 SKETCH = 1024
-_SKETCHED = [f"sketch_{i}" for i in range(SKETCH // 64)]
+#: Pairs of different classes for each member beyond which a bucket takes part in turns; and members of a part, to which those of large buckets are dealt.
+EACH, TILE = 4, 1024
 #: Segments whose parities are 64 bits together, and how many such blocks follow a segment, for pairs that are compared one by one.
 EIGHT, BLOCKS = 8, 16
 _BLOCKED = [f"block_{i}" for i in range(BLOCKS)]
@@ -123,45 +124,45 @@ class Scheme:
 def blocks_of(parity: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """For each segment of ``at`` the parities of the ring's next segments, ``EIGHT`` together, up to itself."""
     m = len(parity)
-    after = [np.roll(parity, -j) for j in range(1, min(EIGHT, m - 1) + 1)]
-    whole = np.bitwise_xor.reduce(after) if after else np.zeros(m, np.int64)
-    out = []
-    for start in range(0, EIGHT * BLOCKS, EIGHT):
-        rest = m - 1 - start
-        block = whole if rest >= EIGHT else np.bitwise_xor.reduce(after[:rest]) if rest > 0 else np.zeros(m, np.int64)
-        out.append(block[(at + start) % m])
-    return out
+    steps = np.minimum(np.arange(BLOCKS + 1) * EIGHT, m - 1)
+    so_far = np.r_[np.int64(0), np.bitwise_xor.accumulate(np.resize(parity, m + 1 + steps[-1]))]
+    edges = [so_far[at + 1 + step] for step in steps]
+    return [x ^ y for x, y in zip(edges, edges[1:], strict=False)]
 
 
-def rows_of(hashes: np.ndarray, scheme: Scheme, wide: bool = False) -> list[tuple[np.ndarray, ...]]:
-    """(keys, words, befores) of a set under its two pairs of classes. A word holds the parities of the next segments and whether the set is in the upper class; a before is the key of the segment before if it has a row too, else 0, as at the first. If ``wide``, also the set's size, the most shingles that similar sets of the class differ in, and the blocks behind each segment."""
+def rows_of(hashes: np.ndarray, scheme: Scheme, wide: bool = False, wanted: np.ndarray | None = None) -> list[tuple[np.ndarray, ...]]:
+    """(keys, words, befores) of a set under its two pairs of classes. A word holds the parities of the next segments and whether the set is in the upper class; a before is the key of the segment before if it has a row too, else 0, as at the first. If ``wide``, also the set's size, the most shingles that similar sets of the class differ in, and the blocks behind each segment, all of the rows with a ``wanted`` key only, if these are given."""
     if not len(hashes):
         return [tuple(np.zeros(1, np.int64) for _ in range(5 + BLOCKS if wide else 3))]
     own, out = scheme.of(len(hashes)), []
+    spread = mixed(hashes * _ODD[40])
+    bit = np.left_shift(np.int64(1), ((spread >> np.uint64(20)) % np.uint64(PARITY)).astype(np.int64))
     for c in (own - 1, own):
         if c < 0:
             continue
         m, h = scheme.segments(c)
-        part = (hashes % np.uint64(m)).astype(np.int64)
+        part = (hashes % np.uint64(m)).astype(np.uint16 if m <= 1 << 16 else np.int64)  # short numbers are sorted by digits
         order = np.argsort(part, kind="stable")
         part = part[order]
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        there = part[starts]
+        there = part[starts].astype(np.int64)
         digest, parity = np.zeros(m, np.uint64), np.zeros(m, np.int64)
-        spread = mixed(hashes[order] * _ODD[40])
-        digest[there] = np.bitwise_xor.reduceat(spread, starts)
-        parity[there] = np.bitwise_xor.reduceat(np.left_shift(np.int64(1), ((spread >> np.uint64(20)) % np.uint64(PARITY)).astype(np.int64)), starts)
+        digest[there] = np.bitwise_xor.reduceat(spread[order], starts)
+        parity[there] = np.bitwise_xor.reduceat(bit[order], starts)
         at = there if m - len(there) < m - h else np.arange(m)
         keys = mixed(digest[at] + mixed(np.array([c], np.uint64) * _ODD[41] + at.astype(np.uint64) * _ODD[42])).view(np.int64)
-        words = np.full(len(at), (c < own) << UPPER, np.int64)
-        for j in range(min(CHAIN, m - 1)):
-            words |= parity[(at + j + 1) % m] << (PARITY * j)
-        before = np.where(np.diff(at, prepend=-2) == 1, np.roll(keys, 1), 0)
-        before[0] = 0
+        chain = min(CHAIN, m - 1)
+        ring, words = np.r_[parity, parity[:chain]], np.full(m, (c < own) << UPPER, np.int64)
+        for j in range(chain):
+            words |= ring[j + 1 : j + 1 + m] << (PARITY * j)
+        words = words[at]
+        before = np.zeros(len(at), np.int64)
+        before[1:][at[1:] - at[:-1] == 1] = keys[:-1][at[1:] - at[:-1] == 1]
         if wide:
             bits = np.zeros(m, np.int64)
-            bits[there] = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), (spread >> np.uint64(40)) & np.uint64(63)), starts).view(np.int64)
-            out.append((keys, words, before, np.full(len(at), len(hashes), np.int64), np.full(len(at), h, np.int64), *blocks_of(bits, at)))
+            bits[there] = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), (spread[order] >> np.uint64(40)) & np.uint64(63)), starts).view(np.int64)
+            there = np.arange(len(at)) if wanted is None else np.flatnonzero(np.isin(keys, wanted))
+            out.append((keys[there], words[there], before[there], np.full(len(there), len(hashes), np.int64), np.full(len(there), h, np.int64), *blocks_of(bits, at[there])))
         else:
             out.append((keys, words, before))
     return out
@@ -205,62 +206,35 @@ def _emit(shingle: int, similarity: float):
     return run
 
 
-_WIDE = ["key", "word", "before", "size", "most", *_BLOCKED, "node", "root"]
-
-
-def _emit_late(shingle: int, similarity: float):
-    """From (node, text, keys): those rows of each text that have one of the keys, with the key before."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, scheme = Words(), Scheme(similarity)
-        for batch in batches:
-            for node, text, keys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                wanted = keys.values.to_numpy(zero_copy_only=False)
-                for rows in rows_of(shingles(text.as_py(), shingle, known), scheme):
-                    there = np.isin(rows[0], wanted)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(r[there] for r in rows), np.full(int(there.sum()), node, np.int64))], ["key", "word", "before", "node"])
-
-    return run
+_WIDE = ["key", "word", "before", "size", "most", *_BLOCKED]
+_MET = [*_WIDE, "node", "root"]
 
 
 def _emit_wide(shingle: int, similarity: float):
-    """From (node, text, root, keys): those rows of each text that have one of the keys, with what tells single pairs apart."""
+    """From (node, text, keys): those rows of each text that have one of the keys, with what tells single pairs apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, scheme = Words(), Scheme(similarity)
-        for batch in batches:
-            for node, text, root, keys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                wanted = keys.values.to_numpy(zero_copy_only=False)
-                for rows in rows_of(shingles(text.as_py(), shingle, known), scheme, wide=True):
-                    there = np.isin(rows[0], wanted)
-                    n = int(there.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(r[there] for r in rows), np.full(n, node, np.int64), np.full(n, root, np.int64))], _WIDE)
-
-    return run
+        known, scheme, found, n = Words(), Scheme(similarity), [], 0
 
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], [*_WIDE, "node"])
+            found.clear()
+            return out
 
-def _emit_marks(shingle: int):
-    """(node, size, sketch) of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                found = [shingles(t.as_py(), shingle, known) for t in part.column(1)]
-                bits = np.stack([sketch(f) for f in found])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(f) for f in found], pa.int64()), *(pa.array(b) for b in bits.T.copy())], ["node", "size", *_SKETCHED])
+            for node, text, keys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                for rows in rows_of(shingles(text.as_py(), shingle, known), scheme, wide=True, wanted=keys.values.to_numpy(zero_copy_only=False)):
+                    found.append([*rows, np.full(len(rows[0]), node, np.int64)])
+                    n += len(rows[0])
+                if n >= ROWS // 8:
+                    yield flush()
+                    n = 0
+        if n:
+            yield flush()
 
     return run
 
 
-def few(similarity: float, x: str, y: str) -> Column:
-    """Whether the sketches of two sets, structs of that name, allow for the similarity."""
-    t = Scheme(similarity).t
-    differ = sum((F.bit_count(F.col(f"{x}.{n}").bitwiseXOR(F.col(f"{y}.{n}"))) for n in _SKETCHED), F.lit(0))
-    return differ * (t.denominator + t.numerator) <= (F.col(f"{x}.size") + F.col(f"{y}.size")) * (t.denominator - t.numerator)
-
-
 def within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the chains behind two equal segments keep within the budgets."""
     differ, total, ok = a ^ b, np.zeros(len(a), np.uint8), np.ones(len(a), bool)
@@ -270,25 +244,40 @@ def within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ok
 
 
-def chained(a: Column, b: Column) -> Column:
-    """The same in Spark."""
-    ok, mask = F.lit(True), 0
-    for j in range(CHAIN):
-        mask |= ((1 << PARITY) - 1) << (PARITY * j)
-        ok = ok & (F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(mask))) <= j + 1)
-    return ok
-
-
-def ringed(x: str, y: str, similarity: float) -> Column:
-    """Whether the blocks of two rows, of names with these prefixes, keep within the budgets of their sizes."""
-    t = Scheme(similarity).t
-    most = F.floor((F.col(f"{x}size") + F.col(f"{y}size")) * (t.denominator - t.numerator) / (t.denominator + t.numerator))
-    ok, differ = F.lit(True), F.lit(0)
-    for i, n in enumerate(_BLOCKED):
-        differ = differ + F.bit_count(F.col(f"{x}{n}").bitwiseXOR(F.col(f"{y}{n}")))
-        if i + 1 & i == 0:  # what l segments have is less than l * most / h
-            ok = ok & (differ <= most) & (differ * F.col(f"{x}most") < F.greatest(most, F.lit(1)) * (EIGHT * (i + 1) + 1))
-    return ok
+class Met:
+    """Rows of _MET as arrays, and which pairs of them, given by places, are not told apart."""
+
+    def __init__(self, similarity: float, batches: list[pa.RecordBatch] | None = None) -> None:
+        self.t = Scheme(similarity).t
+        self.of = {n: np.concatenate([b.column(n).to_numpy(zero_copy_only=False) for b in batches]) for n in batches[0].schema.names} if batches else {}
+
+    def part(self, start: int, stop: int | None = None) -> Met:
+        """Some of the rows, as a copy."""
+        out = Met(self.t)
+        out.of = {n: x[start:stop].copy() for n, x in self.of.items()}
+        return out
+
+    def then(self, other: Met) -> Met:
+        out = Met(self.t)
+        out.of = {n: np.r_[x, other.of[n]] for n, x in self.of.items()} if self.of else other.of
+        return out
+
+    def fits(self, i: np.ndarray, j: np.ndarray, begins: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Those pairs of places in one bucket whose classes differ, of which one is in the lower size class at least, and whose chains and blocks keep within the budgets. If ``begins``, where a run of equal segments begins only."""
+        of = self.of
+        ok = of["root"][i] != of["root"][j]
+        if begins:
+            ok &= (of["before"][i] != of["before"][j]) | (of["before"][i] == 0)
+        i, j = i[ok], j[ok]
+        ok = (np.minimum(of["word"][i], of["word"][j]) >> np.int64(UPPER) == 0) & within(of["word"][i], of["word"][j])
+        i, j = i[ok], j[ok]
+        most = (of["size"][i] + of["size"][j]) * (self.t.denominator - self.t.numerator) // (self.t.denominator + self.t.numerator)
+        h, differ = of["most"][i], np.zeros(len(i), np.int64)
+        for k, n in enumerate(_BLOCKED):  # what l segments have is less than l * most / h
+            differ = differ + np.bitwise_count((of[n][i] ^ of[n][j]).view(np.uint64))  # of signed ones it takes the magnitude
+            ok = (differ <= most) & (differ * h < np.maximum(most, 1) * (EIGHT * (k + 1) + 1))
+            i, j, most, h, differ = (x[ok] for x in (i, j, most, h, differ))
+        return i, j
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,37 +338,91 @@ def node_of(text: Column) -> Column:
 
 
 def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """rows with their root: those of buckets that hold more than one class still."""
+    """rows with their root and their bucket's number of members and of pairs of different classes: those of buckets that hold more than one class still."""
     rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-    return written(rooted.join(several, "key", "left_semi"), "open")
-
-
-def _between_classes(rows: DataFrame, marks: DataFrame, similarity: float, turn: int) -> DataFrame:
-    """One pair (a, b) at most for each class: with the class that it meets in most buckets, each bucket setting one member of each of its classes against that of one class."""
-    lot = F.xxhash64("node", F.lit(turn))
-    upper = F.call_function("shiftright", F.col("word"), F.lit(UPPER))
-    members = rows.groupBy("key", "root").agg(F.min(F.struct(upper.alias("upper"), lot.alias("lot"), "node", "word")).alias("m"))
-    chosen = members.groupBy("key").agg(F.min(F.struct("m.upper", F.xxhash64("root", F.lit(turn)).alias("lot"), "root", "m.node", "m.word")).alias("p"))
-    met = members.join(chosen, "key").where((F.col("root") != F.col("p.root")) & (F.col("p.upper") == 0) & chained(F.col("m.word"), F.col("p.word")))
-    counted = met.groupBy("root", F.col("p.root").alias("to"), F.col("m.node").alias("x"), F.col("p.node").alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    mark = F.struct("size", *_SKETCHED)
-    for side in ("x", "y"):
-        counted = counted.join(marks.select(F.col("node").alias(side), mark.alias(f"of_{side}")), side)
-    best = counted.where(few(similarity, "of_x", "of_y")).groupBy("root").agg(F.max_by(F.struct("x", "y"), F.struct("n", "to", "x", "y")).alias("xy"))
+    by_class = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("own"))
+    several = by_class.groupBy("key").agg(F.sum("own").alias("members"), ((F.sum("own") * F.sum("own") - F.sum(F.col("own") * F.col("own"))) / 2).alias("pairs")).where("pairs > 0")
+    return written(rooted.join(several, "key"), "open")
+
+
+def _with_first(similarity: float):
+    """From rows sorted by key: (root, to, x, y) for each row that is not told apart from its bucket's first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = Met(similarity)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            met = carry.then(Met(similarity, [batch]))
+            key = met.of["key"]
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            i, j = met.fits(np.arange(len(key)), np.repeat(starts, np.diff(np.r_[starts, len(key)])), begins=False)
+            carry = met.part(starts[-1], starts[-1] + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(met.of[n][x]) for n, x in (("root", i), ("root", j), ("node", i), ("node", j))], ["root", "to", "x", "y"])
+
+    return run
+
+
+def _between_classes(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """One pair (a, b) at most for each class: with the class that it meets in most buckets, each bucket setting its members against one of them."""
+    upper, lots = F.call_function("shiftright", F.col("word"), F.lit(UPPER)), [F.xxhash64(n, F.lit(turn)) for n in ("root", "node")]
+    dealt = rows.select(*_MET).repartition("key").sortWithinPartitions("key", upper, *lots)
+    met = dealt.mapInArrow(_with_first(similarity), "root long, to long, x long, y long")
+    counted = met.groupBy("root", "to", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("root").agg(F.max_by(F.struct("x", "y"), F.struct("n", "to", "x", "y")).alias("xy"))
     return best.select(*_pair("xy.x", "xy.y")).distinct()
 
 
-def _across(rows: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _each_with_each(similarity: float):
+    """From rows sorted by tile: the pairs (a, b) of nodes in one tile that are not told apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def pairs(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            met = Met(similarity, batches)
+            key, left, right, side = (met.of[n] for n in ("key", "tile", "against", "side"))
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
+            stop = np.repeat(np.r_[starts[1:], len(key)], np.diff(np.r_[starts, len(key)]))
+            found, i, step = [], np.arange(len(key)), 1
+            while len(i := i[i + step < stop[i]]):
+                ok = (left[i] == right[i]) | (side[i] != side[i + step])
+                found.append(met.fits(i[ok], i[ok] + step, begins=True))
+                step += 1
+            if found:
+                x, y = (met.of["node"][np.concatenate(z)] for z in zip(*found, strict=True))
+                a, b = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tile = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "tile", "against")]
+            ends = np.flatnonzero(np.any([x[1:] != x[:-1] for x in tile], axis=0)) + 1
+            if held and any(h.column(n)[-1].as_py() != x[0] for h in held[-1:] for n, x in zip(("key", "tile", "against"), tile, strict=True)):
+                yield from pairs(held)
+                held.clear()
+            if len(ends):
+                yield from pairs([*held, batch.slice(0, ends[-1])])
+                held[:] = [batch.slice(ends[-1])]
+            else:
+                held.append(batch)
+        if held:
+            yield from pairs(held)
+
+    return run
+
+
+def _across(rows: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
     """The pairs (a, b) of nodes of different classes that are not told apart before their texts are compared.
 
-    A pair meets in every segment that agrees. It counts where a run of equal segments begins, so where the keys before differ, or have no row, or the ring begins: from there the chain fits if it does so from a later segment of the run."""
-    keys = rows.groupBy("node").agg(F.first("root").alias("root"), F.collect_list("key").alias("keys"))
-    wide = texts.join(keys, "node").select("node", "text", "root", "keys").mapInArrow(_emit_wide(shingle, similarity), ", ".join(f"{n} long" for n in _WIDE))
-    other = wide.select("key", *(F.col(n).alias(f"other_{n}") for n in _WIDE[1:]))
-    begins = (F.col("before") != F.col("other_before")) | (F.col("before") == 0)
-    apart = (F.col("root") < F.col("other_root")) & begins & (F.least("word", "other_word") < F.lit(1 << UPPER)) & chained(F.col("word"), F.col("other_word"))
-    return wide.join(other, "key").where(apart & ringed("", "other_", similarity)).select(*_pair("node", "other_node")).distinct()
+    A pair meets in every segment that agrees. It counts where a run of equal segments begins, so where the keys before differ, or have no row, or the ring begins: from there the chain fits if it does so from a later segment of the run. The members of a large bucket are dealt to parts, and each two parts are a tile of their own."""
+    parts = F.ceil(F.col("members") / tile)
+    side = F.pmod(F.xxhash64("node", F.lit(SEED)), parts)
+    tiles = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: F.struct(F.least(p, "side").alias("tile"), F.greatest(p, "side").alias("against")))
+    dealt = rows.withColumn("side", side).select(*_MET, "side", F.explode(tiles).alias("at")).select(*_MET, "side", "at.tile", "at.against")
+    dealt = dealt.repartition("key", "tile", "against").sortWithinPartitions("key", "tile", "against")
+    return dealt.mapInArrow(_each_with_each(similarity), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, turns: int = TURNS) -> DataFrame:
@@ -388,23 +431,24 @@ def classes(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, similar
     emitted = rows.mapInArrow(_emit(shingle, similarity), "key long, node long, word long")
     met = emitted.repartition("key").sortWithinPartitions("key", "word", "node").mapInArrow(_runs, "key long, node long, word long, pivot long, fits boolean")
     met = written(met, "buckets")
-    needed = met.where("fits").select(F.explode(F.array("node", "pivot")).alias("node")).distinct()
     often = met.where("fits").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
-    links = _linked(often.select(*_pair("node", "pivot")).distinct(), _texts(rows, needed), shingle, similarity)
-    left = _open(met.select("key", "node"), written(stars(links), "roots"))
-    texts = _texts(rows, left.select("node").distinct())
+    texts = _texts(rows, met.select("node").distinct())
+    links = _linked(often.select(*_pair("node", "pivot")).distinct(), texts, shingle, similarity)
+    left = _open(met.select("key", "node"), stars(links))
     keys = left.groupBy("node").agg(F.collect_list("key").alias("keys"))  # as many as a text has segments
-    late = written(texts.join(keys, "node").select("node", "text", "keys").mapInArrow(_emit_late(shingle, similarity), "key long, word long, before long, node long"), "late")
-    marks = written(texts.select("node", "text").mapInArrow(_emit_marks(shingle), ", ".join(f"{n} long" for n in ("node", "size", *_SKETCHED))), "marks")
-    left = _open(late, written(stars(links), "roots"))
+    wide = texts.join(keys, "node").select("node", "text", "keys").mapInArrow(_emit_wide(shingle, similarity), ", ".join(f"{n} long" for n in (*_WIDE, "node")))
+    wide = written(wide, "wide")
+    made = 0
     for turn in range(turns):
-        more = _linked(_between_classes(left, marks, similarity, turn), texts, shingle, similarity)
-        if more.isEmpty():
+        more = _linked(_between_classes(wide.join(left.where(F.col("pairs") > EACH * F.col("members")), ["key", "node"]), similarity, turn), texts, shingle, similarity)
+        before, made = made, more.count()
+        if not made:
             break
         links = links.unionByName(more)
-        left = _open(left.drop("root"), written(stars(links), "roots"))
-    pairs = written(_across(left, texts, shingle, similarity), "pairs")
-    return stars(links.unionByName(_linked(pairs, texts, shingle, similarity)))
+        left = _open(left.select("key", "node"), stars(links))
+        if 4 * made < before:
+            break
+    return stars(links.unionByName(_linked(_across(wide.join(left, ["key", "node"]), similarity), texts, shingle, similarity)))
 
 
 def _texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:

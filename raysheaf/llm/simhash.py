@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
 def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = ringsets.SHINGLE, similarity: float = ringsets.SIMILARITY) -> DataFrame:
     """(node, id, component_id): rows of ``docs`` with the smallest id that links of the given similarity reach, exactly; equal texts are one node."""
     roots = ringsets.classes(docs, text, shingle, similarity)
-    nodes = docs.select(ringsets.node_of(F.col(text)).alias("node"), F.col(key).alias("id"))
+    nodes = written(docs.select(ringsets.node_of(F.col(text)).alias("node"), F.col(key).alias("id")), "nodes")  # texts are long, read them once
     rooted = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     return rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "id", "component_id")
 

@@ -268,6 +268,37 @@ def test_buckets_are_streamed(spark):
         assert [(r["key"], r["node"], r["pivot"], r["fits"]) for r in got] == want
 
 
+def test_similar_by_tiles_of_large_buckets(spark, monkeypatch):
+    """Members of a bucket that is dealt to parts meet all the same, with parities in the sign bit, too; and no turn or job is spent where pairs are few."""
+    import pyarrow as pa
+
+    rng, scheme = np.random.default_rng(5), ringsets.Scheme(0.8)
+    base = np.unique(rng.integers(1, 1 << 62, 300).astype(np.uint64))
+    rows = []
+    for node in range(40):
+        own = np.unique(np.r_[base[rng.permutation(len(base))[: len(base) - 12]], rng.integers(1, 1 << 62, 12).astype(np.uint64)])
+        for r in ringsets.rows_of(own, scheme, wide=True):
+            rows += [(*map(int, x), node, node) for x in zip(*r, strict=True)]
+    wide = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in ringsets._MET))
+    dealt = wide.join(wide.groupBy("key").count().withColumnRenamed("count", "members"), "key")
+    whole = {tuple(r) for r in ringsets._across(dealt, 0.8).collect()}
+    assert {tuple(r) for r in ringsets._across(dealt, 0.8, tile=7).collect()} == whole == {(a, b) for a in range(40) for b in range(a)}
+    signed = {n: pa.array([-1, 0] if n in ringsets._BLOCKED else [0, 0], pa.int64()) for n in ringsets._WIDE} | {"size": pa.array([100, 100]), "most": pa.array([25, 25]), "node": pa.array([1, 2]), "root": pa.array([1, 2])}
+    met = ringsets.Met(0.8, [pa.RecordBatch.from_pydict(signed)])
+    assert not len(met.fits(np.array([0]), np.array([1]), begins=True)[0])
+
+
+def test_near_duplicates_take_few_jobs(spark):
+    words = np.random.default_rng(6).integers(0, 10**6, (30, 80)).astype(str)
+    texts = [" ".join(w) for w in words] + [" ".join([*w[:-1], "other"]) for w in words[:10]]
+    d = simhash.written(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "few")
+    spark.sparkContext.setJobGroup("near", "near")
+    kept = simhash.one_of_each(d).count()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert kept == 30 and jobs < 70
+
+
 # BPE
 
 
