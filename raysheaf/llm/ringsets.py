@@ -63,6 +63,8 @@ TURNS = 3
 SKETCH = 1024
 #: Pairs of different classes for each member beyond which a bucket takes part in turns; and members of a part, to which those of large buckets are dealt.
 EACH, TILE = 4, 1024
+#: Pairs for each class and turn.
+TRIES = 8
 #: Segments whose parities are 64 bits together, and how many such blocks follow a segment, for pairs that are compared one by one.
 EIGHT, BLOCKS = 8, 16
 _BLOCKED = [f"block_{i}" for i in range(BLOCKS)]
@@ -364,12 +366,12 @@ def _with_first(similarity: float):
 
 
 def _between_classes(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
-    """One pair (a, b) at most for each class: with the class that it meets in most buckets, each bucket setting its members against one of them."""
+    """``TRIES`` pairs (a, b) at most for each class, as near the threshold some fail: of each part of the others with the class that it meets in most buckets, each bucket setting its members against one of them."""
     upper, lots = F.call_function("shiftright", F.col("word"), F.lit(UPPER)), [F.xxhash64(n, F.lit(turn)) for n in ("root", "node")]
     dealt = rows.select(*_MET).repartition("key").sortWithinPartitions("key", upper, *lots)
     met = dealt.mapInArrow(_with_first(similarity), "root long, to long, x long, y long")
     counted = met.groupBy("root", "to", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-    best = counted.groupBy("root").agg(F.max_by(F.struct("x", "y"), F.struct("n", "to", "x", "y")).alias("xy"))
+    best = counted.groupBy("root", F.pmod(F.xxhash64("to", F.lit(turn)), F.lit(TRIES)).alias("try")).agg(F.max_by(F.struct("x", "y"), F.struct("n", "to", "x", "y")).alias("xy"))
     return best.select(*_pair("xy.x", "xy.y")).distinct()
 
 
